@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_lexicon, quality_rules, sharding, url_rules
-from .common import table
+from . import bpe_lexicon, langid, near_dedup, quality_qda, quality_rules, sharding, url_rules
+from .common import crc_mod, stash, table
 
 #: The url rules the contract states.
 URL_RULES = [
@@ -27,6 +28,14 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.match_rules(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stash(quality_qda.measured(table(spark, sf_dir, "documents")), "statistics")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = quality_qda.fit(rows.where(~held_out), table(spark, sf_dir, "labels"))
+    scored = quality_qda.score(rows, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = bpe_lexicon.build_lexicon(bpe_lexicon.count_words(docs), tokenizer_path())
@@ -41,10 +50,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Plan.near(words=3, percent=85))
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = langid.fit(docs.where(~held_out))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op4_bpe_lexicon, op5_quality_rules, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_url_rules, op3_quality_qda, op4_bpe_lexicon, op5_quality_rules, op8_near_dedup, op9_language_id, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
