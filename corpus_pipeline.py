@@ -1,11 +1,63 @@
-"""A training-data pipeline of five stages over ``documents``."""
+"""A training-data pipeline of five stages over ``documents``.
 
-STAGES = []
+Every stage takes ``(spark, docs, sf_dir)``, works on all rows of ``docs`` and
+returns a DataFrame; all but the last return the columns of ``documents``. A
+runner writes each result as Parquet and reads it as the next stage's ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import bpe_lexicon, decontam, langid, near_dedup, quality_rules
+from tessera.llm.common import prepare, stash, table
+from tessera.llm.queries import tokenizer_path
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those far from every language of the input."""
+    prepare(spark)
+    return langid.keep(docs, langid.fit(docs))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that fail a rule of the current policy."""
+    prepare(spark)
+    return quality_rules.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group linked by five-word shingles at 0.8."""
+    prepare(spark)
+    return near_dedup.keep(docs, near_dedup.Plan.near(words=5, percent=80))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold an item of ``benchmark``."""
+    return decontam.keep(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes every text, decodes it again and returns counts and digests."""
+    prepare(spark)
+    lexicon = bpe_lexicon.build_lexicon(bpe_lexicon.count_words(docs), tokenizer_path())
+    return bpe_lexicon.digests(bpe_lexicon.encode_decode(docs, lexicon))
+
+
+STAGES = [
+    ("language ID", language),
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding and decoding", tokens),
+]
+
+#: SQL cannot express the learned stages; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_lexicon, langid, near_dedup, quality_qda, quality_rules, sharding, url_rules
+from . import bpe_lexicon, decontam, langid, near_dedup, quality_qda, quality_rules, sharding, url_rules
 from .common import crc_mod, stash, table
 
 #: The url rules the contract states.
@@ -28,6 +28,10 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.match_rules(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stash(quality_qda.measured(table(spark, sf_dir, "documents")), "statistics")
     held_out = crc_mod("doc_id", 4) == 2
@@ -67,6 +71,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op3_quality_qda, op4_bpe_lexicon, op5_quality_rules, op8_near_dedup, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_decontamination, op3_quality_qda, op4_bpe_lexicon, op5_quality_rules, op8_near_dedup, op9_language_id, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
