@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_lexicon, decontam, langid, near_dedup, quality_qda, quality_rules, sharding, url_rules
+from . import bpe_lexicon, decontam, langid, license_scan, near_dedup, pseudo_lm, quality_qda, quality_rules, sharding, url_rules
 from .common import crc_mod, stash, table
 
 #: The url rules the contract states.
@@ -54,6 +54,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words, network = pseudo_lm.train(docs)
+    return pseudo_lm.score(docs, words, network)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Plan.near(words=3, percent=85))
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
@@ -71,6 +81,53 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_decontamination, op3_quality_qda, op4_bpe_lexicon, op5_quality_rules, op8_near_dedup, op9_language_id, op10_sharding)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_rules, op2_decontamination, op3_quality_qda, op4_bpe_lexicon, op5_quality_rules,
+        op6_pseudo_likelihood, op7_license_scan, op8_near_dedup, op9_language_id, op10_sharding,
+    )
+}
+
+#: The rules of op1 as rows, longest last.
+_OP1_RULES = ", ".join(f"('{r.host}', '{r.path}', '{r.action}')" for r in URL_RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_rules": rf"""
+WITH u AS (
+  SELECT page_id,
+    CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+  FROM pages),
+s AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u),
+r(rhost, rpath, action) AS (VALUES {_OP1_RULES}),
+m AS (
+  SELECT s.page_id, s.host, s.path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(action, length(rhost || rpath)) AS action
+  FROM s LEFT JOIN r ON (s.host = rhost OR ends_with(s.host, '.' || rhost)) AND starts_with(s.path, rpath)
+  GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m""",
+    "op5_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, g.i, g.w FROM (SELECT doc_id, regexp_extract_all(t, '[^ 	-]+') AS ws FROM d) q,
+      LATERAL (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i) g),
+tri AS (SELECT doc_id, i, [w, lead(w, 1) OVER o, lead(w, 2) OVER o] AS g, lead(w, 2) OVER o AS last FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri WHERE last IS NOT NULL) q WHERE n > 1),
+rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS i FROM twice, (VALUES (0), (1), (2)) v(k)) q GROUP BY 1),
+stut AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w) q WHERE w = p GROUP BY 1),
+wc AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY 1),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) q WHERE regexp_matches(line, '[^ 	-]') GROUP BY 1),
+m AS (SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(stut.n, 0) AS n_stutters,
+        length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_bangs
+      FROM d LEFT JOIN wc USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN stut USING (doc_id)),
+b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 10 * n_words)::INT
+        + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (10 * word_chars < 20 * n_words)::INT + 32 * (10 * word_chars > 150 * n_words)::INT
+        + 64 * (100 * n_upper > 40 * word_chars)::INT + 128 * (100 * n_bangs > 30 * n_words)::INT + 256 * (100 * n_stutters > 30 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b""",
+    "op7_license_scan": license_scan.oracle_sql(),
+}
