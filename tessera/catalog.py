@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("retrieval", "texts", "statistics", "evaluation")
+MODULES: tuple[str, ...] = ("retrieval", "texts", "chunking", "graph", "statistics", "evaluation")
 
 
 def queries() -> dict:

@@ -52,16 +52,17 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int, *, scope: Column | None
 
     ``chunks`` has ``chunk_id, document_code, embedding``; ``queries`` has ``query_id,
     allowed, embedding`` where ``allowed`` is an array of document codes or null for
-    all. Restriction comes before ranking. Queries are taken ``block`` at a time, each
-    block a pass over the chunks, so what goes to the tasks is bounded.
+    all. Restriction comes before ranking. Queries are dealt by a hash into parts of
+    about ``block``, each a pass over the chunks, so what goes to the tasks is bounded.
     """
-    rows = queries.select("query_id", "allowed", "embedding").orderBy("query_id").collect()
+    wanted = queries.select("query_id", "allowed", "embedding")
+    parts = max(1, -(-wanted.count() // block))
     slim = chunks.select("chunk_id", "document_code", "embedding")
     if scope is not None:
         slim = slim.where(scope)
     out = None
-    for start in range(0, max(len(rows), 1), block):
-        part = rows[start : start + block]
+    for number in range(parts):
+        part = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == number).orderBy("query_id").collect()
         ids = [r.query_id for r in part]
         units = _unit_rows([r.embedding for r in part])
         allowed = [None if r.allowed is None else set(r.allowed) for r in part]

@@ -89,13 +89,13 @@ def answer_quality_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    """WITH h AS (SELECT sha256(text) AS h, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY 1), c AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 3 = 0), m AS (SELECT * FROM h ANTI JOIN c USING (h))
+    """WITH h AS (SELECT sha256(text) AS h, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY 1), c AS (SELECT DISTINCT sha256(text) AS h FROM documents SEMI JOIN labels USING (doc_id)), m AS (SELECT * FROM h ANTI JOIN c USING (h))
 SELECT h AS text_sha256, first AS first_doc, n, (row_number() OVER (ORDER BY first) - 1) // 100 AS batch FROM m"""
 )
 def embedding_cache_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct texts that are not in the cache (here: those of every third document), in batches of a hundred."""
+    """Distinct texts that are not in the cache (here: those of labelled documents), in batches of a hundred."""
     rows = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-    cached = rows.where("doc_id % 3 = 0").select("text_sha256").distinct()
+    cached = rows.join(read(spark, sf_dir, "labels"), "doc_id", "left_semi").select("text_sha256").distinct()
     missing = rows.groupBy("text_sha256").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).join(cached, "text_sha256", "left_anti")
     return with_global_row(missing, "first_doc").select("text_sha256", "first_doc", "n", F.expr("(row - 1) div 100").alias("batch"))
 
@@ -111,14 +111,14 @@ def with_global_row(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
 
 
 @R.add(
-    """WITH old AS (SELECT conv_id, turn, text FROM conversations WHERE turn % 2 = 0), new AS (SELECT conv_id, turn, upper(role) AS text FROM conversations WHERE conv_id % 5 = 0)
+    """WITH old AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' OR turn > 2), new AS (SELECT conv_id, turn, upper(role) AS text FROM conversations WHERE role = 'assistant')
 SELECT conv_id, turn, sha256(coalesce(n.text, o.text)) AS text_sha256, n.conv_id IS NOT NULL AS replaced FROM old o FULL JOIN new n USING (conv_id, turn)"""
 )
 def resume_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New rows replace old ones of the same key: one grouped pass in which the later version wins."""
     c = read(spark, sf_dir, "conversations")
-    old = c.where("turn % 2 = 0").select("conv_id", "turn", "text", F.lit(0).alias("version"))
-    new = c.where("conv_id % 5 = 0").select("conv_id", "turn", F.upper("role").alias("text"), F.lit(1).alias("version"))
+    old = c.where("role = 'user' OR turn > 2").select("conv_id", "turn", "text", F.lit(0).alias("version"))
+    new = c.where("role = 'assistant'").select("conv_id", "turn", F.upper("role").alias("text"), F.lit(1).alias("version"))
     last = old.unionByName(new).groupBy("conv_id", "turn").agg(F.max_by("text", "version").alias("text"), F.max("version").alias("version"))
     return last.select("conv_id", "turn", F.sha2("text", 256).alias("text_sha256"), (F.col("version") == 1).alias("replaced"))
 

@@ -1,7 +1,7 @@
 """Exact search over ``embeddings`` and its scores.
 
 Roles: a vector is a chunk of document ``label % 6`` that answers unit
-``vec_id div 2``; vectors below 20 are also queries, whose gold is the ten least
+``vec_id div 2``; every fiftieth vector is also a query, whose gold is the ten least
 units that share their label.
 """
 
@@ -24,7 +24,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).where("chunk_id < 20").withColumnRenamed("chunk_id", "query_id").withColumn("allowed", F.lit(None).cast("array<int>"))
+    return chunks(spark, sf_dir).where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id").withColumn("allowed", F.lit(None).cast("array<int>"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +46,13 @@ def ranked_sql(k: int = K, dims: int = 64) -> str:
 v AS (SELECT vec_id, label, label % 6 AS doc, vec_id // 2 AS unit, {part} AS e, sqrt(list_inner_product({part}, {part})) AS n FROM embeddings),
 ranked AS (SELECT query_id, chunk_id, unit, doc, qdoc, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
   FROM (SELECT q.vec_id AS query_id, q.doc AS qdoc, c.vec_id AS chunk_id, c.unit, c.doc, round(list_inner_product(q.e, c.e) / (q.n * c.n), 9) AS score
-        FROM v q, v c WHERE q.vec_id < 20) s QUALIFY rank <= {k})"""
+        FROM v q, v c WHERE q.vec_id % 50 = 0) s QUALIFY rank <= {k})"""
 
 
 GOLD_SQL = """
 gold AS (SELECT q.vec_id AS query_id, u.unit FROM embeddings q
   JOIN (SELECT label, unit, row_number() OVER (PARTITION BY label ORDER BY unit) AS n FROM (SELECT DISTINCT label, vec_id // 2 AS unit FROM embeddings) d) u
-  ON u.label = q.label AND u.n <= 10 WHERE q.vec_id < 20)"""
+  ON u.label = q.label AND u.n <= 10 WHERE q.vec_id % 50 = 0)"""
 UNITS_SQL = """
 units AS (SELECT query_id, unit, row_number() OVER (PARTITION BY query_id ORDER BY first, unit) AS unit_rank
   FROM (SELECT query_id, unit, min(rank) AS first FROM ranked GROUP BY ALL) f)"""
@@ -100,7 +100,7 @@ v AS (SELECT vec_id, label, label % 6 AS doc, vec_id // 2 AS unit, embedding::DO
 scopes(scope) AS (VALUES ('all'), ('fixed'), ('target')),
 sranked AS (SELECT scope, query_id, qdoc, chunk_id, unit, score, row_number() OVER (PARTITION BY scope, query_id ORDER BY score DESC, chunk_id) AS rank
   FROM (SELECT scope, q.vec_id AS query_id, q.doc AS qdoc, c.vec_id AS chunk_id, c.unit, round(list_inner_product(q.e, c.e) / (q.n * c.n), 9) AS score
-        FROM v q, v c, scopes WHERE q.vec_id < 20 AND CASE scope WHEN 'all' THEN true WHEN 'fixed' THEN q.doc < 3 AND c.doc < 3 ELSE c.doc = q.doc END) s QUALIFY rank <= 10),
+        FROM v q, v c, scopes WHERE q.vec_id % 50 = 0 AND CASE scope WHEN 'all' THEN true WHEN 'fixed' THEN q.doc < 3 AND c.doc < 3 ELSE c.doc = q.doc END) s QUALIFY rank <= 10),
 sunits AS (SELECT scope, query_id, qdoc, unit, row_number() OVER (PARTITION BY scope, query_id ORDER BY first, unit) AS unit_rank
   FROM (SELECT scope, query_id, qdoc, unit, min(rank) AS first FROM sranked GROUP BY ALL) f)"""
 
