@@ -67,7 +67,7 @@ def template_rows(spark: SparkSession, templates: dict[str, str]) -> list[dict]:
     for r in rows.select("template_id", "shingles", F.size("words").alias("n"), least.alias("least")).orderBy("template_id").collect():
         if r.n < SHINGLE:
             raise ValueError(f"template {r.template_id} has fewer than {SHINGLE} words")
-        size = 8
+        size = 1
         while size < len(r.shingles):
             size *= 2
         out.append({"template_id": r.template_id, "shingles": list(r.shingles), "size": size, "bands": [(x.h, x.s) for x in r.least]})
@@ -126,7 +126,7 @@ def oracle_sql() -> str:
     return f"""
 WITH t AS (SELECT template_id, {cut.format('txt')} AS w FROM (VALUES {values}) v(template_id, txt)),
 ts AS (SELECT DISTINCT template_id, array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' ') AS s FROM t, unnest(generate_series(1, len(w) - {SHINGLE - 1})) g(i)),
-tn AS (SELECT template_id, count(*) AS n, CAST(greatest(8, pow(2, ceil(log2(count(*))))) AS BIGINT) AS c FROM ts GROUP BY 1),
+tn AS (SELECT template_id, count(*) AS n, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS c FROM ts GROUP BY 1),
 d AS (SELECT doc_id, {cut.format('text')} AS w FROM documents),
 ds AS (SELECT doc_id, i - 1 AS p, array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' ') AS s FROM (SELECT * FROM d WHERE len(w) >= {SHINGLE}) q, unnest(generate_series(1, len(w) - {SHINGLE - 1})) g(i)),
 hits AS (SELECT doc_id, template_id, s, p, n, c FROM ds JOIN ts USING (s) JOIN tn USING (template_id)),
