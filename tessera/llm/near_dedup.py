@@ -295,13 +295,14 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), *, id_col: str = "doc_
     chunks = [F.first(f"c{i}").alias(f"c{i}") for i in range(plan.chunks)]
     classes = stash(each.where("n > 0").groupBy("cid").agg(F.min("k").alias("rep"), *chunks), "classes")
     links = class_links(docs, classes, plan, id_col=id_col, text_col=text_col)
-    comps = stash(connected(links).select(F.col("v").alias("cid"), "root"), "components")
-    named = each.select("k", "n", "cid").where("n > 0").join(comps, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = named.groupBy("root").agg(F.min("k").alias("least"))
-    some = named.join(least, "root").select("k", "n", "cid", F.col("least").alias("component"))
-    none = each.where("n = 0").select("k", "n", "cid", F.col("k").alias("component"))
+    comps = connected(links).select(F.col("v").alias("cid"), "root")
+    rooted = stash(classes.select("cid", "rep").join(comps, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "components")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
+    named = stash(rooted.join(least, "root").select("cid", "rep", "component"), "named")
+    some = each.select("k", "n", "cid").where("n > 0").join(named, "cid").select("k", "n", "rep", "component")
+    none = each.where("n = 0").select("k", "n", F.col("k").alias("rep"), F.col("k").alias("component"))
     return some.unionByName(none).select(
-        F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"),
+        F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"),
         F.col("component").alias("component_id"), F.col("k").eqNullSafe(F.col("component")).alias("kept"),
     )
 

@@ -110,7 +110,8 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m""",
     "op5_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, g.i, g.w FROM (SELECT doc_id, regexp_extract_all(t, '[^ 	-]+') AS ws FROM d) q,
+w AS (SELECT doc_id, g.i, g.w FROM (SELECT doc_id, regexp_extract_all(t, '[^ 	-
+]+') AS ws FROM d) q,
       LATERAL (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i) g),
 tri AS (SELECT doc_id, i, [w, lead(w, 1) OVER o, lead(w, 2) OVER o] AS g, lead(w, 2) OVER o AS last FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri WHERE last IS NOT NULL) q WHERE n > 1),
@@ -118,7 +119,8 @@ rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS i FR
 stut AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w) q WHERE w = p GROUP BY 1),
 wc AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY 1),
 l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
-      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) q WHERE regexp_matches(line, '[^ 	-]') GROUP BY 1),
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) q WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY 1),
 m AS (SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
@@ -130,4 +132,17 @@ b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_wo
         + 64 * (100 * n_upper > 40 * word_chars)::INT + 128 * (100 * n_bangs > 30 * n_words)::INT + 256 * (100 * n_stutters > 30 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b""",
     "op7_license_scan": license_scan.oracle_sql(),
+    "op8_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 2), ' ') AS g FROM (SELECT * FROM w WHERE len(ws) > 0) q, unnest(generate_series(1, greatest(1, len(ws) - 2))) u(i)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY 1),
+c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS class_id FROM n),
+r AS (SELECT s.* FROM s JOIN c USING (doc_id) WHERE doc_id = class_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_n FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE 100 * both_n >= 85 * (a.n + b.n - both_n)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+t AS (SELECT doc_id AS x, doc_id AS y FROM c WHERE doc_id = class_id UNION SELECT t.x, e.y FROM t JOIN e ON e.x = t.y),
+m AS (SELECT x AS class_id, min(y) AS component_id FROM t GROUP BY 1)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(m.component_id, d.doc_id) AS kept, coalesce(c.class_id, d.doc_id) AS class_id
+FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (class_id)""",
 }

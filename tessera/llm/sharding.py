@@ -34,9 +34,9 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 8, buckets: int = 256, id_c
     slim = docs.select(F.col(id_col).alias("k"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("crc"))
     rows = stash(slim.groupBy("k", "size", "crc").agg(F.count(F.lit(1)).alias("n")), "shard-rows")
 
-    cuts = rows.agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
-    bucket = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("k"))), F.lit(0))
-    placed = rows.crossJoin(F.broadcast(cuts)).select("k", "size", "crc", "n", F.when(F.col("k").isNull(), -1).otherwise(bucket).alias("bucket"))
+    cuts = rows.agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts")).first().cuts or []
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("k"))) if cuts else F.lit(0)
+    placed = rows.select("k", "size", "crc", "n", F.when(F.col("k").isNull(), -1).otherwise(bucket).alias("bucket"))
 
     before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = placed.groupBy("bucket").agg(F.sum(F.col("size") * F.col("n")).alias("b"), F.sum("n").alias("r"))
