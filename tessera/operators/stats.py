@@ -77,7 +77,7 @@ def bootstrap_interval(values: DataFrame, key: str, value: str, *by: str, draws:
     drawn = placed.select(*by, "place", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     pick = drawn.select(*by, "draw", (hash_int(F.col("draw").cast("string"), F.col("place").cast("string")) % F.col("n")).alias("place"))
     means = pick.join(placed.select(*by, "v", "place"), [*by, "place"]).groupBy(*by, "draw").agg(F.avg("v").alias("mean"))
-    low, high = int((1 - level) / 2 * draws), int((1 + level) / 2 * draws) - 1
+    low, high = int((1 - level) / 2 * (draws - 1)), int((1 + level) / 2 * (draws - 1))
     listed = means.groupBy(*by).agg(F.array_sort(F.collect_list(F.round("mean", 9))).alias("means"))
     return listed.select(*by, F.col("means")[low].alias("ci_low"), F.col("means")[high].alias("ci_high"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..operators import pvalues, stats
 from .registry import Registry, read
 
 R = Registry()
@@ -76,7 +76,7 @@ pl AS (SELECT condition, d, row_number() OVER (PARTITION BY condition ORDER BY u
 dr AS (SELECT condition, draw, ('0x' || substr(md5(concat(draw, '|', place)), 1, 8))::BIGINT % n AS place FROM pl, range(200) g(draw)),
 me AS (SELECT condition, draw, round(avg(d), 9) AS mean FROM dr JOIN pl USING (condition, place) GROUP BY ALL),
 ci AS (SELECT condition, list_sort(list(mean)) AS l FROM me GROUP BY 1)
-SELECT condition, n, round(mean_d, 6) AS mean_difference, round(median_d, 6) AS median_difference, round(mean_d / nullif(mean_base, 0), 6) AS relative_difference, round(l[6], 6) AS ci_low, round(l[195], 6) AS ci_high FROM m JOIN ci USING (condition)"""
+SELECT condition, n, round(mean_d, 6) AS mean_difference, round(median_d, 6) AS median_difference, round(mean_d / nullif(mean_base, 0), 6) AS relative_difference, round(l[5], 6) AS ci_low, round(l[195], 6) AS ci_high FROM m JOIN ci USING (condition)"""
 )
 def paired_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir)
@@ -126,4 +126,18 @@ def log_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binned.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("event_type")), 6))
 
 
+@R.add()
+def contrast_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed-rank tests with p-values, Holm within the family, and seeded bootstrap intervals of the mean difference."""
+    p = pairs(spark, sf_dir)
+    tests = stats.holm(pvalues.signed_rank_tests(p, "condition", "user_id", "d").withColumnRenamed("condition", "test"), "p")
+    ci = pvalues.seeded_intervals(p, "condition", "user_id", "d", draws=1_000).withColumnRenamed("condition", "test")
+    return tests.join(ci, "test")
+
+
+@R.add()
+def omnibus_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pvalues.friedman_p(stats.friedman(scores(spark, sf_dir), "user_id", "event_type", "score"))
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
