@@ -39,14 +39,27 @@ def normalized(x: str) -> Column:
     )
 
 
-def _unit_rows(vectors: list) -> np.ndarray:
-    x = np.array([np.asarray(v, float) for v in vectors], float)
+def _unit_rows(vectors) -> np.ndarray:
+    """Rows of a list of vectors, or of an Arrow list column without nulls, over their lengths."""
+    if isinstance(vectors, pa.Array):
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(float)
+    else:
+        x = np.array([np.asarray(v, float) for v in vectors], float)
     lengths = np.sqrt((x * x).sum(axis=1, keepdims=True)) if len(x) else x
     if len(x) and (lengths == 0).any():
         raise ValueError("vector without length")
     return x / lengths if len(x) else x
 
 
+def _best(scores: np.ndarray, names: np.ndarray, k: int) -> list[tuple[float, int]]:
+    """The k greatest scores with their names, ties by name, without sorting the others."""
+    if len(scores) > k:
+        keep = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        scores, names = scores[keep], names[keep]
+    order = np.lexsort((names, -scores))[:k]
+    return list(zip((-scores[order]).tolist(), names[order].tolist(), strict=True))
+
+
 def top_k(chunks: DataFrame, queries: DataFrame, k: int, *, scope: Column | None = None, block: int = 1_000) -> DataFrame:
     """``query_id, chunk_id, score, rank``: the k chunks of greatest cosine per query, ties by chunk id.
 
@@ -65,23 +78,20 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int, *, scope: Column | None
         part = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == number).orderBy("query_id").collect()
         ids = [r.query_id for r in part]
         units = _unit_rows([r.embedding for r in part])
-        allowed = [None if r.allowed is None else set(r.allowed) for r in part]
+        allowed = [None if r.allowed is None else frozenset(r.allowed) for r in part]
 
         def run(batches, ids=ids, units=units, allowed=allowed):
             best: dict[int, list[tuple[float, int]]] = {i: [] for i in range(len(ids))}
             for batch in batches:
                 if not batch.num_rows or not ids:
                     continue
-                width = batch.column("embedding")
-                x = _unit_rows(width.to_pylist())
-                names = np.array(batch.column("chunk_id").to_pylist())
-                codes = batch.column("document_code").to_pylist()
-                scores = np.round(np.einsum("qd,cd->qc", units, x), SCORE_DIGITS)
-                for i in range(len(ids)):
-                    take = np.arange(len(names)) if allowed[i] is None else np.flatnonzero([c in allowed[i] for c in codes])
-                    order = take[np.lexsort((names[take], -scores[i][take]))[:k]]
-                    merged = best[i] + list(zip((-scores[i][order]).tolist(), names[order].tolist(), strict=True))
-                    best[i] = sorted(merged)[:k]
+                names = batch.column("chunk_id").to_numpy()
+                codes = np.array(batch.column("document_code").to_pylist())
+                scores = np.round(units @ _unit_rows(batch.column("embedding")).T, SCORE_DIGITS)
+                inside = {a: np.flatnonzero(np.isin(codes, list(a))) for a in set(allowed) if a is not None}
+                for i, a in enumerate(allowed):
+                    row, own = (scores[i], names) if a is None else (scores[i][inside[a]], names[inside[a]])
+                    best[i] = sorted(best[i] + _best(row, own, k))[:k]
             flat = [(ids[i], n, -s) for i, found in best.items() for s, n in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.int64()), pa.array([r[1] for r in flat], pa.int64()), pa.array([r[2] for r in flat], pa.float64())], names=["query_id", "chunk_id", "score"])
 

@@ -136,8 +136,13 @@ def anchor_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY md5(concat('7|', doc_id)), doc_id) AS INTEGER) AS place FROM documents")
 def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("source").orderBy(F.md5(F.concat(F.lit("7|"), F.col("doc_id").cast("string"))), "doc_id"))
-    return read(spark, sf_dir, "documents").select("source", "doc_id", place.alias("place"))
+    """A shuffled place per source. Digests are dealt by their first two digits, so a source with most rows is ordered in 256 parts."""
+    digest = F.md5(F.concat(F.lit("7|"), F.col("doc_id").cast("string")))
+    d = read(spark, sf_dir, "documents").select("source", "doc_id", digest.alias("h")).withColumn("part", F.substring("h", 1, 2))
+    before = F.sum("m").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = d.groupBy("source", "part").agg(F.count(F.lit(1)).alias("m")).select("source", "part", F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(W.partitionBy("source", "part").orderBy("h", "doc_id"))
+    return d.withColumn("inside", inside).join(starts, ["source", "part"]).select("source", "doc_id", (F.col("start") + F.col("inside")).cast("int").alias("place"))
 
 
 @R.add(
