@@ -162,4 +162,12 @@ def judge_json_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.select("vec_id", verdict.alias("verdict"), F.when(F.col("kind") != "STRING", F.round("score", 6)).alias("score"))
 
 
+@R.add("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(DISTINCT json_extract_string(props, '$.k')) AS n_values FROM events GROUP BY 1")
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of JSON cells under a declared schema."""
+    k = F.from_json("props", "k bigint")["k"].alias("k")
+    rows = read(spark, sf_dir, "events").select("event_type", k)
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"), F.count_distinct("k").alias("n_values"))
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
