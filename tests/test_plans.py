@@ -66,3 +66,12 @@ def test_p_values():
         assert got["p"] == pytest.approx(min(1, 2 * min(low, high) / len(sums)))
     assert pvalues.signed_rank([0.0, 1e-13])["n"] == 0
     assert pvalues.seeded_interval([1.0, 1.0], 50, 42) == (1.0, 1.0) and pvalues.seeded_interval([], 5, 1) == (0.0, 0.0)
+
+
+def test_nothing_else_imports_the_training_data_operators():
+    from pathlib import Path
+
+    root = Path(catalog.__file__).parent
+    for path in root.rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
+            assert not [line for line in path.read_text().splitlines() if line.lstrip().startswith(("import ", "from ")) and "llm" in line]
