@@ -146,6 +146,15 @@ def test_language_held_out(spark):
     assert len(rows) == 1000 and sum(p == g for p, g in held) / len(held) > 0.97
 
 
+def test_language_rejects_what_is_far_and_keeps_clean_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    other = spark.createDataFrame([(1, "\u0441\u043b\u043e\u0432\u043e \u0437\u0430 \u0441\u043b\u043e\u0432\u043e\u043c " * 30), (2, "\u4e2d\u6587" * 50), (3, "12 34")], "doc_id long, text string")
+    assert {r.rejected for r in langid.predict(other, model).collect()} == {True}
+    clean = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
+    assert langid.keep(docs, model).join(clean, "doc_id", "left_semi").count() == clean.count()
+
+
 def test_language_and_quality_on_odd_rows(spark, odd, empty):
     model = langid.fit(odd.where("lang = 'en'"))
     got = [(r.lang_pred, r.score) for r in langid.predict(odd, model).collect()]
