@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices
+from .common import most_frequent, shared_dir, slices
 
 #: Fixed value: the pattern of byte-level pre-tokenisation.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -382,15 +382,14 @@ def count_words(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def build_lexicon(counts: DataFrame, tokenizer_path: str, *, words: int = 50_000) -> str:
-    """Compile the ``words`` most frequent words (ties by word) and return the name under which executors find the file.
+    """Compile at most ``words`` of the most frequent words and return the name under which executors find the file.
 
-    The driver holds ``words`` words, whatever the corpus; further words are merged
+    The driver holds that many words, whatever the corpus; further words are merged
     where they occur.
     """
     spark = counts.sparkSession
     spec = load_tokenizer(tokenizer_path)
-    top = counts.where("word <> ''").orderBy(F.desc("n"), "word").limit(words).select("word")
-    lexicon = sorted(r.word.encode() for r in top.collect())
+    lexicon = sorted(r.word.encode() for r in most_frequent(counts.where("word <> ''"), words).collect())
     packed_ids = Merges(spec["byte_ids"], spec["pairs"], spec["merged"]).encode_packed(lexicon)
     arrays = compile_automaton(lexicon) | {
         "id_at": np.cumsum([0, *(len(p) // 4 for p in packed_ids)]),

@@ -76,3 +76,19 @@ def slices(batch, rows: int = 256):
     """An Arrow record batch in short slices, so that Python copies of texts stay small."""
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
+
+
+def most_frequent(counts: DataFrame, most: int, *, word_col: str = "word", count_col: str = "n") -> DataFrame:
+    """The rows of the highest counts, at most ``most`` of them.
+
+    Counts are compared by their logarithm to base two in steps of a sixteenth. The
+    few hundred steps are counted on the driver, and the rows of all steps that fit
+    are taken, so no task sends more than its share of them.
+    """
+    stepped = stash(counts.select(word_col, count_col, F.floor(F.log2(count_col) * 16).cast("int").alias("step")), "counts")
+    cut, total = None, 0
+    for r in stepped.groupBy("step").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("step")).collect():
+        if total + r.m > most:
+            break
+        cut, total = r.step, total + r.m
+    return stepped.where(F.lit(False) if cut is None else F.col("step") >= cut).select(word_col, count_col)
