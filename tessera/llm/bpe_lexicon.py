@@ -35,6 +35,8 @@ _PIECES = regex.compile(PATTERN)
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(rf"[\t\n\r -~¡«»¿–—‘’“”…€£{_LATIN}]*")
 _PLAIN_PIECES = re.compile(rf" ?[{_LATIN}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
+#: Marks that form one piece where they follow letters; no apostrophe, which can begin a piece with letters.
+_CLOSING = ".,;:!?)]\""
 #: Where no two white-space characters meet, a text's pieces are those of its parts between single spaces.
 _RUN = regex.compile(r"\s\s")
 #: Code points that Unicode versions may class differently; such texts are split by the library.
@@ -63,6 +65,8 @@ class Merges:
         self.rank_at = np.argsort(pairs, kind="stable")
         self.sorted = np.asarray(pairs, np.int64)[self.rank_at]
         self._rank: dict[int, tuple[int, int]] | None = None
+        #: Ranks of the pairs of single bytes, with which every word begins.
+        self.first = self.ranks(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -82,11 +86,12 @@ class Merges:
                     out[i] = np.array(self.merge_long(words[i]), "<u4").tobytes()
             elif size:
                 raw = np.frombuffer(b"".join([words[i] for i in group.tolist()]), np.uint8)
-                self._side_by_side(self.byte_ids[raw].reshape(-1, size), group, out)
+                raw = raw.reshape(-1, size)
+                rank = self.first[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]]
+                self._side_by_side(self.byte_ids[raw], rank, group, out)
         return out
 
-    def _side_by_side(self, ids: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
-        rank = self.ranks(ids[:, :-1], ids[:, 1:])
+    def _side_by_side(self, ids: np.ndarray, rank: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
         while True:
             n, width = ids.shape
             best = rank.min(axis=1) if width > 1 else np.full(n, self._NONE)
@@ -291,10 +296,11 @@ class Lexicon:
         if len(self.parts) + len(todo) > CACHE_WORDS:
             self.parts.clear()
             todo = list(parts)
-        pieces = [split_words(p) for p in todo]
-        self.resolve({w for words in pieces for w in words})
-        get = self.words.__getitem__
-        self.parts.update((p, get(words[0]) if len(words) == 1 else b"".join(map(get, words))) for p, words in zip(todo, pieces, strict=True))
+        pieces = list(map(split_part, todo))
+        self.resolve(set().union(*pieces))
+        get, parts = self.words.__getitem__, self.parts
+        for part, words in zip(todo, pieces, strict=True):
+            parts[part] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text. Texts are taken together up to a bound, so that what they share is resolved once."""
@@ -345,6 +351,14 @@ def split_words(text: str) -> list[str]:
     return _PIECES.findall(text)
 
 
+def split_part(part: str) -> tuple[str, ...] | list[str]:
+    """The pieces of a part; a word of letters with closing marks behind it needs no pattern."""
+    core = part.rstrip(_CLOSING)
+    if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
+        return (core,) if len(core) == len(part) else (core, part[len(core) :])
+    return split_words(part)
+
+
 def cut_parts(text: str) -> list[str]:
     """Parts of whole pieces that texts are likely to share: a space with what follows up to the next one, or else the pieces."""
     if not text:
@@ -365,7 +379,7 @@ def count_words(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         def flush():
             counts: Counter[str] = Counter()
             for part, n in parts.items():
-                for word in split_words(part):
+                for word in split_part(part):
                     counts[word] += n
             parts.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -381,7 +395,7 @@ def count_words(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(counts: DataFrame, tokenizer_path: str, *, words: int = 50_000) -> str:
+def build_lexicon(counts: DataFrame, tokenizer_path: str, *, words: int = 150_000) -> str:
     """Compile at most ``words`` of the most frequent words and return the name under which executors find the file.
 
     The driver holds that many words, whatever the corpus; further words are merged
