@@ -32,6 +32,7 @@ from .common import slices, stash
 from .components import connected
 
 _MIX1, _MIX2, _STEP = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
+_LOW_BITS, _TOP_BITS = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 _CACHE = 500_000
 
 
@@ -172,28 +173,35 @@ def link(plan: Plan, cid: list[int], sig: np.ndarray, sets: list[np.ndarray], co
 
     n = len(cid)
     size = np.array([len(s) for s in sets], np.int64)
-    symbols = np.ascontiguousarray(sig).view(np.uint8).reshape(n, plan.chunks, 8)
-    names = np.array(comp)
+    # In order of size, the members that can be similar to one are a slice.
+    first, second = (np.arange(n),) * 2 if left is None else (np.arange(left), np.arange(left, n))
+    second = second[np.argsort(size[second], kind="stable")]
+    first = second if left is None else first
+    ordered, chunks, names = size[second], np.ascontiguousarray(sig[second]).view(np.uint64), np.array(comp)
+    other = names[second]
     found: list[tuple[int, int]] = []
-    pairs = []
-    for i in range(n if left is None else left):
-        rest = slice(i + 1, n) if left is None else slice(left, n)
-        fits = (100 * np.minimum(size[rest], size[i]) >= plan.percent * np.maximum(size[rest], size[i])) & (names[rest] != names[i])
-        j = np.flatnonzero(fits) + rest.start
-        if not len(j):
-            continue
-        differ = (symbols[j] != symbols[i]).sum(axis=2)
-        near = (differ <= 1).any(axis=1)
-        if near.any():
-            j = j[near]
-            pairs.append(np.column_stack([differ[near].sum(axis=1), np.full(len(j), i), j]))
-        if sum(map(len, pairs)) > 200_000 or i == (n if left is None else left) - 1:
+    pairs, held = [], 0
+    for place, i in enumerate(first.tolist()):
+        low = place + 1 if left is None else int(np.searchsorted(100 * ordered, plan.percent * size[i]))
+        high = int(np.searchsorted(plan.percent * ordered, 100 * size[i], "right"))
+        differ = _differing(chunks[low:high], sig[i].view(np.uint64))
+        near = np.flatnonzero(((differ & (differ - np.uint64(1))) == 0).any(axis=1) & (other[low:high] != names[i]))
+        if len(near):
+            pairs.append(np.column_stack([np.bitwise_count(differ[near]).sum(axis=1, dtype=np.int64), np.full(len(near), i), second[low + near]]))
+            held += len(near)
+        if held > 200_000:
             _confirm(pairs, plan, cid, sets, comp, find, parent, found)
-            pairs = []
+            pairs, held = [], 0
     _confirm(pairs, plan, cid, sets, comp, find, parent, found)
     return found
 
 
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Chunks of which the top bit of each byte is set where the bytes differ."""
+    d = x ^ y
+    return (((d & _LOW_BITS) + _LOW_BITS) | d) & _TOP_BITS
+
+
 def _confirm(pairs, plan, cid, sets, comp, find, parent, found) -> None:
     if not pairs:
         return
