@@ -6,7 +6,11 @@ of tokens, then the token within it). A document's score is the sum over its tok
 of the log-probability of each given both sides.
 
 Tokens are lower-cased words: the most frequent ones of the whole corpus, counted
-by Spark, and hash buckets for the others. Training masks a share of the positions
+by Spark, and hash buckets for the others. A word in a bucket is scored by the
+bucket's probability given both sides times the word's share of the bucket by the
+counts of the whole corpus, so every word has a probability of its own. Shares of
+the words of a bounded lexicon go along with the network; those of all others come
+from a join with the counts. Training masks a share of the positions
 of every document. Each partition trains its own copy of the network on its rows;
 the copies are averaged, weighted by masked tokens, in two steps of bounded fan-in
 on the executors, and the average starts the next round. The driver only ever holds
@@ -15,16 +19,19 @@ one network and the vocabulary.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, slices
+from .common import most_frequent, slices, stash
 
 OFFSETS = (-2, -1, 1, 2)
 #: Floats of the network that travel in one row, and groups of the first averaging step.
@@ -33,7 +40,7 @@ _FLOATS, _FAN = 1 << 14, 64
 
 @dataclass(frozen=True)
 class Shape:
-    """``classes`` squared is the vocabulary: token 0 pads, ``buckets`` tokens stand for rarer words. One in ``mask`` positions is trained on per round."""
+    """``classes`` squared is the vocabulary: token 0 pads, ``buckets`` tokens stand for rarer words. One in ``mask`` positions is trained on per round. ``lexicon`` bounds memory: counts of further words are joined."""
 
     classes: int = 32
     buckets: int = 63
@@ -42,6 +49,7 @@ class Shape:
     rounds: int = 2
     rate: float = 0.1
     batch: int = 8192
+    lexicon: int = 131_072
 
     @property
     def vocabulary(self) -> int:
@@ -69,16 +77,58 @@ class Shape:
 
 
 class Tokens:
-    """Words to token numbers: frequent words first, in order of frequency, then buckets."""
+    """Words to token numbers: frequent words first, in order of frequency, then buckets. Buckets of the ``lexicon`` are looked up, others are computed."""
 
-    def __init__(self, frequent: list[bytes], shape: Shape):
-        self.shape = shape
+    def __init__(self, frequent: list[bytes], shape: Shape, lexicon: list[bytes] = ()):
+        self.first, self.buckets = shape.frequent + 1, shape.buckets
         self.known = {w: i + 1 for i, w in enumerate(frequent)}
+        self.known |= zip(lexicon, self.bucket(lexicon).tolist(), strict=True)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.lower().encode().split() if text else []
-        get, first, n = self.known.get, self.shape.frequent + 1, self.shape.buckets
-        return np.fromiter((t if (t := get(w)) else first + xxhash.xxh32_intdigest(w) % n for w in words), np.int64, len(words))
+        ids = np.fromiter(map(self.known.get, words, repeat(0)), np.int64, len(words))
+        rest = np.flatnonzero(ids == 0)
+        ids[rest] = self.bucket([words[i] for i in rest.tolist()])
+        return ids
+
+    def bucket(self, words: list[bytes]) -> np.ndarray:
+        return self.first + np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % self.buckets
+
+
+class Rare(NamedTuple):
+    """What tells the words of a bucket apart. A word seen n times has the share (n + 1/2) / ``total`` of its bucket.
+
+    ``total`` is, for a bucket of T words seen N times, N + T + 1: as much is left
+    for words that were never seen as if there were T + 2 of them. ``lexicon`` and
+    ``seen`` are the most frequent words in buckets and their counts, ``counts`` has
+    all words.
+    """
+
+    lexicon: list[bytes]
+    seen: list[int]
+    total: np.ndarray
+    counts: DataFrame
+
+
+class Reader:
+    """Texts to token numbers, the sum of the logarithms of shares as far as they are known here, and words whose counts are not."""
+
+    def __init__(self, frequent: list[bytes], lexicon: list[bytes], seen: list[int], total: np.ndarray, shape: Shape):
+        self.tokens, self.log_total = Tokens(frequent, shape), np.log(total)
+        self.at = self.tokens.known | {w: shape.vocabulary + i for i, w in enumerate(lexicon)}
+        bucket = self.tokens.bucket(lexicon)
+        self.token = np.concatenate([np.arange(shape.vocabulary), bucket])
+        self.share = np.concatenate([np.zeros(shape.vocabulary), np.log(np.array(seen, float) + 0.5) - self.log_total[bucket - self.tokens.first]])
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, float, Counter[bytes]]:
+        words = text.lower().encode().split() if text else []
+        at = np.fromiter(map(self.at.get, words, repeat(0)), np.int64, len(words))
+        ids, shares = self.token[at], self.share[at]
+        rest = np.flatnonzero(at == 0)
+        others = [words[i] for i in rest.tolist()]
+        ids[rest] = self.tokens.bucket(others)
+        shares[rest] = -self.log_total[ids[rest] - self.tokens.first]
+        return ids, float(shares.sum()), Counter(others)
 
 
 def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +243,8 @@ class Trainer:
             self.tokens += len(part)
 
 
-def frequent_words(docs: DataFrame, n: int, *, text_col: str = "text") -> list[bytes]:
-    """At most ``n`` of the most frequent words over all texts, most frequent first."""
+def count_words(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """``word, n`` over all texts."""
 
     def run(batches):
         counts: Counter[bytes] = Counter()
@@ -214,19 +264,30 @@ def frequent_words(docs: DataFrame, n: int, *, text_col: str = "text") -> list[b
         yield flush()
 
     rows = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "word binary, n long")
-    top = most_frequent(rows.groupBy("word").agg(F.sum("n").alias("n")), n)
-    return [bytes(r.word) for r in top.orderBy(F.desc("n"), "word").collect()]
+    return stash(rows.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def vocabulary(counts: DataFrame, shape: Shape) -> tuple[list[bytes], Rare]:
+    """The most frequent words, most frequent first, and what tells the others apart."""
+    rows = most_frequent(counts, shape.frequent + shape.lexicon).orderBy(F.desc("n"), "word").collect()
+    words, rest = [bytes(r.word) for r in rows[: shape.frequent]], rows[shape.frequent :]
+    total = np.ones(shape.buckets)
+    for r in counts.groupBy((F.crc32("word") % shape.buckets).alias("b")).agg((F.sum("n") + F.count(F.lit(1))).alias("m")).collect():
+        total[r.b] += r.m
+    for r in rows[: shape.frequent]:
+        total[zlib.crc32(r.word) % shape.buckets] -= r.n + 1
+    return words, Rare([bytes(r.word) for r in rest], [r.n for r in rest], total, counts)
 
 
-def train(docs: DataFrame, shape: Shape = Shape(), *, text_col: str = "text") -> tuple[list[bytes], np.ndarray]:  # noqa: B008  frozen
-    """The vocabulary and the network's parameters, trained on every text."""
-    words = frequent_words(docs, shape.frequent, text_col=text_col)
+def train(docs: DataFrame, shape: Shape = Shape(), *, text_col: str = "text") -> tuple[list[bytes], np.ndarray, Rare]:  # noqa: B008  frozen
+    """The vocabulary, the network's parameters, trained on every text, and what tells words in buckets apart."""
+    words, rare = vocabulary(count_words(docs, text_col=text_col), shape)
     flat = shape.initial()
-    slim = docs.select(F.col(text_col).alias("t"))
+    rare_words, slim = rare.lexicon, docs.select(F.col(text_col).alias("t"))
     for round_ in range(shape.rounds):
 
         def run(batches, flat=flat, round_=round_):
-            trainer, tokens = Trainer(flat, shape, round_), Tokens(words, shape)
+            trainer, tokens = Trainer(flat, shape, round_), Tokens(words, shape, rare_words)
             for batch in batches:
                 for part in slices(batch, 64):
                     for text in part.column(0).to_pylist():
@@ -242,7 +303,7 @@ def train(docs: DataFrame, shape: Shape = Shape(), *, text_col: str = "text") ->
         rows = some.groupBy("block").applyInArrow(_average, schema).orderBy("block").collect()
         if rows:
             flat = np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows])
-    return words, flat
+    return words, flat, rare
 
 
 def _average(table: pa.Table) -> pa.Table:
@@ -255,24 +316,35 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "weight": [total], "values": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
 
 
-def score(docs: DataFrame, words: list[bytes], flat: np.ndarray, shape: Shape = Shape(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008  frozen
+def score(docs: DataFrame, words: list[bytes], flat: np.ndarray, rare: Rare, shape: Shape = Shape(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008  frozen
     """One row per input row: ``id_col, n_tokens, log_likelihood, mean_log_likelihood``.
 
     Whole texts are scored. Null texts and texts without words have no tokens, a sum
     and a mean of 0. Repeated rows are scored each. Other columns are not read.
     """
     slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    lexicon, seen, total, counts = rare
 
     def run(batches):
-        p, tokens = shape.split(flat), Tokens(words, shape)
+        p, read = shape.split(flat), Reader(words, lexicon, seen, total, shape)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, 128):
-                ids = [tokens(t) for t in part.column(1).to_pylist()]
+                ids, shares, others = zip(*map(read, part.column(1).to_pylist()), strict=True)
                 n = np.array([len(i) for i in ids], np.int64)
                 line, at = windows(ids)
                 owner = np.repeat(np.arange(len(ids)), n)
-                total = np.bincount(owner, weights=log_probabilities(p, shape, line, at), minlength=len(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], names=["k", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+                logs = np.bincount(owner, weights=log_probabilities(p, shape, line, at), minlength=len(ids)) + np.array(shares)
+                rows = pa.array(range(row, row + len(ids)), pa.int64())
+                row += len(ids)
+                lists = pa.array([list(c) for c in others], pa.list_(pa.binary())), pa.array([list(c.values()) for c in others], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows, part.column(0), pa.array(n), pa.array(logs), *lists], names=["row", "k", "n_tokens", "logs", "words", "times"])
 
     kind = dict(slim.dtypes)["k"]
-    return slim.mapInArrow(run, f"k {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double").withColumnRenamed("k", id_col)
+    known = stash(slim.mapInArrow(run, f"row long, k {kind}, n_tokens long, logs double, words array<binary>, times array<long>"), "scores")
+    each = known.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    # A word outside the lexicon was seen as often as the counts say, or never.
+    share = F.log(F.coalesce(F.col("n"), F.lit(0)) + 0.5)
+    joined = each.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * share).alias("joined"))
+    both = F.col("logs") + F.coalesce(F.col("joined"), F.lit(0.0))
+    return known.join(joined, "row", "left").select(F.col("k").alias(id_col), "n_tokens", both.alias("log_likelihood"), (both / F.greatest(F.col("n_tokens"), F.lit(1))).alias("mean_log_likelihood"))

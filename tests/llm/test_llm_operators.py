@@ -275,6 +275,20 @@ def test_pseudo_likelihood_learns(spark, odd, empty):
     assert pseudo_lm.score(empty, *pseudo_lm.train(empty, shape), shape).count() == 0
 
 
+@pytest.mark.parametrize("lexicon", [100, 0])
+def test_words_in_one_bucket_have_their_own_probabilities(spark, lexicon):
+    shape = pseudo_lm.Shape(classes=4, buckets=1, width=4, lexicon=lexicon)
+    common = " ".join(f"w{i:02}" for i in range(shape.frequent))
+    docs = spark.createDataFrame([(i, common + " real" * (i % 2) + " jnku" * (i == 3)) for i in range(40)] + [(40, common)], "doc_id long, text string").repartition(3)
+    model = pseudo_lm.train(docs, shape)
+    tests = spark.createDataFrame([(0, "w01 real w02"), (1, "w01 jnku w02"), (2, "w01 qzxv w02")], "doc_id long, text string")
+    got = {r.doc_id: r.log_likelihood for r in pseudo_lm.score(tests, *model, shape).collect()}
+    # All three share the bucket: seen 20 times, once and never.
+    assert math.isclose(got[0] - got[1], math.log(20.5 / 1.5), abs_tol=1e-6)
+    assert math.isclose(got[1] - got[2], math.log(1.5 / 0.5), abs_tol=1e-6)
+    assert len(model[0]) == shape.frequent and model[2].total.tolist() == [21 + 2 + 1]
+
+
 # op7
 
 
