@@ -4,7 +4,11 @@ A text is a vector of hashed letter trigrams, weighted by logarithmic frequency
 and inverse document frequency and normalised. Each language has several
 centroids from spherical k-means, since a language's texts form more than one
 cloud. A text gets the language of the centroid with the greatest cosine; it is
-rejected if it lies farther from that centroid than its training texts allow.
+rejected if it lies farther from that centroid than training texts of the
+language do. The longer a text, the nearer it is to its centroid, and the more its
+hashed trigrams also collide with those of any language; so the bound depends on
+the number of different trigrams, and windows of training texts tell it for short
+texts.
 """
 
 from __future__ import annotations
@@ -29,6 +33,14 @@ _BLOCK = 1 << 20
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
+#: Words of the windows of training texts from which floors of shorter texts are taken.
+_WINDOWS = (3, 5, 10, 20, 50, 100, 200, 500, 1000)
+#: Steps of the number of different trigrams: half powers of two. A step needs so many windows for a floor of its own.
+_STEPS, _LEAST = 2 * DIM_BITS + 1, 20
+#: No cosine below this is accepted: collisions alone bring short texts of any script this far.
+_NEVER = 0.05
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -46,9 +58,12 @@ def trigram_counts(text: str | None) -> np.ndarray:
     return out
 
 
-def unit_vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(np.stack([trigram_counts(t) for t in texts])) * idf
-    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+def unit_vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors, and the step of each text's number of different trigrams."""
+    counts = np.stack([trigram_counts(t) for t in texts])
+    step = np.floor(2 * np.log2(np.maximum((counts > 0).sum(axis=1), 1))).astype(int)
+    x = np.log1p(counts) * idf
+    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32), step
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +79,35 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarra
     return c, (x @ c.T).argmax(axis=1)
 
 
+def floors(texts: list[str], idf: np.ndarray, centroids: np.ndarray, slack: float, outlying: float) -> np.ndarray:
+    """By step: ``slack`` times the cosine that all but ``outlying`` of training texts and of windows cut from them exceed.
+
+    A step is taken together with the next on either side. One with too few windows takes the floor of the next lower step, and those
+    below the first take the least floor.
+    """
+    words = [t.split() for t in texts]
+    cosines, steps = [], []
+    for n in (*_WINDOWS, 0):
+        # The windows begin at different shares of the texts.
+        cut = [" ".join(w[(at := (len(w) - n) * (i % 5) // 4) : at + n]) if n else texts[i] for i, w in enumerate(words) if len(w) >= n]
+        cut = [t for t in cut if has_letter(t)]
+        for start in range(0, len(cut), 200):
+            x, step = unit_vectors(cut[start : start + 200], idf)
+            cosines.append((x @ centroids.T).max(axis=1))
+            steps.append(step)
+    if not cosines:
+        return np.full(_STEPS, _NEVER)
+    cosine, step = np.concatenate(cosines), np.concatenate(steps)
+    near = [cosine[abs(step - s) <= 1] for s in range(_STEPS)]
+    own = [slack * float(np.quantile(c, outlying)) if len(c) >= _LEAST else None for c in near]
+    last = min((f for f in own if f is not None), default=slack * float(np.quantile(cosine, outlying)))
+    out = np.array([last := last if f is None else f for f in own])
+    return np.maximum(out, _NEVER)
+
+
 @dataclass
 class CentroidModel:
-    """``floor`` is the least cosine to each centroid that is not rejected."""
+    """``floor`` is, by centroid and step of different trigrams, the least cosine that is not rejected."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -75,15 +116,16 @@ class CentroidModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         lettered = np.array([has_letter(t) for t in texts], bool)
-        cosine = unit_vectors(texts, self.idf) @ self.centroids.T
+        x, step = unit_vectors(texts, self.idf)
+        cosine = x @ self.centroids.T
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best].astype(float), 0.0, 1.0)
-        far = score < self.floor[best]
+        far = score < self.floor[best, step]
         langs = [self.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
         return langs, np.where(lettered, score, 0.0).tolist(), (far | ~lettered).tolist()
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, clusters: int = 4, slack: float = 0.5, most_floor: float = 0.05) -> CentroidModel | None:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, clusters: int = 4, slack: float = 0.5, outlying: float = 0.01) -> CentroidModel | None:
     """Fit on at most ``per_lang`` labelled rows of each language, taken by a hash of the id.
 
     The bound is on the rows that a classifier is fitted on; k-means runs in one
@@ -113,14 +155,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     idf = np.log((1 + n) / (1 + np.sum([r.df for r in parts], axis=0))) + 1e-3
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        x = unit_vectors(frame.t.tolist(), idf)
-        c, near = spherical_kmeans(x, clusters)
-        own = (x * c[near]).sum(axis=1)
-        # One floor a language, and a low one: short texts lie far from every centroid, also from the one they are nearest to.
-        floor = min(most_floor, max(0.02, slack * float(own.min())))
-        return pd.DataFrame({"lang": frame.lang.iloc[0], "j": range(len(c)), "centroid": [row.astype("<f4").tobytes() for row in c], "floor": floor})
-
-    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, j int, centroid binary, floor double").orderBy("lang", "j").collect()
+        texts = sorted(frame.t)
+        c, _ = spherical_kmeans(unit_vectors(texts, idf)[0], clusters)
+        floor = floors(texts, idf, c, slack, outlying).tolist()
+        return pd.DataFrame({"lang": frame.lang.iloc[0], "j": range(len(c)), "centroid": [row.astype("<f4").tobytes() for row in c], "floor": [floor] * len(c)})
+
+    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, j int, centroid binary, floor array<double>").orderBy("lang", "j").collect()
     return CentroidModel(idf, np.stack([np.frombuffer(r.centroid, "<f4") for r in found]), [r.lang for r in found], np.array([r.floor for r in found]))
 
 

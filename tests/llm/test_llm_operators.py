@@ -155,6 +155,22 @@ def test_language_rejects_what_is_far_and_keeps_clean_documents(spark):
     assert langid.keep(docs, model).join(clean, "doc_id", "left_semi").count() == clean.count()
 
 
+def test_language_rejects_foreign_text_of_any_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    rng = random.Random(3)
+    letters = {"cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "arabic": range(0x627, 0x64B), "cjk": range(0x4E00, 0x5E00), "polish": map(ord, "aąbcćdeęfghijklłmnoóprsśtuwyzż"), "latin": range(97, 123)}
+    for name, codes in letters.items():
+        chars = [chr(c) for c in codes]
+        texts = [" ".join("".join(rng.choices(chars, k=rng.randint(2, 9))) for _ in range(n)) for n in (50, 100, 200, 500, 1000) for _ in range(8)]
+        assert all(model.predict(texts)[2]), name
+    clean = [r.text for r in docs.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id", "left_semi").collect()]
+    assert not any(model.predict(clean)[2])
+    for n in (10, 20, 50):
+        short = [" ".join(t.split()[:n]) for t in clean]
+        assert sum(model.predict(short)[2]) <= 0.01 * len(short), n
+
+
 def test_language_and_quality_on_odd_rows(spark, odd, empty):
     model = langid.fit(odd.where("lang = 'en'"))
     got = [(r.lang_pred, r.score) for r in langid.predict(odd, model).collect()]
