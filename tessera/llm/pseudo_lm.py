@@ -11,7 +11,7 @@ bucket's probability given both sides times the word's share of the bucket by th
 counts of the whole corpus, so every word has a probability of its own. Shares of
 the words of a bounded lexicon go along with the network; those of all others come
 from a join with the counts. Training masks a share of the positions
-of every document. Each partition trains its own copy of the network on its rows;
+of every document each round, so that every position is a target in some round. Each partition trains its own copy of the network on its rows;
 the copies are averaged, weighted by masked tokens, in two steps of bounded fan-in
 on the executors, and the average starts the next round. The driver only ever holds
 one network and the vocabulary.
@@ -40,7 +40,7 @@ _FLOATS, _FAN = 1 << 14, 64
 
 @dataclass(frozen=True)
 class Shape:
-    """``classes`` squared is the vocabulary: token 0 pads, ``buckets`` tokens stand for rarer words. One in ``mask`` positions is trained on per round. ``lexicon`` bounds memory: counts of further words are joined."""
+    """``classes`` squared is the vocabulary: token 0 pads, ``buckets`` tokens stand for rarer words. Positions are dealt into ``mask`` parts; the rounds share them out, or go over them again if there are more rounds. ``lexicon`` bounds memory: counts of further words are joined."""
 
     classes: int = 32
     buckets: int = 63
@@ -151,6 +151,11 @@ def hidden(p: dict[str, np.ndarray], line: np.ndarray, at: np.ndarray) -> np.nda
     return np.tanh(h, out=h)
 
 
+def _order(x: np.ndarray, below: int) -> np.ndarray:
+    """A stable order of whole numbers; short ones are sorted by their digits."""
+    return np.argsort(x.astype(np.uint16) if below <= 1 << 16 else x, kind="stable")
+
+
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(axis=1, keepdims=True)
     x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
@@ -165,7 +170,7 @@ def log_probabilities(p: dict[str, np.ndarray], shape: Shape, line: np.ndarray,
         where = at[start : start + 32_768]
         h, target = hidden(p, line, where), line[where]
         logs = _log_softmax(h @ p["to_class"] + p["class_bias"])[np.arange(len(where)), target // c]
-        order = np.argsort(target // c, kind="stable")
+        order = _order(target // c, c)
         bounds = np.searchsorted((target // c)[order], np.arange(c + 1))
         for k in range(c):
             rows = order[bounds[k] : bounds[k + 1]]
@@ -188,7 +193,7 @@ def gradient(p: dict[str, np.ndarray], shape: Shape, line: np.ndarray, at: np.nd
     dh = g @ p["to_class"].T
     out["to_word"][:] = 0
     out["word_bias"][:] = 0
-    order = np.argsort(group, kind="stable")
+    order = _order(group, c)
     bounds = np.searchsorted(group[order], np.arange(c + 1))
     for k in range(c):
         rows = order[bounds[k] : bounds[k + 1]]
@@ -204,7 +209,7 @@ def gradient(p: dict[str, np.ndarray], shape: Shape, line: np.ndarray, at: np.nd
     out["embed"][:] = 0
     for j, offset in enumerate(OFFSETS):
         near = line[at + offset]
-        order = np.argsort(near, kind="stable")
+        order = _order(near, shape.vocabulary)
         starts = np.flatnonzero(np.diff(near[order], prepend=-1))
         out["embed"][j][near[order][starts]] = np.add.reduceat(dh[order], starts, axis=0)
 
@@ -224,7 +229,7 @@ class Trainer:
         if len(ids):
             self.held.append(ids)
             self.waiting += len(ids)
-        if self.waiting >= self.shape.batch * self.shape.mask:
+        if self.waiting >= self.shape.batch * min(self.shape.mask, self.shape.rounds):
             self.flush()
 
     def flush(self) -> None:
@@ -234,7 +239,7 @@ class Trainer:
         self.held, self.waiting = [], 0
         # Which positions are masked depends on the round, the place in the batch and the token alone.
         key = (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line[at].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
-        at = at[key % np.uint64(self.shape.mask) == self.round % self.shape.mask]
+        at = at[key % np.uint64(self.shape.mask) % np.uint64(self.shape.rounds) == self.round % self.shape.mask]
         for start in range(0, len(at), self.shape.batch):
             part = at[start : start + self.shape.batch]
             gradient(self.p, self.shape, line, part, self.g)

@@ -291,6 +291,20 @@ def test_pseudo_likelihood_learns(spark, odd, empty):
     assert pseudo_lm.score(empty, *pseudo_lm.train(empty, shape), shape).count() == 0
 
 
+@pytest.mark.parametrize("shape", [pseudo_lm.Shape(), pseudo_lm.Shape(mask=2, rounds=6), pseudo_lm.Shape(mask=8, rounds=3)])
+def test_every_position_is_trained_on(monkeypatch, shape):
+    targets = Counter()
+    monkeypatch.setattr(pseudo_lm, "gradient", lambda p, shape, line, at, out: targets.update(at.tolist()))
+    texts = [np.random.default_rng(i).integers(1, shape.vocabulary, 500) for i in range(10)]
+    for round_ in range(shape.rounds):
+        trainer = pseudo_lm.Trainer(shape.initial(), shape, round_)
+        for ids in texts:
+            trainer.add(ids)
+        trainer.flush()
+    assert set(targets) == set(pseudo_lm.windows(texts)[1].tolist())
+    assert set(targets.values()) == {max(1, shape.rounds // shape.mask)}
+
+
 @pytest.mark.parametrize("lexicon", [100, 0])
 def test_words_in_one_bucket_have_their_own_probabilities(spark, lexicon):
     shape = pseudo_lm.Shape(classes=4, buckets=1, width=4, lexicon=lexicon)
