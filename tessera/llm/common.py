@@ -83,12 +83,24 @@ def most_frequent(counts: DataFrame, most: int, *, word_col: str = "word", count
 
     Counts are compared by their logarithm to base two in steps of a sixteenth. The
     few hundred steps are counted on the driver, and the rows of all steps that fit
-    are taken, so no task sends more than its share of them.
+    are taken, so no task sends more than its share of them. Places that are left go
+    to rows of the next step, in order of count and word: that step alone is sorted
+    over the tasks, and the place of the last row follows from the tasks' numbers of rows.
     """
     stepped = stash(counts.select(word_col, count_col, F.floor(F.log2(count_col) * 16).cast("int").alias("step")), "counts")
-    cut, total = None, 0
+    cut, rest, left = None, None, most
     for r in stepped.groupBy("step").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("step")).collect():
-        if total + r.m > most:
+        if r.m > left:
+            rest = r.step
             break
-        cut, total = r.step, total + r.m
-    return stepped.where(F.lit(False) if cut is None else F.col("step") >= cut).select(word_col, count_col)
+        cut, left = r.step, left - r.m
+    whole = stepped.where(F.lit(False) if cut is None else F.col("step") >= cut).select(word_col, count_col)
+    if rest is None or left <= 0:
+        return whole
+    # The upper bits of the number are the task, the lower 33 the row in it.
+    part = stash(stepped.where(F.col("step") == rest).orderBy(F.desc(count_col), word_col).select(word_col, count_col, F.monotonically_increasing_id().alias("at")), "counts-step")
+    for r in part.groupBy(F.shiftright("at", 33).alias("task")).agg(F.count(F.lit(1)).alias("m")).orderBy("task").collect():
+        if r.m > left:
+            return whole.unionByName(part.where(F.col("at") < (r.task << 33) + left).select(word_col, count_col))
+        left -= r.m
+    return whole

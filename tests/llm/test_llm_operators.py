@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import bpe_lexicon, components, decontam, langid, license_scan, near_dedup, pseudo_lm, quality_qda, quality_rules, queries, sharding, url_rules
+from tessera.llm import bpe_lexicon, common, components, decontam, langid, license_scan, near_dedup, pseudo_lm, quality_qda, quality_rules, queries, sharding, url_rules
 
 SCHEMA = "doc_id long, text string, lang string, size int, n long"
 SF = "/root/testdata/sf0.001"
@@ -251,6 +251,14 @@ def test_quality_rules_against_brute_force(spark, odd, empty):
 # op6
 
 
+@pytest.mark.parametrize("most", [0, 1, 7, 100, 205, 300])
+def test_most_frequent_words_fill_every_place(spark, most):
+    rows = [(f"top{i}", 5_000 + 900 * i) for i in range(5)] + [(f"w{i * 37 % 200:03}", 1_000 + i % 3) for i in range(200)] + [("last", 1)]
+    counts = spark.createDataFrame(rows, "word string, n long").repartition(4)
+    got = sorted((-r.n, r.word) for r in common.most_frequent(counts, most).collect())
+    assert got == sorted((-n, w) for w, n in rows)[:most]
+
+
 def test_gradient_against_differences():
     shape = pseudo_lm.Shape(classes=4, buckets=3, width=5)
     flat = shape.initial().astype(np.float64) * 10
