@@ -131,7 +131,7 @@ def contrast_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed-rank tests with p-values, Holm within the family, and seeded bootstrap intervals of the mean difference."""
     p = pairs(spark, sf_dir)
     tests = stats.holm(pvalues.signed_rank_tests(p, "condition", "user_id", "d").withColumnRenamed("condition", "test"), "p")
-    ci = pvalues.seeded_intervals(p, "condition", "user_id", "d", draws=1_000).withColumnRenamed("condition", "test")
+    ci = pvalues.seeded_intervals(p, "condition", "user_id", "d", draws=10_000).withColumnRenamed("condition", "test")
     return tests.join(ci, "test")
 
 

@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as spark_entry
 from tessera import catalog
 from tessera.operators import pvalues
+from tessera.plans import statistics
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +76,9 @@ def test_nothing_else_imports_the_training_data_operators():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert not [line for line in path.read_text().splitlines() if line.lstrip().startswith(("import ", "from ")) and "llm" in line]
+
+
+def test_contrast_table_draws_as_often_as_the_reference(spark):
+    found = {r.test: (r.ci_low, r.ci_high) for r in catalog.queries()["contrast_table"](spark, SF).collect()}
+    expected = pvalues.seeded_intervals(statistics.pairs(spark, SF), "condition", "user_id", "d", draws=10_000)
+    assert found == {r.condition: (r.ci_low, r.ci_high) for r in expected.collect()}
