@@ -5,44 +5,153 @@ acyclic automaton that shares prefixes and suffixes. Its arcs carry numbers whos
 sum along a word is the word's rank among the lexicon's words, and the rank leads
 to the word's token ids. The automaton, the ids, the merges and the tokens' bytes
 are one file of flat arrays in the shared folder; Spark hands it to every
-executor, whose Python workers map it into memory. A batch looks up its distinct
-words together, one byte of all words at a time. Words that the lexicon lacks are
+executor, whose Python workers map it into memory. Words that the lexicon lacks are
 merged exactly, so the lexicon's size changes the speed and never the ids.
+
+Texts stay Arrow buffers: a class for every byte tells where the pieces of
+byte-level pre-tokenisation begin, Arrow finds the distinct pieces of a few
+megabytes of text, and those go through the automaton together, one byte of all
+pieces at a time. No text or word becomes a Python object.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
-import re
 import struct
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import most_frequent, shared_dir, slices
+from .common import most_frequent, shared_dir
 
-#: Fixed value: the pattern of byte-level pre-tokenisation.
+#: Fixed value: the pattern of byte-level pre-tokenisation, whose pieces :func:`piece_starts` finds.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PIECES = regex.compile(PATTERN)
-#: The same pattern for texts of Latin letters, whose classes can be spelled out; the plain engine is twice as fast.
-_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PLAIN = re.compile(rf"[\t\n\r -~¡«»¿–—‘’“”…€£{_LATIN}]*")
-_PLAIN_PIECES = re.compile(rf" ?[{_LATIN}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
-#: Marks that form one piece where they follow letters; no apostrophe, which can begin a piece with letters.
-_CLOSING = ".,;:!?)]\""
-#: Where no two white-space characters meet, a text's pieces are those of its parts between single spaces.
-_RUN = regex.compile(r"\s\s")
-#: Code points that Unicode versions may class differently; such texts are split by the library.
-_UNASSIGNED = regex.compile(r"\p{Cn}")
-#: A worker's memory of words it has resolved; it is emptied when full.
-CACHE_WORDS = 400_000
+#: Classes of code points. ``_UNSURE`` are those that Unicode versions may class differently; texts with them are split by the library.
+_LETTER, _NUMBER, _OTHER, _BLANK, _WHITE, _UNSURE = range(6)
+#: Bytes of text that are taken together; a longer text is cut before white space, where a piece begins whatever follows.
+GROUP_BYTES = 4 << 20
+#: Distinct words that a task counts before it hands them on.
+_COUNTED = 500_000
+
+
+@functools.cache
+def classes() -> np.ndarray:
+    """The class of every code point."""
+    codes = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    every = "".join(map(chr, codes.tolist()))
+    out = np.full(0x110000, _OTHER, np.uint8)
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_WHITE, r"\s+"), (_UNSURE, r"\p{Cn}+")):
+        for m in regex.finditer(pattern, every):
+            out[codes[m.start() : m.end()]] = kind
+    out[ord(" ")] = _BLANK
+    return out
+
+
+def byte_classes(blob: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte of UTF-8 belongs to."""
+    table = classes()
+    out = table[:256][blob]
+    lead = np.flatnonzero(blob >= 0xC0)
+    if len(lead):
+        first = blob[lead].astype(np.int64)
+        more = 1 + (first >= 0xE0) + (first >= 0xF0)
+        code = first & (0x3F >> more)
+        for k in (1, 2, 3):
+            some = more >= k
+            code[some] = code[some] << 6 | blob[lead[some] + k] & 0x3F
+        for k in range(4):
+            some = more >= k
+            out[lead[some] + k] = table[code[some]]
+    return out
+
+
+def piece_starts(blob: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the pieces of the pattern begin in texts that lie end to end; text ``i`` is ``blob[at[i]:at[i + 1]]``."""
+    n = len(blob)
+    if not n:
+        return np.empty(0, np.int64)
+    kind = byte_classes(blob)
+    begins = np.zeros(n + 1, bool)
+    begins[at] = True
+    white = (kind == _BLANK) | (kind == _WHITE)
+    cut = begins[:n].copy()
+    # A piece begins where the class changes, but not within white space, and not behind a blank, which goes with what follows it.
+    cut[1:] |= (kind[1:] != kind[:-1]) & ~(white[1:] & white[:-1]) & (kind[:-1] != _BLANK)
+    # The last character of white space in front of something is parted from the rest.
+    last = np.flatnonzero(white[:-1] & ~white[1:] & ~begins[1:n])
+    for _ in range(3):
+        last = last - (blob[last] & 0xC0 == 0x80)
+    cut[last] = True
+    # An apostrophe that begins a piece takes the letters of a contraction with it.
+    quote = np.flatnonzero((blob[:-1] == ord("'")) & cut[: n - 1] & (kind[1:] == _LETTER) & ~begins[1:n])
+    one = blob[quote + 1]
+    two = np.where(begins[quote + 2], 0, blob[np.minimum(quote + 2, n - 1)])
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    quote, size = quote[short | long], np.where(short, 2, 3)[short | long]
+    cut[quote + 1] = False
+    cut[(quote + size)[quote + size < n]] = True
+    unsure = np.flatnonzero(kind == _UNSURE)
+    for i in np.unique(np.searchsorted(at, unsure, "right") - 1).tolist() if len(unsure) else []:
+        cut[at[i] : at[i + 1]] = False
+        cut[at[i] + _library_starts(blob[at[i] : at[i + 1]].tobytes().decode())] = True
+    return np.flatnonzero(cut)
+
+
+def _library_starts(text: str) -> np.ndarray:
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    sizes = [len(text[a:b].encode()) for _, (a, b) in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
+    return np.cumsum([0, *sizes[:-1]])
+
+
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary column and where each value begins and ends among them; nulls are empty."""
+    column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    blob = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    return blob, at - at[0]
+
+
+def values(blob: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The column whose values lie end to end in ``blob`` and begin and end at ``at``."""
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(blob))])
+
+
+def groups(blob: np.ndarray, at: np.ndarray):
+    """Texts in groups of about ``GROUP_BYTES``: where a group's parts begin and end, and the number of texts that end with each part."""
+    start = 0
+    while start < len(at) - 1:
+        stop = max(start + 1, int(np.searchsorted(at, at[start] + GROUP_BYTES, "right")) - 1)
+        if stop > start + 1 or at[stop] - at[start] <= GROUP_BYTES:
+            yield at[start : stop + 1], np.ones(stop - start, np.int64)
+        else:
+            low, high = int(at[start]), int(at[stop])
+            white = classes()[:128] == _WHITE
+            white[ord(" ")] = True
+            while low < high:
+                # ASCII white space behind something else; what stands between two such places is never cut.
+                end, window = high, low + GROUP_BYTES
+                while window < high:
+                    near = blob[window - 1 : window + GROUP_BYTES]
+                    is_white = white[near & 0x7F] & (near < 0x80)
+                    found = np.flatnonzero(is_white[1:] & ~is_white[:-1] & (near[:-1] < 0x80))
+                    if len(found):
+                        end = window + int(found[0])
+                        break
+                    window += GROUP_BYTES
+                yield np.array([low, end]), np.array([int(end == high)])
+                low = end
+        start = stop
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,32 +182,33 @@ class Merges:
         at = np.minimum(np.searchsorted(self.sorted, key), len(self.sorted) - 1)
         return np.where(self.sorted[at] == key, self.rank_at[at], self._NONE)
 
-    def encode_packed(self, words: list[bytes]) -> list[bytes]:
-        """The packed ids of each word. Words of one length are merged side by side, one merge a round."""
-        out: list[bytes] = [b""] * len(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+    def encode(self, blob: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one word's behind the other's, and their numbers. Words of one length are merged side by side, one merge a round."""
+        place = np.cumsum(lengths) - lengths
+        room = np.zeros(int(lengths.sum()), np.uint32)
+        count = np.zeros(len(lengths), np.int64)
         order = np.argsort(lengths, kind="stable")
-        bounds = np.flatnonzero(np.diff(lengths[order])) + 1
-        for group in np.split(order, bounds) if len(order) else []:
+        for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
             size = int(lengths[group[0]])
             if size > self.LONG:
                 for i in group.tolist():
-                    out[i] = np.array(self.merge_long(words[i]), "<u4").tobytes()
+                    ids = self.merge_long(blob[starts[i] : starts[i] + size].tobytes())
+                    room[place[i] : place[i] + len(ids)] = ids
+                    count[i] = len(ids)
             elif size:
-                raw = np.frombuffer(b"".join([words[i] for i in group.tolist()]), np.uint8)
-                raw = raw.reshape(-1, size)
+                raw = blob[starts[group][:, None] + np.arange(size)]
                 rank = self.first[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]]
-                self._side_by_side(self.byte_ids[raw], rank, group, out)
-        return out
+                self._side_by_side(self.byte_ids[raw], rank, group, place, room, count)
+        return room[np.repeat(place - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))], count
 
-    def _side_by_side(self, ids: np.ndarray, rank: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
+    def _side_by_side(self, ids: np.ndarray, rank: np.ndarray, rows: np.ndarray, place: np.ndarray, room: np.ndarray, count: np.ndarray) -> None:
         while True:
             n, width = ids.shape
             best = rank.min(axis=1) if width > 1 else np.full(n, self._NONE)
             going = best < self._NONE
-            raw = ids[~going].astype("<u4").tobytes()
-            for k, i in enumerate(rows[~going].tolist()):
-                out[i] = raw[4 * width * k : 4 * width * (k + 1)]
+            done = rows[~going]
+            room[place[done][:, None] + np.arange(width)] = ids[~going]
+            count[done] = width
             if not going.any():
                 return
             ids, rank, rows, best = ids[going], rank[going], rows[going], best[going]
@@ -219,28 +329,32 @@ def compile_automaton(words: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def rank_words(auto: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
-    """Each word's rank in the automaton, or -1; all words advance together, a byte at a time."""
-    n = len(words)
-    found = np.full(n, -1, np.int64)
+    """Each word's rank in the automaton, or -1."""
+    return walk(auto, *buffers(pa.array(words, pa.binary())))
+
+
+def walk(auto: dict[str, np.ndarray], blob: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ranks of words that lie end to end; all words advance together, a byte at a time."""
+    lengths = np.diff(at)
+    found = np.full(len(lengths), -1, np.int64)
     arcs = auto["arcs"]
-    if not n or not len(arcs):
+    if not len(lengths) or not len(arcs):
         return found
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    blob = np.frombuffer(b"".join(words), np.uint8)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    live, state, total, depth = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+    live, state, total, depth = np.arange(len(lengths)), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
     while len(live):
         ends = lengths[live] == depth
-        here = live[ends]
-        good = auto["final"][state[ends]] == 1
-        found[here[good]] = total[ends][good]
-        live, state, total = live[~ends], state[~ends], total[~ends]
-        if not len(live):
-            break
-        key = state * 256 + blob[starts[live] + depth]
-        at = np.minimum(np.searchsorted(arcs, key), len(arcs) - 1)
-        on = arcs[at] == key
-        live, state, total = live[on], auto["to"][at[on]], total[on] + auto["out"][at[on]]
+        if ends.any():
+            here = live[ends]
+            good = auto["final"][state[ends]] == 1
+            found[here[good]] = total[ends][good]
+            live, state, total = live[~ends], state[~ends], total[~ends]
+            if not len(live):
+                break
+        key = state * 256 + blob[at[live] + depth]
+        arc = np.minimum(np.searchsorted(arcs, key), len(arcs) - 1)
+        on = arcs[arc] == key
+        live, arc = live[on], arc[on]
+        state, total = auto["to"][arc], total[on] + auto["out"][arc]
         depth += 1
     return found
 
@@ -258,10 +372,11 @@ def pack(arrays: dict[str, np.ndarray], extra: dict) -> bytes:
 
 
 class Lexicon:
-    """A packed lexicon mapped into memory, with what a worker has resolved so far."""
+    """A packed lexicon mapped into memory."""
 
     def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
+        # Plain views of the map: a memmap makes an object with a state of its own for every slice.
+        raw = np.asarray(np.memmap(path, np.uint8, "r")).view(np.ndarray)
         size = struct.unpack("<q", raw[:8].tobytes())[0]
         meta = json.loads(raw[8 : 8 + size].tobytes())
         a = {}
@@ -271,126 +386,101 @@ class Lexicon:
         self.auto, self.id_at, self.ids = {k: a[k] for k in ("arcs", "to", "out", "final")}, a["id_at"], a["ids"]
         self.token_at, self.token_bytes = np.array(a["token_at"]), np.array(a["token_bytes"])
         self.merges = Merges(a["byte_ids"], a["pairs"], a["merged"])
-        self.added = [(t, i) for t, i in meta["extra"]["added"]]
-        self.split = regex.compile("|".join(regex.escape(t) for t, _ in sorted(self.added, key=lambda x: -len(x[0])))) if self.added else None
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def resolve(self, words: set[str]) -> None:
-        """Put the ids of all words, as little-endian unsigned 32-bit integers, into ``words``."""
-        todo = [w for w in words if w not in self.words]
-        if len(self.words) + len(todo) > CACHE_WORDS:
-            self.words.clear()
-            todo = list(words)
-        raw = [w.encode() for w in todo]
-        ranks = rank_words(self.auto, raw)
-        unseen = np.flatnonzero(ranks < 0).tolist()
-        self.words.update(zip([todo[i] for i in unseen], self.merges.encode_packed([raw[i] for i in unseen]), strict=True))
-        seen = np.flatnonzero(ranks >= 0)
-        begin, end = self.id_at[ranks[seen]].tolist(), self.id_at[ranks[seen] + 1].tolist()
-        self.words.update((todo[i], self.ids[a:b].tobytes()) for i, a, b in zip(seen.tolist(), begin, end, strict=True))
-
-    def resolve_parts(self, parts: set[str]) -> None:
-        """The same for parts, which are strings that begin where a word begins and end where one ends."""
-        todo = [p for p in parts if p not in self.parts]
-        if len(self.parts) + len(todo) > CACHE_WORDS:
-            self.parts.clear()
-            todo = list(parts)
-        pieces = list(map(split_part, todo))
-        self.resolve(set().union(*pieces))
-        get, parts = self.words.__getitem__, self.parts
-        for part, words in zip(todo, pieces, strict=True):
-            parts[part] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The packed ids of each text. Texts are taken together up to a bound, so that what they share is resolved once."""
-        out: list[bytes] = []
-        group: list[list[str]] = []
-        held = 0
-        for n, text in enumerate(texts):
-            group.append(self.cut(text or ""))
-            held += len(group[-1])
-            if held > 100_000 or n == len(texts) - 1:
-                special = {t: np.uint32(i).tobytes() for t, i in self.added}
-                distinct = set().union(*group)
-                self.resolve_parts(distinct.difference(special))
-                get = (self.parts | special).__getitem__ if not distinct.isdisjoint(special) else self.parts.__getitem__
-                out += [b"".join(map(get, parts)) for parts in group]
-                group, held = [], 0
-        return out
-
-    def cut(self, text: str) -> list[str]:
-        """The text's parts; added tokens that stand in it are parts of their own."""
-        if self.split is None or not any(t in text for t, _ in self.added):
-            return cut_parts(text)
-        out, at = [], 0
-        for m in self.split.finditer(text):
-            out += [*cut_parts(text[at : m.start()]), m[0]]
-            at = m.end()
-        return out + cut_parts(text[at:])
-
-    def decode(self, packed: list[bytes]) -> list[str]:
-        """The texts of packed ids: the tokens' bytes are gathered for all texts at once."""
-        ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+        self.added = {t: i for t, i in meta["extra"]["added"]}
+        self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=lambda t: -len(t))) + ")") if self.added else None
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text's behind the other's, and where each text's begin and end."""
+        blob, at = buffers(texts)
+        if self.split is not None:
+            held = functools.reduce(pc.or_, (pc.match_substring(pc.fill_null(texts, ""), t) for t in self.added))
+            if pc.any(held).as_py():
+                return self._encode_with_added(texts)
+        ids, sizes, waiting = [], [], 0
+        for bounds, texts_ended in groups(blob, at):
+            some, count = self._encode_group(blob[bounds[0] : bounds[-1]], bounds - bounds[0])
+            ids.append(some)
+            for n, ended in ((count, None),) if texts_ended.all() else zip(count[:, None], texts_ended.tolist(), strict=True):
+                if ended is None:
+                    sizes.append(n)
+                else:
+                    waiting += int(n[0])
+                    if ended:
+                        sizes.append(np.array([waiting]))
+                        waiting = 0
+        return (np.concatenate(ids) if ids else np.empty(0, np.uint32)), np.concatenate(([0], np.cumsum(np.concatenate(sizes) if sizes else []))).astype(np.int64)
+
+    def _encode_group(self, blob: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that lie end to end, and their number per text."""
+        if not len(blob):
+            return np.empty(0, np.uint32), np.zeros(len(at) - 1, np.int64)
+        starts = piece_starts(blob, at)
+        coded = values(blob, np.append(starts, len(blob)), pa.binary()).dictionary_encode()
+        words, word_at = buffers(coded.dictionary)
+        rank = walk(self.auto, words, word_at)
+        unseen, seen = np.flatnonzero(rank < 0), np.flatnonzero(rank >= 0)
+        merged, count = self.merges.encode(words, word_at[unseen], word_at[unseen + 1] - word_at[unseen])
+        pool = np.concatenate([merged, self.ids])
+        begin, size = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+        begin[unseen], size[unseen] = np.cumsum(count) - count, count
+        first = self.id_at[rank[seen]]
+        begin[seen], size[seen] = first + len(merged), self.id_at[rank[seen] + 1] - first
+        index = coded.indices.to_numpy()
+        each = size[index]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        ids = pool[np.repeat(begin[index] - ends[:-1], each) + np.arange(ends[-1])]
+        return ids, np.diff(ends[np.searchsorted(starts, at)])
+
+    def _encode_with_added(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same where added tokens stand in the texts: what lies between them is encoded as if it were texts of its own."""
+        parts = [self.split.split(t) if t else [""] for t in texts.to_pylist()]
+        flat = [p for text in parts for p in text]
+        plain = [n % 2 == 0 for text in parts for n in range(len(text))]
+        # Plain parts hold no added token, so they take the common way.
+        ids, at = self.encode(pa.array([p if ok else "" for p, ok in zip(flat, plain, strict=True)], pa.string()))
+        pieces = [ids[at[i] : at[i + 1]] if ok else np.array([self.added[p]], np.uint32) for i, (p, ok) in enumerate(zip(flat, plain, strict=True))]
+        ends = np.cumsum([0, *map(len, pieces)])[np.cumsum([0, *map(len, parts)])]
+        return np.concatenate(pieces).astype(np.uint32), ends
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The texts of ids that lie end to end: the tokens' bytes are gathered for all texts at once."""
         begin = self.token_at[ids]
-        lengths = self.token_at[ids + 1] - begin
+        lengths = self.token_at[ids.astype(np.int64) + 1] - begin
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        blob = self.token_bytes[np.repeat(begin - ends[:-1], lengths) + np.arange(ends[-1])].tobytes()
-        at = ends[np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int64)].tolist()
-        return [blob[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]  # noqa: B905
-
-
-def split_words(text: str) -> list[str]:
-    """The pieces within which byte-level BPE merges."""
-    if _PLAIN.fullmatch(text):
-        return _PLAIN_PIECES.findall(text)
-    if _UNASSIGNED.search(text):
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        return [text[a:b] for _, (a, b) in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
-    return _PIECES.findall(text)
-
-
-def split_part(part: str) -> tuple[str, ...] | list[str]:
-    """The pieces of a part; a word of letters with closing marks behind it needs no pattern."""
-    core = part.rstrip(_CLOSING)
-    if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
-        return (core,) if len(core) == len(part) else (core, part[len(core) :])
-    return split_words(part)
-
-
-def cut_parts(text: str) -> list[str]:
-    """Parts of whole pieces that texts are likely to share: a space with what follows up to the next one, or else the pieces."""
-    if not text:
-        return []
-    if _RUN.search(text) or _UNASSIGNED.search(text):
-        return split_words(text)
-    first, *rest = text.split(" ")
-    parts = [" " + x for x in rest]
-    return [first, *parts] if first else parts
+        out = values(self.token_bytes[np.repeat(begin - ends[:-1], lengths) + np.arange(ends[-1])], ends[at], pa.binary())
+        try:
+            return out.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([v.decode("utf-8", "replace") for v in out.to_pylist()], pa.string())
 
 
 def count_words(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``word, n`` over all texts. Workers count as they read, so a frequent word crosses the shuffle once per flush."""
 
     def run(batches):
-        parts: Counter[str] = Counter()
+        held: list[pa.Table] = []
+        rows = 0
 
-        def flush():
-            counts: Counter[str] = Counter()
-            for part, n in parts.items():
-                for word in split_part(part):
-                    counts[word] += n
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        def counted():
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for part in slices(batch, 64):
-                for text in part.column(0).to_pylist():
-                    parts.update(cut_parts(text or ""))
-                if len(parts) > 250_000:
-                    yield flush()
-        yield flush()
+            blob, at = buffers(batch.column(0))
+            for bounds, _ in groups(blob, at):
+                part = blob[bounds[0] : bounds[-1]]
+                if not len(part):
+                    continue
+                counts = values(part, np.append(piece_starts(part, bounds - bounds[0]), len(part)), pa.binary()).value_counts()
+                held.append(pa.table({"word": counts.field(0).cast(pa.string()), "n": counts.field(1)}))
+                rows += len(counts)
+                if rows > 2 * _COUNTED:
+                    held = [counted()]
+                    rows = held[0].num_rows
+                    if rows > _COUNTED:
+                        yield from held[0].to_batches()
+                        held, rows = [], 0
+        if held:
+            yield from counted().to_batches()
 
     return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -404,10 +494,11 @@ def build_lexicon(counts: DataFrame, tokenizer_path: str, *, words: int = 150_00
     spark = counts.sparkSession
     spec = load_tokenizer(tokenizer_path)
     lexicon = sorted(r.word.encode() for r in most_frequent(counts.where("word <> ''"), words).collect())
-    packed_ids = Merges(spec["byte_ids"], spec["pairs"], spec["merged"]).encode_packed(lexicon)
+    blob, at = buffers(pa.array(lexicon, pa.binary()))
+    ids, count = Merges(spec["byte_ids"], spec["pairs"], spec["merged"]).encode(blob, at[:-1], np.diff(at))
     arrays = compile_automaton(lexicon) | {
-        "id_at": np.cumsum([0, *(len(p) // 4 for p in packed_ids)]),
-        "ids": np.frombuffer(b"".join(packed_ids), "<u4"),
+        "id_at": np.concatenate(([0], np.cumsum(count))),
+        "ids": ids,
         "token_at": np.cumsum([0, *map(len, spec["tokens"])]),
         "token_bytes": np.frombuffer(b"".join(spec["tokens"]), np.uint8),
         "byte_ids": np.array(spec["byte_ids"], np.int64),
@@ -443,19 +534,34 @@ def open_lexicon(name: str) -> Lexicon:
     return _OPEN[name]
 
 
+def row_groups(ends: np.ndarray):
+    """Rows in groups of about ``GROUP_BYTES``, a longer text alone; ``ends`` are the running sums of their bytes."""
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + GROUP_BYTES, "right")))
+        yield start, stop
+        start = stop
+
+
 def encode_decode(docs: DataFrame, lexicon: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, ``ids`` (packed little-endian unsigned 32-bit) and ``decoded``, the text those ids decode to.
 
-    Whole texts are encoded. Null and empty texts have no ids and decode to the
-    empty text. Repeated rows are encoded each. Other columns are not read.
+    Whole texts are encoded, long ones in parts of a few megabytes that are cut where
+    a piece begins. Null and empty texts have no ids and decode to the empty text.
+    Repeated rows, also of one id or of a null id, are encoded each. An empty table
+    gives no rows. Other columns are not read.
     """
 
     def run(batches):
         lex = open_lexicon(lexicon)
         for batch in batches:
-            for part in slices(batch):
-                packed = lex.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), pa.array(lex.decode(packed), pa.string())], names=["k", "ids", "decoded"])
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+            # Rows whose texts make up a group, so that ids and decoded texts are held for one group, or one text, at a time.
+            for start, stop in row_groups(ends):
+                part = batch.slice(start, stop - start)
+                ids, at = lex.encode(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), values(ids.view(np.uint8), 4 * at, pa.binary()), lex.decode(ids, at)], names=["k", "ids", "decoded"])
 
     slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     kind = dict(slim.dtypes)["k"]
