@@ -31,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one of our own if all of Spark runs in this process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "/tmp/checkpoints/tessera"
     return found.rstrip("/")
 
@@ -53,10 +56,12 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def unstash(df: DataFrame) -> None:
-    """Delete a stashed table that nothing reads any more."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
+def unstash(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_tessera_path", None)
+        if not path:
+            continue
         spark = df.sparkSession
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

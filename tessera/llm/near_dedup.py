@@ -11,7 +11,10 @@ the full sets.
 
 Equal sets are one class from the start. Documents that share keys form families,
 found as components of stars, so a key with many members costs one edge each.
-Families are dealt into blocks of a bounded number of bytes. A block compares its
+Classes that meet in one Arrow batch are tied there, and only one of them takes
+each key further, so a key that most documents share crosses the shuffle once a
+batch. Families are dealt into blocks of a bounded number of bytes; a block is a
+shuffle key of its own, so a family's blocks go to different tasks. A block compares its
 members' signatures, then their sets, nearest first, and skips pairs that are
 connected already. In families of several blocks, two differently salted dealings
 join nearly all; the rest, members outside the family's largest component, meet
@@ -25,11 +28,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash
-from .components import connected
+from .common import slices, stash, unstash
+from .components import PARTS, connected, with_least
 
 _MIX1, _MIX2, _STEP = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _LOW_BITS, _TOP_BITS = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
@@ -106,8 +109,8 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) ->
 
 
 def signatures(docs: DataFrame, plan: Plan, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``k, n, cid, c0, c1, ...``: id, set size, set id and the signature's chunks, a row per input row."""
-    slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    """``k, h, n, cid, c0, c1, ...``: id, hash of the text, set size, set id and the signature's chunks, a row per input row."""
+    slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
     names = [f"c{i}" for i in range(plan.chunks)]
 
     def run(batches):
@@ -122,28 +125,79 @@ def signatures(docs: DataFrame, plan: Plan, *, id_col: str = "doc_id", text_col:
                     cid.append(set_id(s))
                     sig.append(signature(s, a, b, plan.width))
                 chunks = np.array(sig, np.uint64).reshape(-1, plan.chunks).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), *(pa.array(chunks[:, i].copy()) for i in range(plan.chunks))], names=["k", "n", "cid", *names])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), *(pa.array(chunks[:, i].copy()) for i in range(plan.chunks))], names=["k", "h", "n", "cid", *names])
 
     kind = dict(slim.dtypes)["k"]
-    return slim.mapInArrow(run, f"k {kind}, n long, cid long, " + ", ".join(f"{c} long" for c in names))
+    return slim.mapInArrow(run, f"k {kind}, h long, n long, cid long, " + ", ".join(f"{c} long" for c in names))
 
 
-def keys(classes: DataFrame, plan: Plan) -> DataFrame:
-    """``cid, key``: for each chunk and each of its symbols, a hash of the chunk without that symbol."""
-    each = []
+def keys(sig: np.ndarray, plan: Plan) -> np.ndarray:
+    """For each row of chunks, the keys: for each chunk and each of its symbols, a hash of the chunk without that symbol."""
+    out = np.empty((len(sig), plan.chunks * plan.width), np.uint64)
     for i in range(plan.chunks):
         for j in range(plan.width):
-            mask = ~(0xFF << (8 * j)) & ((1 << 64) - 1)
-            signed = mask - (1 << 64) if mask >> 63 else mask
-            each.append(F.xxhash64(F.lit(i * 8 + j), F.col(f"c{i}").bitwiseAND(F.lit(signed).cast("long"))))
-    return classes.select("cid", F.explode(F.array(*each)).alias("key"))
+            at = i * plan.width + j
+            out[:, at] = _mix((sig[:, i] & ~np.uint64(0xFF << 8 * j)) + np.uint64(at + 1) * _STEP)
+    return out
+
+
+def tied(cid: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """For each class the least class that it shares keys with, directly or through others, among these classes."""
+    n, width = found.shape
+    order = np.argsort(found, axis=None)
+    owner, flat = order // width, found.reshape(-1)[order]
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    many = np.repeat(np.diff(np.append(starts, len(flat))) > 1, np.diff(np.append(starts, len(flat))))
+    owner, flat = owner[many], flat[many]
+    least = cid.copy()
+    if not len(flat):
+        return least
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    sizes = np.diff(np.append(starts, len(flat)))
+    while True:
+        after = least.copy()
+        np.minimum.at(after, owner, np.repeat(np.minimum.reduceat(least[owner], starts), sizes))
+        if (after == least).all():
+            return least
+        least = after
+
+
+def spread(classes: DataFrame, plan: Plan) -> DataFrame:
+    """``key, lead, others``: the keys of the classes of each Arrow batch, once a batch, under the least class that shares them there.
+
+    ``others`` are the classes that stand behind ``lead`` in that batch; they go
+    along with one of its keys.
+    """
+    names = [f"c{i}" for i in range(plan.chunks)]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 4096):
+                cid = part.column("cid").to_numpy()
+                found = keys(np.column_stack([part.column(c).to_numpy() for c in names]).view(np.uint64), plan)
+                lead = tied(cid, found)
+                key = found.view(np.int64).reshape(-1)
+                first = np.unique(key, return_index=True)[1]
+                key, owner = key[first], lead[first // found.shape[1]]
+                behind: dict[int, list[int]] = {}
+                for member, of in zip(cid[cid != lead].tolist(), lead[cid != lead].tolist(), strict=True):
+                    behind.setdefault(of, []).append(member)
+                others: list[list[int]] = [[]] * len(key)
+                where = dict(zip(owner.tolist(), range(len(key)), strict=True)) if behind else {}
+                for of, members in behind.items():
+                    others[where[of]] = members
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(others, pa.list_(pa.int64()))], names=["key", "lead", "others"])
+
+    return classes.select("cid", *names).mapInArrow(run, "key long, lead long, others array<long>")
 
 
 def families(classes: DataFrame, plan: Plan) -> DataFrame:
-    """``v, root``: classes that share a key, directly or through others. Every member of a key is tied to the key's least class."""
-    spread = keys(classes, plan)
-    leads = spread.groupBy("key").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "lead")
-    return connected(spread.join(leads, "key").where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct())
+    """``v, root``: classes that share a key, directly or through others. All that stands behind a key is tied to the key's least class."""
+    rows = spread(classes, plan).repartition("key")
+    least = rows.groupBy("key").agg(F.min("lead").alias("least"), F.count(F.lit(1)).alias("m"), F.sum(F.size("others")).alias("tied"))
+    joined = rows.join(least.where("m > 1 or tied > 0").select("key", "least"), "key").where("lead <> least or size(others) > 0")
+    edges = F.concat(F.array(F.struct(F.col("lead").alias("a"), F.col("least").alias("b"))), F.transform("others", lambda x: F.struct(x.alias("a"), F.col("lead").alias("b"))))
+    return connected(joined.select(F.explode(edges).alias("e")).select("e.a", "e.b"))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -233,11 +287,24 @@ def _block_linker(plan: Plan):
     return run
 
 
-def _member_sets(docs: DataFrame, classes: DataFrame, family: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
-    """The members of families with their full sets, made again from one text of each class."""
-    chosen = classes.join(family, classes.cid == family.v).select("rep", "cid", "root", *[f"c{i}" for i in range(plan.chunks)])
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("t")).join(chosen, "rep")
+def _member_sets(docs: DataFrame, classes: DataFrame, family: DataFrame, plan: Plan, text_col: str) -> DataFrame:
+    """The members of families with their full sets, made again from one text of each class.
+
+    Texts are found by their hashes, not by ids, which may be null or repeated; a
+    task sends a text once, however many copies of it there are.
+    """
     names = [f"c{i}" for i in range(plan.chunks)]
+    chosen = classes.join(family, classes.cid == family.v).select(F.col("best.h").alias("h"), "cid", "root", *names)
+    slim = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+
+    def once(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            hashes = batch.column(0).to_pylist()
+            new = [i for i, h in enumerate(hashes) if h not in seen and not seen.add(h)]
+            if len(seen) > _CACHE:
+                seen.clear()
+            yield batch.take(pa.array(new, pa.int64()))
 
     def run(batches):
         hashes = _WordHashes()
@@ -248,75 +315,128 @@ def _member_sets(docs: DataFrame, classes: DataFrame, family: DataFrame, plan: P
                 out = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("root", "cid", *names)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "cid", *names, "shingles"])
                 yield out.filter(pa.array(same, pa.bool_()))
 
+    texts = slim.mapInArrow(once, "h long, t string").join(chosen, "h")
     return texts.mapInArrow(run, "root long, cid long, " + ", ".join(f"{c} long" for c in names) + ", shingles binary")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, plan: Plan, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _with_plan(members: DataFrame, plans: DataFrame, how: str) -> DataFrame:
+    """The members with the row of their family; the members of one family are dealt into parts for this."""
+    part = F.pmod(F.xxhash64("cid"), F.lit(PARTS)).cast("int")
+    copies = plans.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return members.withColumn("part", part).join(copies, ["root", "part"], how).drop("part")
+
+
+def _blocks(bytes_: Column, plan: Plan) -> Column:
+    return F.ceil(bytes_ / plan.block_bytes).cast("int")
+
+
+def _dealt(rows: DataFrame, *names: str) -> DataFrame:
+    """Blocks as one column of their own: rows that lie by family are not taken to lie by block."""
+    return rows.withColumn("deal", F.xxhash64("root", *names)).groupBy("deal")
+
+
+def class_links(docs: DataFrame, classes: DataFrame, plan: Plan, *, text_col: str = "text") -> DataFrame:
     """Confirmed links ``a, b`` between classes, enough to connect all that similarity connects."""
     family = stash(families(classes, plan), "family")
-    members = stash(_member_sets(docs, classes, family, plan, id_col, text_col), "members")
-    sizes = members.groupBy("root").agg(F.ceil(F.sum(F.length("shingles") + 128) / plan.block_bytes).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "root")
+    members = stash(_member_sets(docs, classes, family, plan, text_col), "members")
+    large = stash(members.groupBy("root").agg(_blocks(F.sum(F.length("shingles") + 128), plan).alias("blocks")).where("blocks > 1"), "large")
+    dealt = _with_plan(members, large, "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "side": F.lit(0), "comp": F.col("cid")})
+    schema, run = "a long, b long", _block_linker(plan)
 
     def block(salt: str):
         return F.pmod(F.xxhash64("cid", F.lit(salt)), F.col("blocks")).cast("int")
 
-    schema, run = "a long, b long", _block_linker(plan)
-    alone = dealt.withColumns({"side": F.lit(0), "comp": F.col("cid")})
-    links = alone.withColumn("block", block("one")).groupBy("root", "block").applyInArrow(run, schema)
-    again = alone.where("blocks > 1").withColumn("block", block("two")).groupBy("root", "block").applyInArrow(run, schema)
-    links = stash(links.unionByName(again), "links")
-    large = stash(sizes.where("blocks > 1"), "large")
-    if large.isEmpty():
+    links = _dealt(dealt.withColumn("block", block("one")), "block").applyInArrow(run, schema)
+    again = _dealt(dealt.where("blocks > 1").withColumn("block", block("two")), "block").applyInArrow(run, schema)
+    some = large.isEmpty()
+    links = stash(links if some else links.unionByName(again), "links")
+    if some:
+        unstash(family, members, large)
         return links
 
-    rest = stash(_meetings(members, large, connected(links), plan).groupBy("root", "x", "y").applyInArrow(run, schema), "links")
-    return links.unionByName(rest)
+    met = _dealt(_meetings(members, large, connected(links), plan), "x", "y").applyInArrow(run, schema)
+    every = stash(links.unionByName(met), "links")
+    unstash(family, members, large, links)
+    return every
 
 
 def _meetings(members: DataFrame, large: DataFrame, comps: DataFrame, plan: Plan) -> DataFrame:
     """In families of several blocks: blocks of members outside the largest component (side 0) against every block (side 1)."""
-    named = members.join(large, "root").join(comps.select(F.col("v").alias("cid"), F.col("root").alias("comp")), "cid", "left")
+    named = _with_plan(members, large, "inner").join(comps.select(F.col("v").alias("cid"), F.col("root").alias("comp")), "cid", "left")
     named = named.withColumn("comp", F.coalesce("comp", "cid"))
-    counts = named.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("m"))
-    main = counts.groupBy("root").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-    outside = named.join(main, "root").where("comp <> main").drop("main")
-    widths = outside.groupBy("root").agg(F.ceil(F.sum(F.length("shingles") + 128) / plan.block_bytes).cast("int").alias("outside_blocks"))
-    x = F.pmod(F.xxhash64("cid", F.lit("x")), F.col("outside_blocks")).cast("int")
+    sizes = named.groupBy("root", "comp", "blocks").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("shingles") + 128).alias("bytes"))
+    main = sizes.groupBy("root", "blocks").agg(F.max(F.struct("m", "comp", "bytes")).alias("main"), F.sum("bytes").alias("bytes"))
+    plans = stash(main.select("root", "blocks", F.col("main.comp").alias("main"), _blocks(F.col("bytes") - F.col("main.bytes"), plan).alias("outside")).where("outside > 0"), "meetings")
+    every = _with_plan(named.drop("blocks"), plans, "inner")
+    x = F.pmod(F.xxhash64("cid", F.lit("x")), F.col("outside")).cast("int")
     y = F.pmod(F.xxhash64("cid", F.lit("y")), F.col("blocks")).cast("int")
-    first = outside.join(widths, "root").withColumns({"side": F.lit(0), "x": x, "y": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-    second = named.join(widths, "root").withColumns({"side": F.lit(1), "y": y, "x": F.explode(F.sequence(F.lit(0), F.col("outside_blocks") - 1))})
+    first = every.where("comp <> main").withColumns({"side": F.lit(0), "x": x, "y": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    second = every.withColumns({"side": F.lit(1), "y": y, "x": F.explode(F.sequence(F.lit(0), F.col("outside") - 1))})
     return first.unionByName(second)
 
 
+def _judged(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
+    """``k, h, n, rep, best`` for every input row; ``rep`` and ``best`` are the first rows ``(no_id, k, h)`` of its class and its component, null without shingles."""
+    each = stash(signatures(docs, plan, id_col=id_col, text_col=text_col), "signatures")
+    row = F.struct(F.col("k").isNull().alias("no_id"), "k", "h")
+    chunks = [F.first(f"c{i}").alias(f"c{i}") for i in range(plan.chunks)]
+    classes = stash(each.where("n > 0").groupBy("cid").agg(F.min(row).alias("best"), *chunks), "classes")
+    links = class_links(docs, classes, plan, text_col=text_col)
+    comps = connected(links).select(F.col("v").alias("cid"), "root")
+    rooted = classes.select("cid", F.col("best").alias("rep")).join(comps, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = stash(with_least(rooted, "root", "rep", "best").select("cid", "rep", "best"), "named")
+    unstash(classes, links, comps)
+    some = each.where("n > 0").select("k", "h", "n", "cid").join(named, "cid").select("k", "h", "n", "rep", "best")
+    none = F.lit(None).cast(named.schema["best"].dataType)
+    return some.unionByName(each.where("n = 0").select("k", "h", "n", none.alias("rep"), none.alias("best")))
+
+
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008  frozen
     """One row per input row: ``id_col, n_shingles, class_id, component_id, kept``.
 
     Documents are linked where 100 times the intersection of their shingle sets is
     at least ``percent`` times the union; ``component_id`` is the least id reachable.
     Null texts and texts without words have no shingles, are linked with nothing and
-    kept. Rows of one id count as one document. A null id is kept only if its
-    component has no other id. An empty input gives no rows. Other columns are not
-    read.
+    kept. Every row is judged by its own text, also where ids repeat or are null:
+    rows of one id may be in several components. The component of rows without
+    ids has a null id, and of its texts one is kept. Rows alike in id and text are
+    judged alike. Very long texts are hashed whole. An empty input gives no rows.
+    Other columns are not read.
     """
-    each = stash(signatures(docs, plan, id_col=id_col, text_col=text_col), "signatures")
-    chunks = [F.first(f"c{i}").alias(f"c{i}") for i in range(plan.chunks)]
-    classes = stash(each.where("n > 0").groupBy("cid").agg(F.min("k").alias("rep"), *chunks), "classes")
-    links = class_links(docs, classes, plan, id_col=id_col, text_col=text_col)
-    comps = connected(links).select(F.col("v").alias("cid"), "root")
-    rooted = stash(classes.select("cid", "rep").join(comps, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "components")
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    named = stash(rooted.join(least, "root").select("cid", "rep", "component"), "named")
-    some = each.select("k", "n", "cid").where("n > 0").join(named, "cid").select("k", "n", "rep", "component")
-    none = each.where("n = 0").select("k", "n", F.col("k").alias("rep"), F.col("k").alias("component"))
-    return some.unionByName(none).select(
-        F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"),
-        F.col("component").alias("component_id"), F.col("k").eqNullSafe(F.col("component")).alias("kept"),
+    rows = _judged(docs, plan, id_col, text_col)
+    alone = F.col("best").isNull()
+    chosen = F.col("k").eqNullSafe(F.col("best.k")) & (F.col("k").isNotNull() | (F.col("h") == F.col("best.h")))
+    return rows.select(
+        F.col("k").alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("k")).otherwise(F.col("rep.k")).alias("class_id"),
+        F.when(alone, F.col("k")).otherwise(F.col("best.k")).alias("component_id"),
+        F.when(alone, F.lit(True)).otherwise(chosen).alias("kept"),
     )
 
 
 def keep(docs: DataFrame, plan: Plan, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay when one document of each component does."""
-    verdicts = near_duplicates(docs, plan, id_col=id_col, text_col=text_col)
-    gone = verdicts.where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs``, with all their columns, that stay when one row of each component does.
+
+    The row with the least id stays, a null id coming last and the least hash of the
+    text deciding among equal ids; of rows alike in id and text one stays. So a text
+    goes only if a copy or near copy of it stays, whatever the ids are. Rows without
+    shingles (null, empty and blank texts) all stay. An empty input gives no rows.
+    """
+    rows = stash(_judged(docs, plan, id_col, text_col).select("k", "h", "n", "best").where("n > 0"), "verdicts")
+    stays = F.col("k").eqNullSafe(F.col("best.k")) & (F.col("h") == F.col("best.h"))
+    gone = rows.where(~stays).select("k", "h").distinct()
+    repeated = stash(rows.where(stays).groupBy("k", "h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k", "h"), "repeated")
+    name = "__h"
+    while name in docs.columns:
+        name += "_"
+    hashed = docs.withColumn(name, F.xxhash64(text_col))
+
+    def of(names: DataFrame):
+        names = names.select(F.col("k").alias("k_" + name), F.col("h").alias("g_" + name))
+        return names, hashed[id_col].eqNullSafe(names["k_" + name]) & (hashed[name] == names["g_" + name])
+
+    left = hashed.join(*of(gone), "left_anti")
+    if not repeated.isEmpty():
+        several = left.join(*of(repeated), "left_semi").dropDuplicates([id_col, text_col])
+        left = left.join(*of(repeated), "left_anti").unionByName(several)
+    return left.drop(name)

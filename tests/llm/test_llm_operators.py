@@ -420,6 +420,64 @@ def test_near_duplicates_on_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and 8 not in {r.doc_id for r in kept.collect()}
 
 
+def near_rows():
+    """Two texts under one id, null ids with near copies, an id with a copy of another's text, repeated rows."""
+    rng = random.Random(21)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    return [("1", a), ("5", a + " end"), ("5", b), (None, a + " tail"), (None, c), (None, c + " more"), ("7", d), ("7", d), ("9", d + " last"), (None, e), (None, e), ("8", None), (None, "")]
+
+
+def test_near_duplicates_judge_rows_by_their_texts_whatever_the_ids(spark):
+    plan = near_dedup.Plan.near(5, 80)
+    rows = near_rows()
+    docs = spark.createDataFrame([(k, t, n, "x", "y") for n, (k, t) in enumerate(rows)], "doc_id string, text string, k long, h string, __h string").repartition(3)
+    got = near_dedup.near_duplicates(docs, plan).collect()
+    alike = [("1", "1", "1", True), ("5", "1", "1", False), ("5", "5", "5", True), (None, None, "1", False), (None, None, None, True), (None, None, None, False), ("7", "7", "7", True), ("7", "7", "7", True), ("9", "9", "7", False), (None, None, None, True), (None, None, None, True), ("8", "8", "8", True), (None, None, None, True)]
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter((k, c, kept) for k, _, c, kept in alike)
+    kept = near_dedup.keep(docs, plan)
+    assert kept.columns == docs.columns
+    texts = [r.text for r in kept.collect()]
+    named = dict(zip([n for n, _ in enumerate(rows)], [t for _, t in rows]))
+    assert Counter(t for t in texts if t and t not in (named[4], named[5])) == Counter([named[0], named[2], named[6], named[9]])
+    assert sum(t in (named[4], named[5]) for t in texts) == 1 and sum(not t for t in texts) == 2
+
+
+def test_blocks_of_one_family_are_dealt_apart(spark):
+    plan = near_dedup.Plan(3, 85, 9, 8, block_bytes=6000)
+    columns = ["root", "cid", *(f"c{i}" for i in range(9))]
+    members = spark.createDataFrame([(1, i, *range(9), b"x" * 1000) for i in range(50)], ", ".join(f"{c} long" for c in columns) + ", shingles binary")
+    large = members.groupBy("root").agg(near_dedup._blocks(near_dedup.F.sum(near_dedup.F.length("shingles")), plan).alias("blocks"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = near_dedup._with_plan(members, large, "left").withColumn("block", near_dedup.F.pmod("cid", "blocks"))
+        out = near_dedup._dealt(dealt, "block").applyInArrow(lambda t: t.select(["deal"]).slice(0, 1), "deal long")
+        plan_text = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(deal" in plan_text and "hashpartitioning(root" in plan_text and "part" in plan_text.split("hashpartitioning(root")[1][:40]
+        assert out.distinct().count() == 9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_classes_that_share_keys_are_tied():
+    rng = np.random.default_rng(5)
+    cid, found = rng.permutation(200), rng.integers(0, 900, (200, 6)).astype(np.uint64)
+    parent = list(range(200))
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for i, j in itertools.combinations(range(200), 2):
+        if set(found[i]) & set(found[j]):
+            parent[find(i)] = find(j)
+    least = {}
+    for i in range(200):
+        least[find(i)] = min(least.get(find(i), 1000), int(cid[i]))
+    assert near_dedup.tied(cid, found).tolist() == [least[find(i)] for i in range(200)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)]
