@@ -1,6 +1,7 @@
 """License scans: MinHash bands over overlapping text windows, in DataFrame functions only.
 
-Templates and texts are lower-cased words in five-word shingles. Templates of
+Templates and texts are lower-cased words in five-word shingles; templates of fewer
+words are one shingle of their own length, looked for in a pass per length. Templates of
 alike lengths form a class; a class of size c cuts texts into windows of 2c
 shingles, c apart, so any c shingles in a row lie in some window whole. Every band
 is one MinHash value. A window that holds four fifths of a template has a Jaccard
@@ -8,7 +9,8 @@ similarity of at least 0.19 with it, so one of 48 bands agrees with probability
 0.99996 or more. A band can only agree where the shingle with the template's least
 hash stands, so texts and windows without any such shingle are passed over before
 anything is hashed again; that loses nothing. Windows whose band agrees are
-verified by exact containment of the template's shingles.
+verified by exact containment of the template's shingles. Every input row has a
+number of its own on the way, so rows that share an id, or have none, never mix.
 """
 
 from __future__ import annotations
@@ -39,10 +41,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles_of(words: str) -> Column:
-    """Hashes of the five-word shingles of a column of words, in order; a shorter text is one shingle, a text without words none."""
+def shingles_of(words: str, q: int = SHINGLE) -> Column:
+    """Hashes of the ``q``-word shingles of a column of words, in order; a shorter text is one shingle, a text without words none."""
     return F.expr(
-        f"CASE WHEN size({words}) >= {SHINGLE} THEN transform(sequence(1, size({words}) - {SHINGLE - 1}), i -> xxhash64(slice({words}, i, {SHINGLE}))) "
+        f"CASE WHEN size({words}) >= {q} THEN transform(sequence(1, size({words}) - {q - 1}), i -> xxhash64(slice({words}, i, {q}))) "
         f"WHEN size({words}) > 0 THEN array(xxhash64({words})) ELSE cast(array() AS array<bigint>) END"
     )
 
@@ -59,18 +61,17 @@ def band(values: str, number: str) -> str:
 
 
 def template_rows(spark: SparkSession, templates: dict[str, str]) -> list[dict]:
-    """Shingles, class size and, per band, the shingle of least hash with that hash. At most one block of templates comes to the driver."""
+    """Shingles, their length in words, class size and, per band, the shingle of least hash with that hash. At most one block of templates comes to the driver."""
     rows = spark.createDataFrame(sorted(templates.items()), "template_id string, t string").select("template_id", words_of(F.col("t")).alias("words"))
-    rows = rows.select("template_id", "words", F.array_distinct(shingles_of("words")).alias("shingles"))
+    lengths = F.array(*(shingles_of("words", q) for q in range(1, SHINGLE + 1)))
+    rows = rows.where(F.size("words") > 0).withColumn("q", F.least(F.size("words"), F.lit(SHINGLE))).withColumn("shingles", F.array_distinct(lengths[F.col("q") - 1]))
     least = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> array_min(transform(shingles, x -> struct(xxhash64(x, b) as h, x as s))))")
     out = []
-    for r in rows.select("template_id", "shingles", F.size("words").alias("n"), least.alias("least")).orderBy("template_id").collect():
-        if r.n < SHINGLE:
-            raise ValueError(f"template {r.template_id} has fewer than {SHINGLE} words")
+    for r in rows.select("template_id", "shingles", "q", least.alias("least")).orderBy("template_id").collect():
         size = 1
         while size < len(r.shingles):
             size *= 2
-        out.append({"template_id": r.template_id, "shingles": list(r.shingles), "size": size, "bands": [(x.h, x.s) for x in r.least]})
+        out.append({"template_id": r.template_id, "shingles": list(r.shingles), "q": r.q, "size": size, "bands": [(x.h, x.s) for x in r.least]})
     return out
 
 
@@ -82,20 +83,24 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, block_temp
     """One row per document id and template it holds: ``id_col, template_id, containment, first_word``.
 
     ``containment`` is the greatest share of the template's shingles in one window
-    and ``first_word`` the place of the first such window. Whole texts are scanned.
-    Null and empty texts and texts of fewer than five words hold no template.
-    Repeated rows of one id give one row, as do null ids. No template or no text
-    gives no rows. Other columns are not read. More than ``block_templates`` templates
-    take further passes, so plans and broadcasts stay bounded.
+    and ``first_word`` the place of the first such window. Whole texts are scanned,
+    however long. Null and empty texts hold no template, and neither do texts of fewer
+    words than a template's shingles have. Rows of one id are scanned each and give
+    one row with the best of them, as do null ids. A template without words is held
+    by nothing. No template or no text gives no rows. Other columns are not read. More
+    than ``block_templates`` templates take further passes, so plans and broadcasts
+    stay bounded.
     """
     chosen = sorted((TEMPLATES if templates is None else templates).items())
-    slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    hashed = once(once(slim, "k", words=words_of(F.col("t"))), "k", shingles=shingles_of("words"))
+    slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.monotonically_increasing_id().alias("row"))
+    words = once(slim, "k", "row", words=words_of(F.col("t")))
     found = None
     for start in range(0, len(chosen), block_templates):
         rows = template_rows(docs.sparkSession, dict(chosen[start : start + block_templates]))
-        part = _scan_block(hashed, rows, docs.sparkSession)
-        found = part if found is None else found.unionByName(part)
+        for q in sorted({r["q"] for r in rows}):
+            hashed = once(words.where(F.size("words") >= q), "k", "row", shingles=shingles_of("words", q))
+            part = _scan_block(hashed, [r for r in rows if r["q"] == q], docs.sparkSession)
+            found = part if found is None else found.unionByName(part)
     if found is None:
         found = slim.where(F.lit(False)).select("k", F.lit("").alias("template_id"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"))
     return found.withColumnRenamed("k", id_col)
@@ -106,13 +111,14 @@ def _scan_block(hashed: DataFrame, rows: list[dict], spark: SparkSession) -> Dat
     held = hashed.where(F.arrays_overlap("shingles", _longs(telling)))
     sizes = sorted({r["size"] for r in rows})
     each_size = F.explode(F.array(*(F.lit(s) for s in sizes))).alias("size")
-    starts = held.select("k", "shingles", each_size).select("k", "shingles", "size", F.explode(F.expr("sequence(0, greatest(size(shingles) - 1, 0), size)")).alias("at"))
-    windows = starts.select("k", "size", "at", F.expr("array_distinct(slice(shingles, at + 1, 2 * size))").alias("window")).where(F.arrays_overlap("window", _longs(telling)))
+    starts = held.select("k", "row", "shingles", each_size).select("k", "row", "shingles", "size", F.explode(F.expr("sequence(0, greatest(size(shingles) - 1, 0), size)")).alias("at"))
+    windows = starts.select("k", "row", "size", "at", F.expr("array_distinct(slice(shingles, at + 1, 2 * size))").alias("window")).where(F.arrays_overlap("window", _longs(telling)))
     numbered = windows.select("*", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> {band('window', 'b')})")).alias("band", "h"))
     # Both tables hold at most block_templates rows per band.
     bands = spark.createDataFrame([(r["size"], b, h, r["template_id"]) for r in rows for b, (h, _) in enumerate(r["bands"])], "size int, band int, h long, template_id string")
     texts = spark.createDataFrame([(r["template_id"], r["shingles"]) for r in rows], "template_id string, wanted array<long>")
-    retrieved = numbered.join(F.broadcast(bands), ["size", "band", "h"]).groupBy("k", "template_id", "at").agg(F.first("window").alias("window"))
+    # A row's window that several bands retrieve is one window, and is verified once.
+    retrieved = numbered.join(F.broadcast(bands), ["size", "band", "h"]).groupBy("row", "template_id", "at").agg(F.first("k").alias("k"), F.first("window").alias("window"))
     shared = F.size(F.array_intersect("window", "wanted"))
     verified = retrieved.join(F.broadcast(texts), "template_id").select("k", "template_id", "at", (shared / F.size("wanted")).alias("containment")).where(F.col("containment") >= CONTAINMENT)
     best = F.max(F.struct("containment", (-F.col("at")).alias("before"))).alias("best")
