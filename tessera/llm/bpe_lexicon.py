@@ -17,7 +17,6 @@ pieces at a time. No text or word becomes a Python object.
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import json
 import struct
@@ -26,18 +25,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import most_frequent, shared_dir
+from .common import GROUP_BYTES, buffers, most_frequent, publish, published, row_groups, values
 
 #: Fixed value: the pattern of byte-level pre-tokenisation, whose pieces :func:`piece_starts` finds.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Classes of code points. ``_UNSURE`` are those that Unicode versions may class differently; texts with them are split by the library.
 _LETTER, _NUMBER, _OTHER, _BLANK, _WHITE, _UNSURE = range(6)
-#: Bytes of text that are taken together; a longer text is cut before white space, where a piece begins whatever follows.
-GROUP_BYTES = 4 << 20
 #: Distinct words that a task counts before it hands them on.
 _COUNTED = 500_000
 
@@ -113,22 +109,8 @@ def _library_starts(text: str) -> np.ndarray:
     return np.cumsum([0, *sizes[:-1]])
 
 
-def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string or binary column and where each value begins and ends among them; nulls are empty."""
-    column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
-    blob = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
-    return blob, at - at[0]
-
-
-def values(blob: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """The column whose values lie end to end in ``blob`` and begin and end at ``at``."""
-    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(blob))])
-
-
 def groups(blob: np.ndarray, at: np.ndarray):
-    """Texts in groups of about ``GROUP_BYTES``: where a group's parts begin and end, and the number of texts that end with each part."""
+    """Texts in groups of about ``GROUP_BYTES``, longer ones cut before white space, where a piece begins whatever follows: where a group's parts begin and end, and the number of texts that end with each part."""
     start = 0
     while start < len(at) - 1:
         stop = max(start + 1, int(np.searchsorted(at, at[start] + GROUP_BYTES, "right")) - 1)
@@ -505,22 +487,7 @@ def build_lexicon(counts: DataFrame, tokenizer_path: str, *, words: int = 150_00
         "pairs": spec["pairs"],
         "merged": spec["merged"],
     }
-    packed = pack(arrays, {"added": spec["added"]})
-    return publish(spark, packed)
-
-
-def publish(spark: SparkSession, packed: bytes) -> str:
-    """Write the file to the shared folder, from which any executor, also a later one, fetches it."""
-    name = f"lexicon-{hashlib.sha256(packed).hexdigest()[:24]}.bin"
-    path = f"{shared_dir(spark)}/{name}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jpath):
-        out = fs.create(jpath, True)
-        out.write(bytearray(packed))
-        out.close()
-    spark.sparkContext.addFile(fs.makeQualified(jpath).toString())
-    return name
+    return publish(spark, pack(arrays, {"added": spec["added"]}), "lexicon")
 
 
 _OPEN: dict[str, Lexicon] = {}
@@ -530,20 +497,10 @@ def open_lexicon(name: str) -> Lexicon:
     """The lexicon of this worker process, mapped once."""
     if name not in _OPEN:
         _OPEN.clear()
-        _OPEN[name] = Lexicon(SparkFiles.get(name))
+        _OPEN[name] = Lexicon(published(name))
     return _OPEN[name]
 
 
-def row_groups(ends: np.ndarray):
-    """Rows in groups of about ``GROUP_BYTES``, a longer text alone; ``ends`` are the running sums of their bytes."""
-    start = 0
-    while start < len(ends):
-        before = int(ends[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + GROUP_BYTES, "right")))
-        yield start, stop
-        start = stop
-
-
 def encode_decode(docs: DataFrame, lexicon: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, ``ids`` (packed little-endian unsigned 32-bit) and ``decoded``, the text those ids decode to.
 
@@ -556,9 +513,8 @@ def encode_decode(docs: DataFrame, lexicon: str, *, id_col: str = "doc_id", text
     def run(batches):
         lex = open_lexicon(lexicon)
         for batch in batches:
-            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
-            # Rows whose texts make up a group, so that ids and decoded texts are held for one group, or one text, at a time.
-            for start, stop in row_groups(ends):
+            # Ids and decoded texts are held for one group of texts, or one long text, at a time.
+            for start, stop in row_groups(batch.column(1)):
                 part = batch.slice(start, stop - start)
                 ids, at = lex.encode(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), values(ids.view(np.uint8), 4 * at, pa.binary()), lex.decode(ids, at)], names=["k", "ids", "decoded"])

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +82,53 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+#: Bytes of text that are taken together where texts stay Arrow buffers.
+GROUP_BYTES = 4 << 20
+
+
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary column and where each value begins and ends among them; nulls are empty."""
+    column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    blob = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    return blob, at - at[0]
+
+
+def values(blob: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The column whose values lie end to end in ``blob`` and begin and end at ``at``."""
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(blob))])
+
+
+def row_groups(column: pa.Array):
+    """Rows of a text column in groups of about ``GROUP_BYTES``, a longer text alone: where each group starts and stops."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + GROUP_BYTES, "right")))
+        yield start, stop
+        start = stop
+
+
+def publish(spark: SparkSession, data: bytes, label: str) -> str:
+    """Write a file to the shared folder, from which any executor, also a later one, fetches it; the name it has there."""
+    name = f"{label}-{hashlib.sha256(data).hexdigest()[:24]}.bin"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        out = fs.create(jpath, True)
+        out.write(bytearray(data))
+        out.close()
+    spark.sparkContext.addFile(fs.makeQualified(jpath).toString())
+    return name
+
+
+def published(name: str) -> str:
+    """Where a task finds a published file."""
+    return SparkFiles.get(name)
+
+
 def slices(batch, rows: int = 256):
     """An Arrow record batch in short slices, so that Python copies of texts stay small."""
     for start in range(0, batch.num_rows, rows):

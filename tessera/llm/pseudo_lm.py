@@ -11,31 +11,32 @@ bucket's probability given both sides times the word's share of the bucket by th
 counts of the whole corpus, so every word has a probability of its own. Shares of
 the words of a bounded lexicon go along with the network; those of all others come
 from a join with the counts. Training masks a share of the positions
-of every document each round, so that every position is a target in some round. Each partition trains its own copy of the network on its rows;
-the copies are averaged, weighted by masked tokens, in two steps of bounded fan-in
-on the executors, and the average starts the next round. The driver only ever holds
+of every document each round, so that every position is a target in some round. Each
+partition trains its own copy of the network on its rows; the copies are averaged,
+weighted by masked tokens, in three steps of bounded fan-in on the executors, and
+the average starts the next round. The driver only ever holds
 one network and the vocabulary.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, slices, stash
+from .common import SPACE_BYTES, buffers, most_frequent, row_groups, slices, stash, unstash, values
 
 OFFSETS = (-2, -1, 1, 2)
-#: Floats of the network that travel in one row, and groups of the first averaging step.
+#: Floats of the network that travel in one row, and copies that are averaged at once.
 _FLOATS, _FAN = 1 << 14, 64
+#: Distinct words that a task counts before it hands them on.
+_COUNTED = 500_000
 
 
 @dataclass(frozen=True)
@@ -76,23 +77,60 @@ class Shape:
         return (np.random.default_rng(7).standard_normal(size) * 0.05).astype(np.float32)
 
 
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct lower-cased words of a text column, the place among them of each word in order, and the number of words per text."""
+    blob, at = buffers(pc.utf8_lower(column))
+    if not len(blob):
+        return pa.array([], pa.binary()), np.empty(0, np.int64), np.zeros(len(at) - 1, np.int64)
+    letter = np.ones(256, bool)
+    letter[list(SPACE_BYTES)] = False
+    letter = letter[blob]
+    begins = np.zeros(len(blob) + 1, bool)
+    begins[at] = True
+    begins[1:-1] |= ~letter[:-1]
+    starts = np.flatnonzero(begins[:-1] & letter)
+    # Without white space the words lie end to end.
+    place = np.concatenate(([0], np.cumsum(letter, dtype=np.int32)))
+    coded = values(blob[letter], np.append(place[starts], place[-1]), pa.binary()).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.diff(np.searchsorted(starts, at))
+
+
+#: The table of the reflected polynomial of CRC-32.
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def crc32s(words: pa.Array) -> np.ndarray:
+    """CRC-32 of each word; all words advance together, a byte at a time."""
+    blob, at = buffers(words)
+    lengths = np.diff(at)
+    crc = np.full(len(lengths), 0xFFFFFFFF, np.uint32)
+    live, depth = np.argsort(-lengths, kind="stable"), 0
+    while len(live := live[: np.searchsorted(-lengths[live], -depth, "left")]):
+        now = crc[live]
+        crc[live] = _CRC[(now ^ blob[at[live] + depth]) & 0xFF] ^ now >> 8
+        depth += 1
+    return crc ^ np.uint32(0xFFFFFFFF)
+
+
 class Tokens:
-    """Words to token numbers: frequent words first, in order of frequency, then buckets. Buckets of the ``lexicon`` are looked up, others are computed."""
+    """Words to token numbers: frequent words first, in order of frequency, then buckets."""
 
-    def __init__(self, frequent: list[bytes], shape: Shape, lexicon: list[bytes] = ()):
+    def __init__(self, frequent: list[bytes], shape: Shape):
         self.first, self.buckets = shape.frequent + 1, shape.buckets
-        self.known = {w: i + 1 for i, w in enumerate(frequent)}
-        self.known |= zip(lexicon, self.bucket(lexicon).tolist(), strict=True)
+        self.known = pa.array(frequent, pa.binary())
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.lower().encode().split() if text else []
-        ids = np.fromiter(map(self.known.get, words, repeat(0)), np.int64, len(words))
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The token of each word."""
+        at = pc.index_in(words, value_set=self.known)
+        ids = pc.fill_null(at, -1).to_numpy().astype(np.int64) + 1
         rest = np.flatnonzero(ids == 0)
-        ids[rest] = self.bucket([words[i] for i in rest.tolist()])
+        ids[rest] = self.bucket(words.take(pa.array(rest)))
         return ids
 
-    def bucket(self, words: list[bytes]) -> np.ndarray:
-        return self.first + np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % self.buckets
+    def bucket(self, words: pa.Array) -> np.ndarray:
+        return self.first + crc32s(words).astype(np.int64) % self.buckets
 
 
 class Rare(NamedTuple):
@@ -111,24 +149,26 @@ class Rare(NamedTuple):
 
 
 class Reader:
-    """Texts to token numbers, the sum of the logarithms of shares as far as they are known here, and words whose counts are not."""
+    """Texts to token numbers, the sums of the logarithms of shares as far as they are known here, and words whose counts are not."""
 
     def __init__(self, frequent: list[bytes], lexicon: list[bytes], seen: list[int], total: np.ndarray, shape: Shape):
         self.tokens, self.log_total = Tokens(frequent, shape), np.log(total)
-        self.at = self.tokens.known | {w: shape.vocabulary + i for i, w in enumerate(lexicon)}
-        bucket = self.tokens.bucket(lexicon)
-        self.token = np.concatenate([np.arange(shape.vocabulary), bucket])
-        self.share = np.concatenate([np.zeros(shape.vocabulary), np.log(np.array(seen, float) + 0.5) - self.log_total[bucket - self.tokens.first]])
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, float, Counter[bytes]]:
-        words = text.lower().encode().split() if text else []
-        at = np.fromiter(map(self.at.get, words, repeat(0)), np.int64, len(words))
-        ids, shares = self.token[at], self.share[at]
-        rest = np.flatnonzero(at == 0)
-        others = [words[i] for i in rest.tolist()]
-        ids[rest] = self.tokens.bucket(others)
-        shares[rest] = -self.log_total[ids[rest] - self.tokens.first]
-        return ids, float(shares.sum()), Counter(others)
+        self.lexicon, self.log_seen = pa.array(lexicon, pa.binary()), np.log(np.array(seen, float) + 0.5)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """The tokens of all texts, their number per text, and per text the sum and the other words."""
+        words, index, count = words_of(column)
+        token = self.tokens.numbers(words)
+        rare = token >= self.tokens.first
+        share = np.where(rare, -self.log_total[np.where(rare, token - self.tokens.first, 0)], 0.0)
+        at = pc.fill_null(pc.index_in(words, value_set=self.lexicon), -1).to_numpy()
+        share[at >= 0] += self.log_seen[at[at >= 0]]
+        unknown = (rare & (at < 0))[index]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        sums = np.concatenate(([0.0], np.cumsum(share[index])))[ends]
+        left = np.concatenate(([0], np.cumsum(unknown)))[ends]
+        others = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), words.take(pa.array(index[unknown])))
+        return token[index], count, np.diff(sums), others
 
 
 def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +196,12 @@ def _order(x: np.ndarray, below: int) -> np.ndarray:
     return np.argsort(x.astype(np.uint16) if below <= 1 << 16 else x, kind="stable")
 
 
+def _by_class(group: np.ndarray, classes: int) -> tuple[np.ndarray, list[int]]:
+    """An order in which each class is a slice, and the slices' bounds."""
+    order = _order(group, classes)
+    return order, np.searchsorted(group[order], np.arange(classes + 1)).tolist()
+
+
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(axis=1, keepdims=True)
     x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
@@ -168,38 +214,37 @@ def log_probabilities(p: dict[str, np.ndarray], shape: Shape, line: np.ndarray,
     c = shape.classes
     for start in range(0, len(at), 32_768):
         where = at[start : start + 32_768]
+        order, bounds = _by_class(line[where] // c, c)
+        where = where[order]
         h, target = hidden(p, line, where), line[where]
         logs = _log_softmax(h @ p["to_class"] + p["class_bias"])[np.arange(len(where)), target // c]
-        order = _order(target // c, c)
-        bounds = np.searchsorted((target // c)[order], np.arange(c + 1))
         for k in range(c):
-            rows = order[bounds[k] : bounds[k + 1]]
-            if len(rows):
-                logs[rows] += _log_softmax(h[rows] @ p["to_word"][k] + p["word_bias"][k])[np.arange(len(rows)), target[rows] % c]
-        out[start : start + len(where)] = logs
+            rows = slice(bounds[k], bounds[k + 1])
+            if bounds[k] < bounds[k + 1]:
+                logs[rows] += _log_softmax(h[rows] @ p["to_word"][k] + p["word_bias"][k])[np.arange(bounds[k + 1] - bounds[k]), target[rows] % c]
+        out[start + order] = logs
     return out
 
 
 def gradient(p: dict[str, np.ndarray], shape: Shape, line: np.ndarray, at: np.ndarray, out: dict[str, np.ndarray]) -> None:
     """Put the mean gradient of the negative log-probability into ``out``."""
     n, c = len(at), shape.classes
+    order, bounds = _by_class(line[at] // c, c)
+    at = at[order]
     h, target = hidden(p, line, at), line[at]
-    group = target // c
     g = np.exp(_log_softmax(h @ p["to_class"] + p["class_bias"]))
-    g[np.arange(n), group] -= 1
+    g[np.arange(n), target // c] -= 1
     g /= n
     out["to_class"][:] = h.T @ g
     out["class_bias"][:] = g.sum(axis=0)
     dh = g @ p["to_class"].T
     out["to_word"][:] = 0
     out["word_bias"][:] = 0
-    order = _order(group, c)
-    bounds = np.searchsorted(group[order], np.arange(c + 1))
     for k in range(c):
-        rows = order[bounds[k] : bounds[k + 1]]
-        if len(rows):
+        if bounds[k] < bounds[k + 1]:
+            rows = slice(bounds[k], bounds[k + 1])
             g = np.exp(_log_softmax(h[rows] @ p["to_word"][k] + p["word_bias"][k]))
-            g[np.arange(len(rows)), target[rows] % c] -= 1
+            g[np.arange(len(g)), target[rows] % c] -= 1
             g /= n
             out["to_word"][k] = h[rows].T @ g
             out["word_bias"][k] = g.sum(axis=0)
@@ -249,24 +294,30 @@ class Trainer:
 
 
 def count_words(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``word, n`` over all texts."""
+    """``word, n`` over all texts; tasks add up before they hand on."""
 
     def run(batches):
-        counts: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
+        rows = 0
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
+        def counted():
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for part in slices(batch, 64):
-                for text in part.column(0).to_pylist():
-                    if text:
-                        counts.update(text.lower().encode().split())
-                if len(counts) > 300_000:
-                    yield flush()
-        yield flush()
+            for start, stop in row_groups(batch.column(0)):
+                words, index, _ = words_of(batch.column(0).slice(start, stop - start))
+                n = np.bincount(index, minlength=len(words))
+                # White space stands among the distinct words, but nowhere as a word.
+                held.append(pa.table({"word": words, "n": pa.array(n, pa.int64())}).filter(pa.array(n > 0)))
+                rows += held[-1].num_rows
+                if rows > 2 * _COUNTED:
+                    held = [counted()]
+                    rows = held[0].num_rows
+                    if rows > _COUNTED:
+                        yield from held[0].to_batches()
+                        held, rows = [], 0
+        if held:
+            yield from counted().to_batches()
 
     rows = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "word binary, n long")
     return stash(rows.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
@@ -279,35 +330,73 @@ def vocabulary(counts: DataFrame, shape: Shape) -> tuple[list[bytes], Rare]:
     total = np.ones(shape.buckets)
     for r in counts.groupBy((F.crc32("word") % shape.buckets).alias("b")).agg((F.sum("n") + F.count(F.lit(1))).alias("m")).collect():
         total[r.b] += r.m
-    for r in rows[: shape.frequent]:
-        total[zlib.crc32(r.word) % shape.buckets] -= r.n + 1
+    for r, bucket in zip(rows[: shape.frequent], (crc32s(pa.array(words, pa.binary())) % shape.buckets).tolist(), strict=True):
+        total[bucket] -= r.n + 1
     return words, Rare([bytes(r.word) for r in rest], [r.n for r in rest], total, counts)
 
 
-def train(docs: DataFrame, shape: Shape = Shape(), *, text_col: str = "text") -> tuple[list[bytes], np.ndarray, Rare]:  # noqa: B008  frozen
-    """The vocabulary, the network's parameters, trained on every text, and what tells words in buckets apart."""
-    words, rare = vocabulary(count_words(docs, text_col=text_col), shape)
+def encoded(docs: DataFrame, words: list[bytes], rare: Rare, shape: Shape, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row, k, ids, shares, words`` for every input row, written once for all passes over the tokens.
+
+    ``ids`` are packed unsigned 16-bit token numbers, ``shares`` the sum of the
+    logarithms of the shares that the bounded lexicon knows and ``words`` the others.
+    """
+    if shape.vocabulary > 1 << 16:
+        raise ValueError("token numbers have 16 bits")
+    slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    lexicon, seen, total, _ = rare
+
+    def run(batches):
+        read, row = Reader(words, lexicon, seen, total, shape), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for start, stop in row_groups(batch.column(1)):
+                part = batch.slice(start, stop - start)
+                ids, count, shares, others = read(part.column(1))
+                packed = values(ids.astype(np.uint16).view(np.uint8), 2 * np.concatenate(([0], np.cumsum(count))), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(part)), pa.int64()), part.column(0), packed, pa.array(shares), others], names=["row", "k", "ids", "shares", "words"])
+                row += len(part)
+
+    kind = dict(slim.dtypes)["k"]
+    return stash(slim.mapInArrow(run, f"row long, k {kind}, ids binary, shares double, words array<binary>"), "tokens")
+
+
+def _unpacked(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in column]
+
+
+def fit(rows: DataFrame, shape: Shape) -> np.ndarray:
+    """The network's parameters, trained on the tokens of every row of :func:`encoded`."""
     flat = shape.initial()
-    rare_words, slim = rare.lexicon, docs.select(F.col(text_col).alias("t"))
     for round_ in range(shape.rounds):
 
         def run(batches, flat=flat, round_=round_):
-            trainer, tokens = Trainer(flat, shape, round_), Tokens(words, shape, rare_words)
+            trainer = Trainer(flat, shape, round_)
             for batch in batches:
-                for part in slices(batch, 64):
-                    for text in part.column(0).to_pylist():
-                        trainer.add(tokens(text))
+                for part in slices(batch):
+                    for ids in _unpacked(part.column(0)):
+                        trainer.add(ids)
             trainer.flush()
             if trainer.tokens:
                 blocks = [trainer.flat[i : i + _FLOATS].tobytes() for i in range(0, len(trainer.flat), _FLOATS)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([float(trainer.tokens)] * len(blocks)), pa.array(blocks, pa.binary())], names=["block", "weight", "values"])
 
-        copies = slim.mapInArrow(run, "block int, weight double, values binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(_FAN)))
-        schema = "block int, weight double, values binary"
-        some = copies.groupBy("block", "part").applyInArrow(_average, schema)
-        rows = some.groupBy("block").applyInArrow(_average, schema).orderBy("block").collect()
-        if rows:
-            flat = np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows])
+        schema = "block int, part int, weight double, values binary"
+        copies = rows.select("ids").mapInArrow(run, "block int, weight double, values binary").withColumn("part", F.spark_partition_id())
+        # A group of each step averages at most _FAN copies of one block, as long as there are no more than _FAN cubed partitions.
+        for parts in (_FAN * _FAN, _FAN, 1):
+            copies = copies.withColumn("part", F.pmod("part", F.lit(parts))).groupBy("block", "part").applyInArrow(_average, schema)
+        found = copies.orderBy("block").collect()
+        if found:
+            flat = np.concatenate([np.frombuffer(r["values"], np.float32) for r in found])
+    return flat
+
+
+def train(docs: DataFrame, shape: Shape = Shape(), *, text_col: str = "text") -> tuple[list[bytes], np.ndarray, Rare]:  # noqa: B008  frozen
+    """The vocabulary, the network's parameters, trained on every text, and what tells words in buckets apart."""
+    words, rare = vocabulary(count_words(docs, text_col=text_col), shape)
+    rows = encoded(docs, words, rare, shape, id_col=text_col, text_col=text_col)
+    flat = fit(rows, shape)
+    unstash(rows)
     return words, flat, rare
 
 
@@ -318,38 +407,45 @@ def _average(table: pa.Table) -> pa.Table:
     total, out = float(weights.sum()), 0.0
     for w, raw in rows:
         out = out + np.frombuffer(raw, np.float32).astype(np.float64) * (w / total)
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "weight": [total], "values": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
+    first = {c: pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("block", "part")}
+    return pa.table({**first, "weight": [total], "values": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
 
 
-def score(docs: DataFrame, words: list[bytes], flat: np.ndarray, rare: Rare, shape: Shape = Shape(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008  frozen
-    """One row per input row: ``id_col, n_tokens, log_likelihood, mean_log_likelihood``.
-
-    Whole texts are scored. Null texts and texts without words have no tokens, a sum
-    and a mean of 0. Repeated rows are scored each. Other columns are not read.
-    """
-    slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    lexicon, seen, total, counts = rare
+def score_encoded(rows: DataFrame, flat: np.ndarray, counts: DataFrame, shape: Shape, *, id_col: str = "doc_id") -> DataFrame:
+    """The scores of the rows of :func:`encoded`, as :func:`score` returns them."""
 
     def run(batches):
-        p, read = shape.split(flat), Reader(words, lexicon, seen, total, shape)
-        row = TaskContext.get().partitionId() << 40
+        p = shape.split(flat)
         for batch in batches:
-            for part in slices(batch, 128):
-                ids, shares, others = zip(*map(read, part.column(1).to_pylist()), strict=True)
+            for part in slices(batch):
+                ids = _unpacked(part.column(2))
                 n = np.array([len(i) for i in ids], np.int64)
                 line, at = windows(ids)
-                owner = np.repeat(np.arange(len(ids)), n)
-                logs = np.bincount(owner, weights=log_probabilities(p, shape, line, at), minlength=len(ids)) + np.array(shares)
-                rows = pa.array(range(row, row + len(ids)), pa.int64())
-                row += len(ids)
-                lists = pa.array([list(c) for c in others], pa.list_(pa.binary())), pa.array([list(c.values()) for c in others], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([rows, part.column(0), pa.array(n), pa.array(logs), *lists], names=["row", "k", "n_tokens", "logs", "words", "times"])
+                logs = np.bincount(np.repeat(np.arange(len(ids)), n), weights=log_probabilities(p, shape, line, at), minlength=len(ids)) + part.column(3).to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(logs)], names=["row", "k", "n_tokens", "logs"])
 
-    kind = dict(slim.dtypes)["k"]
-    known = stash(slim.mapInArrow(run, f"row long, k {kind}, n_tokens long, logs double, words array<binary>, times array<long>"), "scores")
-    each = known.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    kind = dict(rows.dtypes)["k"]
+    known = rows.select("row", "k", "ids", "shares").mapInArrow(run, f"row long, k {kind}, n_tokens long, logs double")
     # A word outside the lexicon was seen as often as the counts say, or never.
     share = F.log(F.coalesce(F.col("n"), F.lit(0)) + 0.5)
-    joined = each.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * share).alias("joined"))
+    joined = rows.select("row", F.explode("words").alias("word")).join(counts, "word", "left").groupBy("row").agg(F.sum(share).alias("joined"))
     both = F.col("logs") + F.coalesce(F.col("joined"), F.lit(0.0))
     return known.join(joined, "row", "left").select(F.col("k").alias(id_col), "n_tokens", both.alias("log_likelihood"), (both / F.greatest(F.col("n_tokens"), F.lit(1))).alias("mean_log_likelihood"))
+
+
+def score(docs: DataFrame, words: list[bytes], flat: np.ndarray, rare: Rare, shape: Shape = Shape(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008  frozen
+    """One row per input row: ``id_col, n_tokens, log_likelihood, mean_log_likelihood``.
+
+    Whole texts are scored. Null texts and texts without words have no tokens, a sum
+    and a mean of 0. Repeated rows, also of one id or of a null id, are scored each.
+    Very long texts are scored whole. An empty table gives no rows, and a network
+    trained on one scores with its first weights. Other columns are not read.
+    """
+    return score_encoded(encoded(docs, words, rare, shape, id_col=id_col, text_col=text_col), flat, rare.counts, shape, id_col=id_col)
+
+
+def train_and_score(docs: DataFrame, shape: Shape = Shape(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008  frozen
+    """:func:`score` of the texts on which the network is trained, which are cut into tokens once for both."""
+    words, rare = vocabulary(count_words(docs, text_col=text_col), shape)
+    rows = encoded(docs, words, rare, shape, id_col=id_col, text_col=text_col)
+    return score_encoded(rows, fit(rows, shape), rare.counts, shape, id_col=id_col)

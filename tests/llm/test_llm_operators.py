@@ -241,6 +241,9 @@ def test_quality_rules_against_brute_force(spark, odd, empty):
     assert entries.count() == odd.count() and quality_rules.ledger(empty).count() == 0
     kept = entries.where(quality_rules.passes()).count()
     assert quality_rules.keep(odd).count() == kept and quality_rules.keep(odd).columns == odd.columns
+    clash = odd.withColumnRenamed("n", "n_words").withColumnRenamed("size", "fail_bits")
+    assert quality_rules.keep(clash).columns == clash.columns and quality_rules.keep(clash).count() == kept
+    assert quality_rules.keep(empty).count() == 0 and sorted(r.text for r in quality_rules.keep(odd, "base").collect()) == sorted(t for t in [r.text for r in odd.collect()] if not any(eval(quality_rules.RULES[b][1], dict(zip(quality_rules.MEASURES, quality_rules.measure_text(t)))) for b in (0, 1)))
     bits = [r.fail_bits for r in entries.collect()]
     for r in quality_rules.ablations(entries).collect():
         flag = 1 << r.bit
@@ -299,6 +302,34 @@ def test_pseudo_likelihood_learns(spark, odd, empty):
     assert pseudo_lm.score(empty, *pseudo_lm.train(empty, shape), shape).count() == 0
 
 
+def test_pseudo_likelihood_against_a_naive_score(spark, odd):
+    shape = pseudo_lm.Shape(classes=4, buckets=3, width=6, lexicon=5, rounds=2)
+    words, flat, rare = pseudo_lm.train(odd.where("length(text) < 1000"), shape)
+    p, counts = shape.split(flat.astype(float)), {bytes(r.word): r.n for r in rare.counts.collect()}
+
+    def naive(text):
+        tokens, total = [], 0.0
+        for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").lower().encode()):
+            if w in words:
+                tokens.append(words.index(w) + 1)
+                continue
+            bucket = zlib.crc32(w) % 3
+            tokens.append(shape.frequent + 1 + bucket)
+            mates = [n for x, n in counts.items() if x not in words and zlib.crc32(x) % 3 == bucket]
+            total += math.log((counts.get(w, 0) + 0.5) / (sum(mates) + len(mates) + 1))
+        padded = [0, 0, *tokens, 0, 0]
+        for i, t in enumerate(tokens, 2):
+            h = np.tanh(sum(p["embed"][j][padded[i + o]] for j, o in enumerate(pseudo_lm.OFFSETS)) + p["bias"])
+            a, b = h @ p["to_class"] + p["class_bias"], h @ p["to_word"][t // 4] + p["word_bias"][t // 4]
+            total += a[t // 4] - np.log(np.exp(a).sum()) + b[t % 4] - np.log(np.exp(b).sum())
+        return len(tokens), total
+
+    got = sorted((r.n_tokens, r.log_likelihood) for r in pseudo_lm.score(odd, words, flat, rare, shape).collect())
+    want = sorted(naive(r.text) for r in odd.collect())
+    assert [n for n, _ in got] == [n for n, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-4)
+
+
 @pytest.mark.parametrize("shape", [pseudo_lm.Shape(), pseudo_lm.Shape(mask=2, rounds=6), pseudo_lm.Shape(mask=8, rounds=3)])
 def test_every_position_is_trained_on(monkeypatch, shape):
     targets = Counter()
@@ -364,8 +395,29 @@ def test_license_scan_against_brute_force(spark, odd, empty):
     assert got == pytest.approx(expected) and len(expected) > 20
     assert {(r.doc_id, r.template_id) for r in license_scan.scan(docs, block_templates=3).collect()} == expected.keys()
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(empty).count() == 0 and license_scan.scan(docs, {}).count() == 0
-    with pytest.raises(ValueError):
-        license_scan.scan(docs, {"short": "too few words"})
+    short = spark.createDataFrame([(1, "x all rights RESERVED. y"), (2, "all rights"), (3, "rights all reserved"), (4, None)], "doc_id long, text string")
+    found = license_scan.scan(short, {"three": "All rights reserved.", "one": "rights", "none": "...", "MIT": license_scan.TEMPLATES["MIT"]}).collect()
+    assert {(r.doc_id, r.template_id) for r in found} == {(1, "three"), (1, "one"), (2, "one"), (3, "one")}
+
+
+def test_licenses_of_rows_that_share_an_id_do_not_mix(spark):
+    full = license_scan.TEMPLATES["GPL-notice"]
+    fragment, long = " ".join(full.split()[:14]), license_scan.TEMPLATES["MIT-grant"] + " and more " * 4000
+    rows = [("a", full), ("a", fragment), (None, fragment), (None, full), ("b", fragment), ("c", long), ("c", long)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(k, t, 0, "x") for k, t in order], "doc_id string, text string, row long, template_id string").repartition(2)
+        got = [(r.doc_id, r.template_id, r.containment) for r in license_scan.scan(docs).collect()]
+        assert sorted(got, key=str) == sorted([("a", "GPL-notice", 1.0), (None, "GPL-notice", 1.0), ("c", "MIT-grant", 1.0)], key=str)
+
+
+def test_license_texts_of_pages_length(spark):
+    rng = random.Random(31)
+    templates = {f"long-{i}": prose(rng, n) for i, n in enumerate((900, 1500, 300))}
+    words = templates["long-0"].split()
+    changed = [w if i % 150 else "other" for i, w in enumerate(words)]
+    rows = [(0, prose(rng, 700) + " " + templates["long-0"] + " " + prose(rng, 300)), (1, " ".join(changed)), (2, " ".join(words[:600])), (3, prose(rng, 2000)), (4, templates["long-1"] + " " + templates["long-2"])]
+    got = {(r.doc_id, r.template_id) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    assert got == {(0, "long-0"), (1, "long-0"), (4, "long-1"), (4, "long-2")}
 
 
 # op8
@@ -498,11 +550,12 @@ def test_components(spark):
 # op10
 
 
-def test_shards(spark, odd, empty):
+def test_shards(spark, odd, empty, monkeypatch):
     rng = random.Random(4)
     rows = [(rng.randrange(500), prose(rng, rng.randint(0, 60)) if rng.random() < 0.9 else "same") for _ in range(700)] + [(7, "same")] * 200 + [(None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sharding.shard_by_bytes(docs, shards=8, buckets=16).collect()
+    monkeypatch.setattr(sharding, "_COPIES", 64)
+    got = sharding.shard_by_bytes(docs, shards=8).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
     sizes = Counter()
     for s in range(8):
@@ -513,6 +566,13 @@ def test_shards(spark, odd, empty):
     ordered = sorted(got, key=lambda r: (r.shard, r.slot))
     ids = [-1 if r.doc_id is None else r.doc_id for r in ordered]
     assert ids == sorted(ids)
+    total, before = sum(r.size for r in got), 0
+    for r in ordered:
+        assert r.shard == min(7, (2 * before + r.size) * 8 // (2 * total))
+        before += r.size
+    named = spark.createDataFrame([(f"id{d % 40}", t) for d, t in rows if d is not None], "doc_id string, text string").repartition(5)
+    strings = sorted(sharding.shard_by_bytes(named, shards=3).collect(), key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in strings] == sorted(r.doc_id for r in strings) and len(strings) == named.count()
     assert len(sharding.shard_by_bytes(odd).collect()) == odd.count() and sharding.shard_by_bytes(empty).count() == 0
 
 
