@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("retrieval", "texts", "chunking", "graph", "statistics", "evaluation", "audit", "citing")
+MODULES: tuple[str, ...] = ("retrieval", "texts", "chunking", "graph", "statistics", "evaluation", "audit", "citing", "gates", "building")
 
 
 def queries() -> dict:

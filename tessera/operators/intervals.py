@@ -36,3 +36,41 @@ def merged_length(spans: DataFrame, *by: str) -> DataFrame:
     island = marked.withColumn("island", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
     ends = island.groupBy(*by, "island").agg((F.max("stop") - F.min("start")).alias("length"))
     return ends.groupBy(*by).agg(F.sum("length").alias("covered"), F.count(F.lit(1)).alias("islands"))
+
+
+def overlapping(left: DataFrame, right: DataFrame, by: str, *, width: int = 4096) -> DataFrame:
+    """Every pair of rows of one ``by`` whose spans overlap; both sides have ``start, stop``, the right one's as ``other_start, other_stop``.
+
+    Spans are dealt into bins of ``width``, and a pair is made in the bin where the
+    later of the two begins, so a large document is many join keys and no pair comes
+    twice. Empty spans overlap nothing.
+    """
+
+    def binned(rows: DataFrame, start: str, stop: str) -> DataFrame:
+        first, last = (F.floor(F.col(c) / width) for c in (start, stop))
+        return rows.where(F.col(stop) > F.col(start)).withColumn("bin", F.explode(F.sequence(first, last)))
+
+    right = right.withColumnsRenamed({"start": "other_start", "stop": "other_stop"})
+    pairs = binned(left, "start", "stop").join(binned(right, "other_start", "other_stop"), [by, "bin"])
+    return pairs.where((F.col("start") < F.col("other_stop")) & (F.col("other_start") < F.col("stop")) & (F.col("bin") == F.floor(F.greatest("start", "other_start") / width))).drop("bin")
+
+
+def match_spans(docs: DataFrame, text: str, pattern: str, *by: str) -> DataFrame:
+    """``by..., place, raw, start, stop``: what ``pattern`` matches, trimmed at its end, and where; running sums of the lengths of matches and of what lies between them."""
+    parts = docs.select(*by, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    rows = parts.select(*by, F.posexplode(F.arrays_zip("found", "gaps")).alias("place", "m")).select(*by, "place", F.col("m.found").alias("raw"), F.length("m.gaps").alias("gap"))
+    before = F.sum(F.coalesce(F.length("raw"), F.lit(0)) + F.col("gap")).over(W.partitionBy(*by).orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    start = (F.coalesce(before, F.lit(0)) + F.col("gap")).cast("long")
+    trimmed = F.regexp_replace("raw", r"\s+$", "")
+    return rows.withColumn("start", start).where("raw IS NOT NULL").select(*by, "place", trimmed.alias("raw"), "start", (F.col("start") + F.length(trimmed)).alias("stop"))
+
+
+def even_pieces(count: Column, most: int) -> Column:
+    """``first, last`` of the pieces of a run of ``count`` tokens that has more than ``most``: as few as will do, as even as can be, the longer ones first."""
+    n = F.greatest(F.ceil(count / most), F.lit(1))
+    size, extra = F.floor(count / n), count % n
+
+    def begin(i: Column) -> Column:
+        return i * size + F.least(i, extra)
+
+    return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(begin(i).alias("first"), begin(i + 1).alias("last")))

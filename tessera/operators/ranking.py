@@ -15,54 +15,66 @@ def ranked_units(hits: DataFrame, *by: str) -> DataFrame:
     return first.select(*by, "unit", F.row_number().over(W.partitionBy(*by).orderBy("first", "unit")).alias("unit_rank"))
 
 
-def ir_metrics(units: DataFrame, gold: DataFrame, *by: str) -> DataFrame:
+def _asked(gold: DataFrame, units: DataFrame, by: tuple[str, ...], asked: DataFrame | None) -> DataFrame:
+    """``by..., n_gold``: the queries that are scored, each with gold. Beyond the query, what is scored must be told, or is what has units."""
+    sizes = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
+    if asked is None:
+        rest = [c for c in by if c != "query_id"]
+        asked = units.select(*by).distinct() if rest else sizes.select("query_id")
+    return asked.select(*by).join(sizes, "query_id")
+
+
+def ir_metrics(units: DataFrame, gold: DataFrame, *by: str, asked: DataFrame | None = None) -> DataFrame:
     """The six metrics per query from deduplicated ranked units and gold (``query_id, unit``).
 
     Precision divides by the units found, r-precision by the number of gold units,
-    and the ideal gain has as many hits as gold and units allow. Queries without
-    units score 0.
+    and the ideal gain has as many hits as gold and units allow. Every query with
+    gold is scored, those without units 0. Where ``by`` has more than the query,
+    ``asked`` lists what is scored (``by...``); without it, that is what has units.
     """
-    sizes = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
     marked = units.join(gold.select("query_id", "unit", F.lit(1.0).alias("hit")), ["query_id", "unit"], "left").fillna({"hit": 0.0})
-    marked = marked.join(sizes, "query_id")
+    scored = _asked(gold, units, by, asked)
     place = F.col("unit_rank")
-    per = marked.groupBy(*by, "n_gold").agg(
+    per = marked.join(scored, list(by)).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_units"),
         F.sum("hit").alias("hits"),
         F.sum(F.when(place <= F.col("n_gold"), F.col("hit")).otherwise(0.0)).alias("early"),
         F.min(F.when(F.col("hit") > 0, place)).alias("first"),
         F.sum(F.col("hit") / F.log2(place + 1)).alias("dcg"),
-    )
+    )
+    per = scored.join(per, list(by), "left").fillna({"n_units": 0, "hits": 0.0, "early": 0.0, "dcg": 0.0})
     ideal = F.expr("aggregate(sequence(1, cast(least(n_gold, n_units) AS int)), 0D, (s, i) -> s + 1 / log2(i + 1))")
+    found = F.col("n_units") > 0
     p, r = F.col("precision"), F.col("recall")
-    scored = per.select("*", (F.col("hits") / F.col("n_units")).alias("precision"), (F.col("hits") / F.col("n_gold")).alias("recall"))
-    return scored.select(
+    rated = per.select("*", F.when(found, F.col("hits") / F.col("n_units")).otherwise(0.0).alias("precision"), (F.col("hits") / F.col("n_gold")).alias("recall"))
+    return rated.select(
         *by, "n_gold", "n_units", "precision", "recall",
         F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"),
         (F.col("early") / F.col("n_gold")).alias("r_precision"),
         F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"),
-        F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg"),
+        F.when(found, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"),
     )
 
 
-def modified_metrics(hits: DataFrame, gold: DataFrame, k: int, *by: str) -> DataFrame:
+def modified_metrics(hits: DataFrame, gold: DataFrame, k: int, *by: str, asked: DataFrame | None = None) -> DataFrame:
     """The published convention: units are not deduplicated but cut to ``k``.
 
     Precision is the distinct hits over the least of k and the gold; recall the hits
     over the least of k and the units given; the ideal gain sorts the list's own hits.
+    Queries are scored as in :func:`ir_metrics`, those without units 0.
     """
     place = F.row_number().over(W.partitionBy(*by).orderBy("rank", "unit"))
     given = hits.withColumn("place", place).where(F.col("place") <= k)
-    sizes = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    marked = given.join(gold.select("query_id", "unit", F.lit(1.0).alias("hit")), ["query_id", "unit"], "left").fillna({"hit": 0.0}).join(sizes, "query_id")
-    per = marked.groupBy(*by, "n_gold").agg(
+    marked = given.join(gold.select("query_id", "unit", F.lit(1.0).alias("hit")), ["query_id", "unit"], "left").fillna({"hit": 0.0})
+    per = marked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_given"),
         F.sum("hit").alias("hits"),
         F.count_distinct(F.when(F.col("hit") > 0, F.col("unit"))).alias("distinct_hits"),
         F.sum(F.col("hit") / F.log2(F.col("place") + 1)).alias("dcg"),
     )
+    per = _asked(gold, hits, by, asked).join(per, list(by), "left").fillna({"n_given": 0, "hits": 0.0, "distinct_hits": 0, "dcg": 0.0})
     p = F.col("distinct_hits") / F.least(F.lit(k), F.col("n_gold"))
-    r = F.col("hits") / F.least(F.lit(k), F.col("n_given"))
+    r = F.when(F.col("n_given") > 0, F.col("hits") / F.least(F.lit(k), F.col("n_given"))).otherwise(0.0)
     ideal = F.expr("CASE WHEN hits > 0 THEN aggregate(sequence(1, cast(hits AS int)), 0D, (s, i) -> s + 1 / log2(i + 1)) END")
     return per.select(
         *by, p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg")

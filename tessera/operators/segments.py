@@ -85,3 +85,75 @@ def bound_groups(units: DataFrame, least: int, most: int) -> DataFrame:
         return pd.DataFrame({"doc": frame.doc.iloc[0], "place": frame.place.to_numpy(), "group_no": number})
 
     return units.groupBy("doc").applyInPandas(run, "doc long, place long, group_no long")
+
+
+def merge_small(units: DataFrame, least: int) -> DataFrame:
+    """``doc, place, group_no`` after every group under ``least`` tokens joined a neighbour, the first such group first.
+
+    Of a group's two boundaries the one with the higher score goes, the left one
+    among equals; the first and the last group have one boundary each, which goes
+    whatever its score. A single group stays. ``units`` is as for :func:`bound_groups`.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("place")
+        score, group = frame.score.fillna(-1.0).to_numpy(), frame.group_no.to_numpy()
+        held = np.concatenate(([0], np.cumsum(frame.tokens.to_numpy() + 1)))
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(frame)]
+        while len(bounds) > 2:
+            small = np.flatnonzero(np.diff(held[bounds]) - 1 < least)
+            if not len(small):
+                break
+            inner = [b for b in (int(small[0]), int(small[0]) + 1) if 0 < b < len(bounds) - 1]
+            del bounds[max(inner, key=lambda b: (score[bounds[b]], -b))]
+        number = np.searchsorted(bounds[1:], np.arange(len(frame)), side="right")
+        return pd.DataFrame({"doc": frame.doc.iloc[0], "place": frame.place.to_numpy(), "group_no": number})
+
+    return units.groupBy("doc").applyInPandas(run, "doc long, place long, group_no long")
+
+
+#: Most words of a fragment, and the marks that close a sentence.
+FRAGMENT_WORDS, CLOSING = 8, ".;:!?"
+
+
+def is_fragment(text: str) -> bool:
+    """Whether a text, or every line of it, is too short to stand alone: few words and no closing mark, or marks only."""
+    lines = [line.strip() for line in text.splitlines() if line.strip()] or [""]
+    return all(not any(map(str.isalnum, line)) or (len(line.split()) <= FRAGMENT_WORDS and line[-1] not in CLOSING) for line in lines)
+
+
+def merge_fragments(sentences: DataFrame, texts: DataFrame) -> DataFrame:
+    """``doc, start, stop, units``: sentences of which fragments joined the next one, or else the one before, that shares a unit with them.
+
+    ``sentences`` has ``doc, start, stop, units``, ``texts`` has ``doc, text``. A joined
+    sentence is the text from the first one's start to the last one's stop and has
+    the units of both; it may be a fragment again, so passes go on until one joins
+    nothing. A document bounds what a task holds.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        text = frame.text.iloc[0]
+        now = [(int(r.start), int(r.stop), list(r.units)) for r in frame.sort_values("start").itertuples()]
+        size = None
+        while size != len(now):
+            size, now = len(now), _joined_once(now, text)
+        return pd.DataFrame([(frame.doc.iloc[0], *row) for row in now], columns=["doc", "start", "stop", "units"])
+
+    return sentences.join(texts, "doc").groupBy("doc").applyInPandas(run, "doc long, start long, stop long, units array<long>")
+
+
+def _joined_once(rows: list[tuple[int, int, list]], text: str) -> list[tuple[int, int, list]]:
+    ahead, out = rows[::-1], []
+    while ahead:
+        row = ahead.pop()
+        if is_fragment(text[row[0] : row[1]]):
+            if ahead and not set(row[2]).isdisjoint(ahead[-1][2]):
+                row = _together(row, ahead.pop())
+            elif out and not set(row[2]).isdisjoint(out[-1][2]):
+                row = _together(out.pop(), row)
+        out.append(row)
+    return out
+
+
+def _together(a: tuple[int, int, list], b: tuple[int, int, list]) -> tuple[int, int, list]:
+    return a[0], b[1], [*a[2], *(u for u in b[2] if u not in a[2])]

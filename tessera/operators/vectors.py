@@ -32,11 +32,11 @@ def cosine(x: str, y: str) -> Column:
 
 
 def normalized(x: str) -> Column:
-    """The vector over its length; a vector without length is an error."""
-    return F.expr(
-        f"transform({x}, v -> cast(v AS double) / CASE WHEN aggregate({x}, 0D, (s, a) -> s + cast(a AS double) * a) = 0 "
-        f"THEN raise_error('vector without length') ELSE sqrt(aggregate({x}, 0D, (s, a) -> s + cast(a AS double) * a)) END)"
-    )
+    """The vector over its length, which is found once a vector; one without length is an error."""
+    squares = f"aggregate({x}, 0D, (s, a) -> s + cast(a AS double) * a)"
+    # An array of the one length, so that the division within the inner function does not find it again.
+    length = f"transform(array(sqrt({squares})), n -> CASE WHEN n = 0 THEN raise_error('vector without length') ELSE n END)"
+    return F.expr(f"flatten(transform({length}, n -> transform({x}, v -> cast(v AS double) / n)))")
 
 
 def _unit_rows(vectors) -> np.ndarray:
@@ -66,7 +66,8 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int, *, scope: Column | None
     ``chunks`` has ``chunk_id, document_code, embedding``; ``queries`` has ``query_id,
     allowed, embedding`` where ``allowed`` is an array of document codes or null for
     all. Restriction comes before ranking. Queries are dealt by a hash into parts of
-    about ``block``, each a pass over the chunks, so what goes to the tasks is bounded.
+    about ``block``, each a pass over the chunks; the driver holds one part at a time,
+    and a task one.
     """
     wanted = queries.select("query_id", "allowed", "embedding")
     parts = max(1, -(-wanted.count() // block))
@@ -75,27 +76,32 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int, *, scope: Column | None
         slim = slim.where(scope)
     out = None
     for number in range(parts):
-        part = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == number).orderBy("query_id").collect()
-        ids = [r.query_id for r in part]
-        units = _unit_rows([r.embedding for r in part])
-        allowed = [None if r.allowed is None else frozenset(r.allowed) for r in part]
-
-        def run(batches, ids=ids, units=units, allowed=allowed):
-            best: dict[int, list[tuple[float, int]]] = {i: [] for i in range(len(ids))}
-            for batch in batches:
-                if not batch.num_rows or not ids:
-                    continue
-                names = batch.column("chunk_id").to_numpy()
-                codes = np.array(batch.column("document_code").to_pylist())
-                scores = np.round(units @ _unit_rows(batch.column("embedding")).T, SCORE_DIGITS)
-                inside = {a: np.flatnonzero(np.isin(codes, list(a))) for a in set(allowed) if a is not None}
-                for i, a in enumerate(allowed):
-                    row, own = (scores[i], names) if a is None else (scores[i][inside[a]], names[inside[a]])
-                    best[i] = sorted(best[i] + _best(row, own, k))[:k]
-            flat = [(ids[i], n, -s) for i, found in best.items() for s, n in found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.int64()), pa.array([r[1] for r in flat], pa.int64()), pa.array([r[2] for r in flat], pa.float64())], names=["query_id", "chunk_id", "score"])
-
-        found = slim.mapInArrow(run, "query_id long, chunk_id long, score double")
+        part = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == number).orderBy("query_id")
+        found = _pass(slim, part.collect(), k)
         out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _pass(slim: DataFrame, part: list, k: int) -> DataFrame:
+    """One block of queries against all chunks. The block travels as a broadcast, which Spark moves out of the driver's heap into blocks of its own."""
+    ids = [r.query_id for r in part]
+    held = slim.sparkSession.sparkContext.broadcast((ids, _unit_rows([r.embedding for r in part]), [None if r.allowed is None else frozenset(r.allowed) for r in part]))
+
+    def run(batches):
+        ids, units, allowed = held.value
+        best: dict[int, list[tuple[float, int]]] = {i: [] for i in range(len(ids))}
+        for batch in batches:
+            if not batch.num_rows or not ids:
+                continue
+            names = batch.column("chunk_id").to_numpy()
+            codes = np.array(batch.column("document_code").to_pylist())
+            scores = np.round(units @ _unit_rows(batch.column("embedding")).T, SCORE_DIGITS)
+            inside = {a: np.flatnonzero(np.isin(codes, list(a))) for a in set(allowed) if a is not None}
+            for i, a in enumerate(allowed):
+                row, own = (scores[i], names) if a is None else (scores[i][inside[a]], names[inside[a]])
+                best[i] = sorted(best[i] + _best(row, own, k))[:k]
+        flat = [(ids[i], n, -s) for i, found in best.items() for s, n in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.int64()), pa.array([r[1] for r in flat], pa.int64()), pa.array([r[2] for r in flat], pa.float64())], names=["query_id", "chunk_id", "score"])
+
+    return slim.mapInArrow(run, "query_id long, chunk_id long, score double")

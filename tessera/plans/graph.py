@@ -17,14 +17,24 @@ a AS (SELECT id AS unit_id, parent AS ancestor, 1 AS depth FROM t WHERE parent I
 SELECT unit_id, ancestor, depth FROM a"""
 )
 def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every unit with its ancestors. The tree's depth is fixed, so the recursion is unrolled into two joins."""
+    """Every unit with its ancestors."""
     r = read(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"))
     n = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
     c = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
-    tree = r.unionByName(n).unionByName(c).where("parent is not null")
-    one = tree.select(F.col("id").alias("unit_id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    two = one.join(tree, F.col("ancestor") == F.col("id")).select("unit_id", F.col("parent").alias("ancestor"), F.lit(2).alias("depth"))
-    return one.unionByName(two)
+    return ancestors(r.unionByName(n).unionByName(c))
+
+
+def ancestors(tree: DataFrame, deepest: int = 64) -> DataFrame:
+    """``unit_id, ancestor, depth`` of a tree of any depth (``id, parent``): a join a level, until no row is added. A longer way up is an error, since it is a circle."""
+    tree = tree.where("parent is not null").select("id", "parent")
+    level = tree.select(F.col("id").alias("unit_id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    out = level
+    for depth in range(2, deepest + 1):
+        level = level.join(tree, F.col("ancestor") == F.col("id")).select("unit_id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+    raise ValueError(f"a unit has more than {deepest} ancestors")
 
 
 @R.add("SELECT c_custkey, concat_ws(' > ', r_name, n_name, c_name) AS breadcrumb FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")

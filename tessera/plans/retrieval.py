@@ -82,17 +82,21 @@ def topk_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scoped(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    """Queries by scope; a fixed scope admits only queries whose document it holds."""
-    out = None
-    for scope, codes in SCOPES.items():
-        q = queries(spark, sf_dir)
+    """Queries by scope; a fixed scope admits only queries whose document it holds. One search serves all scopes: a query in a scope is a query of its own."""
+    q = queries(spark, sf_dir)
+    each = []
+    for number, (scope, codes) in enumerate(SCOPES.items()):
+        allowed, admitted = F.lit(None).cast("array<int>"), F.lit(True)
         if codes:
-            q = q.where(F.size(F.array_except(F.array("document_code"), F.array(*map(F.lit, codes)))) == 0).withColumn("allowed", F.array(*map(F.lit, codes)))
+            allowed = F.array(*map(F.lit, codes))
+            admitted = F.size(F.array_except(F.array("document_code"), allowed)) == 0
         elif codes is None:
-            q = q.withColumn("allowed", F.array("document_code"))
-        found = vectors.top_k(chunks(spark, sf_dir), q, k).withColumn("scope", F.lit(scope))
-        out = found if out is None else out.unionByName(found)
-    return out
+            allowed = F.array("document_code")
+        each.append(F.when(admitted, F.struct((F.col("query_id") * len(SCOPES) + number).alias("id"), F.lit(scope).alias("scope"), allowed.cast("array<bigint>").alias("allowed"))))
+    asked = q.select("query_id", "embedding", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("s"))
+    found = vectors.top_k(chunks(spark, sf_dir), asked.select(F.col("s.id").alias("query_id"), F.col("s.allowed").alias("allowed"), "embedding"), k)
+    names = asked.select(F.col("s.id").alias("id"), F.col("query_id").alias("own"), F.col("s.scope").alias("scope"))
+    return found.join(names, F.col("query_id") == F.col("id")).select(F.col("own").alias("query_id"), "chunk_id", "score", "rank", "scope")
 
 
 SCOPED_SQL = """
@@ -163,12 +167,52 @@ def retrieval_summary_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFra
     docs = queries(spark, sf_dir).select("query_id", "document_code")
     units = ranking.ranked_units(with_unit(scoped(spark, sf_dir)), "scope", "query_id")
     scored = ranking.ir_metrics(units, gold(spark, sf_dir), "scope", "query_id").join(docs, "query_id")
-    means = ", ".join(f"round(avg({m}), 6) AS {m}" for m in ranking.METRICS)
-    scored.createOrReplaceTempView("tessera_scored")
-    return spark.sql(
-        "SELECT scope, document_code, CASE WHEN grouping(scope) = 1 THEN 'overall' WHEN grouping(document_code) = 1 THEN 'scope' ELSE 'document' END AS level, "
-        f"count(*) AS n_queries, {means} FROM tessera_scored GROUP BY GROUPING SETS ((), (scope), (scope, document_code))"
-    )
+    scope, document = F.col("scope"), F.col("document_code")
+    grouped = scored.groupingSets([[], [scope], [scope, document]], scope, document)
+    level = F.when(F.grouping("scope") == 1, "overall").when(F.grouping("document_code") == 1, "scope").otherwise("document")
+    means = [F.round(F.avg(m), 6).alias(m) for m in ranking.METRICS]
+    return grouped.agg(level.alias("level"), F.count(F.lit(1)).alias("n_queries"), *means)
+
+
+ZERO_SQL = f"""z AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1), kept AS (SELECT * FROM units WHERE query_id % 100 = 0),
+{metrics_sql('kept')}
+SELECT z.query_id, z.n_gold, coalesce(n_units, 0) AS n_units, {", ".join(f"round(coalesce({m}, 0), 6) AS {m}" for m in ranking.METRICS)} FROM z LEFT JOIN metrics USING (query_id)"""
+
+
+@R.add(f"WITH {ranked_sql()}, {GOLD_SQL}, {UNITS_SQL}, {ZERO_SQL}")
+def ir_metrics_zero_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics where half of the queries retrieved nothing: they score 0 and are not left out."""
+    units = ranking.ranked_units(with_unit(search(spark, sf_dir)), "query_id").where("query_id % 100 = 0")
+    return rounded(ranking.ir_metrics(units, gold(spark, sf_dir), "query_id"), "query_id", "n_gold", "n_units")
+
+
+KS = (1, 5, 10)
+
+
+@R.add(
+    f"""WITH {SCOPED_SQL}, {GOLD_SQL},
+kranked AS (SELECT k, s.* FROM sranked s, (VALUES (1), (5), (10)) t(k) WHERE rank <= k),
+kunits AS (SELECT scope, k, query_id, qdoc, unit, row_number() OVER (PARTITION BY scope, k, query_id ORDER BY first, unit) AS unit_rank FROM (SELECT scope, k, query_id, qdoc, unit, min(rank) AS first FROM kranked GROUP BY ALL) f),
+{metrics_sql('kunits', 'scope, k, query_id, qdoc')},
+t AS (SELECT m.*, label % 3 AS specificity, value / 1000 AS seconds FROM metrics m JOIN embeddings ON vec_id = query_id LEFT JOIN (SELECT event_id, value FROM events) e ON event_id = query_id AND query_id % 200 <> 0)
+SELECT scope, k, specificity::BIGINT AS specificity, qdoc::BIGINT AS document_code, CASE WHEN grouping(specificity) = 0 THEN 'specificity' WHEN grouping(qdoc) = 0 THEN 'document' ELSE 'macro' END AS level, count(*) AS n_queries,
+{", ".join(f"round(avg({m}), 6) AS {m}" for m in ranking.METRICS)}, count(seconds) AS n_timed, round(avg(seconds), 9) AS mean_seconds, round(median(seconds), 9) AS median_seconds, round(quantile_cont(seconds, 0.95), 9) AS p95_seconds, round(sum(seconds), 9) AS total_seconds
+FROM t GROUP BY GROUPING SETS ((scope, k), (scope, k, specificity), (scope, k, qdoc))"""
+)
+def retrieval_summary_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and timings by scope and cut-off, in all, by specificity and by target document; groups without timings have none."""
+    cut = with_unit(scoped(spark, sf_dir)).withColumn("k", F.explode(F.array(*map(F.lit, KS)))).where("rank <= k")
+    scored = ranking.ir_metrics(ranking.ranked_units(cut, "scope", "k", "query_id"), gold(spark, sf_dir), "scope", "k", "query_id")
+    facts = queries(spark, sf_dir).select("query_id", F.col("document_code").cast("long").alias("document_code"), (F.col("label") % 3).cast("long").alias("specificity"))
+    timings = read(spark, sf_dir, "events").where("event_id % 200 <> 0").select(F.col("event_id").alias("query_id"), (F.col("value") / 1000).alias("seconds"))
+    rows = scored.join(facts, "query_id").join(timings, "query_id", "left")
+    scope, k, kind, document = (F.col(c) for c in ("scope", "k", "specificity", "document_code"))
+    level = F.when(F.grouping("specificity") == 0, "specificity").when(F.grouping("document_code") == 0, "document").otherwise("macro")
+    return rows.groupingSets([[scope, k], [scope, k, kind], [scope, k, document]], scope, k, kind, document).agg(
+        level.alias("level"), F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(m), 6).alias(m) for m in ranking.METRICS),
+        F.count("seconds").alias("n_timed"), F.round(F.avg("seconds"), 9).alias("mean_seconds"), F.round(F.median("seconds"), 9).alias("median_seconds"),
+        F.round(F.expr("percentile(seconds, 0.95)"), 9).alias("p95_seconds"), F.round(F.sum("seconds"), 9).alias("total_seconds"),
+    )
 
 
 def cut_metrics(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
