@@ -1,184 +1,18 @@
-"""Readers: XML and HTML acts, JSON in three layouts, CSV with contracts, question dictionaries.
+"""Readers: JSON in three layouts, CSV with contracts, question dictionaries, configurations, prompts, snapshots and checked indexes.
 
-Files are read by Spark (``binaryFile`` or the format's own reader), so paths may be in
-any store that Spark knows; parsing that needs a real parser happens in Arrow batches,
-one file at a time.
+Files are read by Spark (``binaryFile``, ``text`` or the format's own reader), so paths
+may be in any store that Spark knows. Small files that steer a job come to the driver.
 """
 
 from __future__ import annotations
 
 import ast
+import json
 import re
-from html.parser import HTMLParser
-from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UNIT_SCHEMA = (
-    "unit_id string, document_code string, unit_type string, number string, title string, text string, parent_unit_id string, "
-    "canonical_char_start long, canonical_char_end long, legal_order long"
-)
-_SPACE = re.compile(r"\s+")
-
-
-def _clean(text: str | None) -> str:
-    return _SPACE.sub(" ", (text or "").replace(" ", " ")).strip()
-
-
-def _name(node) -> str:
-    return node.tag.rsplit("}", 1)[-1]
-
-
-def _children(node, *names: str) -> list:
-    return [c for c in node if _name(c) in names]
-
-
-def _text(node, *skip: str) -> str:
-    """All text below a node, leaving out its direct children of some names."""
-    parts = [node.text or ""]
-    for c in node:
-        if _name(c) not in skip:
-            parts.append(_text(c))
-        parts.append(c.tail or "")
-    return _clean(" ".join(parts))
-
-
-class _Act:
-    """Collects units and the canonical text, whose blocks are joined by a blank line."""
-
-    def __init__(self, code: str):
-        self.code, self.units, self.length = code, [], 0
-
-    def block(self, text: str) -> tuple[int, int]:
-        start = self.length + (2 if self.length else 0)
-        self.length = start + len(text)
-        return start, self.length
-
-    def unit(self, kind: str, number: str, text: str, parent: str | None, span: tuple[int, int], title: str = "") -> str:
-        label = {"document": "Root", "chapter": f"Chap. {number}", "recital": f"Rec. {number}"}.get(kind, f"Art. {number}")
-        made = f"{self.code} {label}"
-        self.units.append((made, self.code, kind, number, title, text, parent, *span, len(self.units)))
-        return made
-
-
-def parse_act_xml(code: str, content: bytes) -> list[tuple]:
-    """Units of one XML act: the document, its recitals, then chapters, articles, paragraphs and items.
-
-    An article without paragraphs is its own paragraph under its own number. Items
-    without a number or whose text is not found in their paragraph are left out.
-    """
-    root = ElementTree.fromstring(content)
-    act = _Act(code)
-    top = act.unit("document", "", "", None, (0, 0))
-    for node in root.iter():
-        if _name(node) == "recital":
-            number = _clean("".join(_text(n) for n in _children(node, "num"))).strip("().")
-            body = _text(node, "num")
-            if body:
-                act.unit("recital", number, body, top, act.block(body))
-    for chapter in (n for n in root.iter() if _name(n) == "chapter"):
-        heading = _clean(" ".join(_text(n) for n in _children(chapter, "heading")))
-        number = re.sub(r"(?i)^chapter\s+", "", _clean(" ".join(_text(n) for n in _children(chapter, "num"))))
-        at = len(act.units)
-        parent = act.unit("chapter", number, heading, top, (act.length, act.length), heading)
-        for article in (n for n in chapter.iter() if _name(n) == "article"):
-            _article(act, article, parent)
-        act.units[at] = (*act.units[at][:8], act.length, act.units[at][9])
-    return act.units
-
-
-def _article(act: _Act, article, parent: str) -> None:
-    number = re.sub(r"(?i)^article\s+", "", _clean(" ".join(_text(n) for n in _children(article, "num")))).strip(".")
-    title = _clean(" ".join(_text(n) for n in _children(article, "heading")))
-    paragraphs = _children(article, "paragraph")
-    bodies = [(re.sub(r"[().\s]", "", _clean(" ".join(_text(n) for n in _children(p, "num")))), _text(p, "num"), p) for p in paragraphs] or [(number, _text(article, "num", "heading"), article)]
-    spans = [act.block(body) for _, body, _ in bodies]
-    own = act.unit("article", number, " ".join(body for _, body, _ in bodies), parent, (spans[0][0], spans[-1][1]), title)
-    for (n, body, node), span in zip(bodies, spans, strict=True):
-        para = act.unit("paragraph", f"{number}.{n}", body, own, span)
-        for item in (x for x in node.iter() if _name(x) == "item"):
-            mark = _clean(" ".join(_text(x) for x in _children(item, "num"))).strip("().")
-            inner = _text(item, "num")
-            place = body.find(inner) if inner else -1
-            if mark and place >= 0:
-                act.unit("subparagraph", f"{number}.{n}.{mark}", f"({mark}) {inner}", para, (span[0] + place, span[0] + place + len(inner)))
-
-
-class _Paragraphs(HTMLParser):
-    """Text and classes of each paragraph; scripts and styles hold no text, and a new paragraph ends an open one."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.found: list[tuple[str, str]] = []
-        self.open: list | None = None
-        self.muted = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.muted += 1
-        elif tag == "p":
-            self.open = [dict(attrs).get("class") or "", []]
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.muted = max(0, self.muted - 1)
-        elif tag == "p" and self.open:
-            text = _clean(" ".join(self.open[1]))
-            if text:
-                self.found.append((self.open[0], text))
-            self.open = None
-
-    def handle_data(self, data):
-        if self.open and not self.muted:
-            self.open[1].append(data)
-
-
-def html_paragraphs(content: bytes) -> list[tuple[str, str]]:
-    parser = _Paragraphs()
-    parser.feed(content.decode("utf-8", "ignore"))
-    return parser.found
-
-
-def parse_act_html(code: str, content: bytes) -> list[tuple]:
-    """Units of one HTML act: recitals before the first article, then articles opened by their title paragraphs."""
-    act = _Act(code)
-    top = act.unit("document", "", "", None, (0, 0))
-    parent, pending = top, None
-    for kind, text in html_paragraphs(content):
-        title = re.fullmatch(r"Article\s+(\w+)", text) if "title-article" in kind else None
-        mark = re.fullmatch(r"\((\d+)\)", text)
-        if title:
-            parent = act.unit("article", title[1], "", top, (act.length, act.length), text)
-        elif mark:
-            pending = mark[1]
-        elif parent == top and pending:
-            act.unit("recital", pending, text, top, act.block(text))
-            pending = None
-        elif parent != top:
-            number = parent.rsplit(" ", 1)[-1]
-            opening = re.match(r"(\d+)\.\s+(.*)", text)
-            n, body = (opening[1], opening[2]) if opening else (pending or number, text)
-            pending = None
-            made = f"{number}.{n}"
-            if all(u[3] != made for u in act.units):
-                act.unit("paragraph", made, body, parent, act.block(body))
-    return act.units
-
-
-def read_acts(spark: SparkSession, path: str, *, html: bool = False) -> DataFrame:
-    """Units of all acts below ``path``; a file's name without its ending is the document's code."""
-    parse = parse_act_html if html else parse_act_xml
-
-    def run(frames):
-        for frame in frames:
-            rows = [u for name, content in zip(frame.path, frame.content, strict=True) for u in parse(re.sub(r"\.\w+$", "", name.rsplit("/", 1)[-1]), bytes(content))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in UNIT_SCHEMA.split(", ")])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, UNIT_SCHEMA)
-
-
 def read_question_dict(spark: SparkSession, text: str, name: str = "question_dict") -> DataFrame:
     """``question, position, answers`` of a Python dictionary literal and its ``update`` calls, read as syntax and never run.
 
@@ -208,9 +42,14 @@ def _as_struct(schema: str) -> str:
 
 
 def read_cache_lines(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """Rows of JSON lines; of several with one key the last line of the last file wins. Lines that don't parse are left out."""
+    """Rows of JSON lines; of several with one key the last line of the last file wins. Lines that don't parse are left out.
+
+    The place of a line is its file, the start of its block in the file and its place
+    in the block, so the order holds however files are split.
+    """
     rows = spark.read.schema(f"{schema}, _corrupt_record string").json(path, columnNameOfCorruptRecord="_corrupt_record")
-    placed = rows.where("_corrupt_record is null").drop("_corrupt_record").withColumn("__at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+    where = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    placed = rows.withColumn("__at", where).where("_corrupt_record is null").drop("_corrupt_record")
     columns = [c for c in placed.columns if c not in (key, "__at")]
     last = placed.groupBy(key).agg(F.max_by(F.struct(*columns), "__at").alias("r"))
     return last.select(key, "r.*")
@@ -238,3 +77,114 @@ def read_partitions(spark: SparkSession, path: str, schema: str, wanted: list[st
     if set(wanted) - have:
         raise FileNotFoundError(f"no rows for {sorted(set(wanted) - have)}")
     return kept
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """One small text file."""
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(rows) != 1:
+        raise FileNotFoundError(f"one file expected: {path}")
+    return rows[0].value
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A configuration in YAML, or in JSON where no YAML parser is installed."""
+    text = read_text(spark, path)
+    try:
+        import yaml
+    except ModuleNotFoundError:
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def read_prompt(spark: SparkSession, path: str) -> tuple[str, str]:
+    """The system and the user section of a prompt file; a file without both, in this order, is an error."""
+    found = re.fullmatch(r"System:\n(.*?)\nUser:\n(.*)", read_text(spark, path).strip(), re.DOTALL)
+    if not found:
+        raise ValueError(f"no System and User sections: {path}")
+    return found[1].strip(), found[2].strip()
+
+
+def read_output_schema(spark: SparkSession, path: str) -> dict:
+    return json.loads(read_text(spark, path))
+
+
+def parse_env(text: str) -> dict[str, str]:
+    """``KEY=value`` lines; comments and other lines are passed over, quotes around values go, and the first of a key counts."""
+    out: dict[str, str] = {}
+    for line in text.splitlines():
+        key, equals, value = line.strip().partition("=")
+        if equals and key.strip() and not key.startswith("#"):
+            out.setdefault(key.strip(), value.strip().strip('"').strip("'"))
+    return out
+
+
+def config_value(config: dict, *keys: str, default=None):
+    """A value below some keys, or a default; without one, a key that is missing is an error that names it."""
+    for n, key in enumerate(keys):
+        if not isinstance(config, dict) or key not in config:
+            if default is None:
+                raise ValueError(f"not configured: {'.'.join(keys[: n + 1])}")
+            return default
+        config = config[key]
+    return config
+
+
+def read_first_named(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """The rows of the first file, in order of path, of that name below a folder."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", name).json(folder, multiLine=True).withColumn("__path", F.col("_metadata.file_path"))
+    first = rows.agg(F.min("__path").alias("p")).first().p
+    if first is None:
+        raise FileNotFoundError(f"no {name} below {folder}")
+    return rows.where(F.col("__path") == first).drop("__path")
+
+
+def read_configs(spark: SparkSession, path: str, schema: str, wanted: list[str], *, key: str = "config_id") -> DataFrame:
+    """Chunks of the wanted configurations below ``config_id=...`` folders; other folders are not read, and a missing one is an error."""
+    rows = spark.read.schema(f"{schema}, {key} string").option("basePath", path).parquet(path).where(F.col(key).isin(wanted))
+    have = {r[key] for r in rows.select(key).distinct().collect()}
+    if set(wanted) - have:
+        raise FileNotFoundError(f"no chunks of {sorted(set(wanted) - have)}")
+    return rows
+
+
+def last_by_key(key: str, *tables: DataFrame) -> DataFrame:
+    """The union of tables of which a later one's row replaces an earlier one's of the same key."""
+    every = None
+    for number, table in enumerate(tables):
+        part = table.withColumn("__table", F.lit(number))
+        every = part if every is None else every.unionByName(part)
+    columns = [c for c in every.columns if c not in (key, "__table")]
+    return every.groupBy(key).agg(F.max_by(F.struct(*columns), "__table").alias("r")).select(key, "r.*")
+
+
+def read_flat_index(spark: SparkSession, path: str, expected: dict) -> DataFrame:
+    """The vectors of an index in their order, after its manifest has been held against ``expected`` and against the vectors.
+
+    A manifest field that is missing counts as ``text`` if it names the embedded text.
+    Other differences, another number of rows and a digest that does not fit are errors.
+    """
+    manifest = spark.read.json(f"{path}/manifest").first().asDict()
+    manifest.setdefault("embedding_text_field", "text")
+    differ = {k: (manifest.get(k), v) for k, v in expected.items() if manifest.get(k) != v}
+    if differ:
+        raise ValueError(f"the index was made otherwise: {differ}")
+    stored = spark.read.parquet(f"{path}/vectors")
+    found = index_facts(stored).first().asDict()
+    if any(manifest[k] != v for k, v in found.items()):
+        raise ValueError("the vectors are not those of the manifest")
+    return stored.orderBy("pos")
+
+
+def index_facts(stored: DataFrame) -> DataFrame:
+    """Number of vectors and digests of the vectors and of the order of ids, in one row; the digests are sums of hashes, so no order of rows matters."""
+    def digest(*columns):
+        return F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string")
+
+    return stored.agg(F.count(F.lit(1)).alias("n_vectors"), digest("chunk_id", "embedding").alias("embeddings_digest"), digest("chunk_id", "pos").alias("order_digest"))
+
+
+def snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """``name, sha256, length`` of the files below a path, for comparing them with a pinned snapshot."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"), "length")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.vectors import norm, normalized
+from .readers import index_facts
 
 
 def overwrite_partitions(df: DataFrame, path: str, *by: str) -> None:
@@ -14,7 +15,10 @@ def overwrite_partitions(df: DataFrame, path: str, *by: str) -> None:
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, *key: str) -> None:
-    """Merge by key, new rows winning. The result is written beside the table and moved into place, so a failure leaves the old one."""
+    """Merge by key, new rows winning. The result is written beside the table and moved into place, so a failure leaves the old one. Two new rows of one key are an error."""
+    twice = new.groupBy(*key).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"more than one new row of {twice[0].asDict()}")
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     target, made, old = fs_path(path), fs_path(f"{path}.new"), fs_path(f"{path}.old")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -43,14 +47,26 @@ def write_csv(df: DataFrame, path: str, columns: list[str], *, line: str = "\n",
     df.select(*columns).coalesce(1).write.mode("overwrite").csv(path, header=True, lineSep=line)
 
 
-def write_flat_index(chunks: DataFrame, path: str, *, kind: str = "flat_inner_product") -> DataFrame:
-    """Unit vectors with their position, and a one-row manifest; no other kind of index is known."""
+def write_flat_index(chunks: DataFrame, path: str, *, kind: str = "flat_inner_product", metadata: dict | None = None) -> DataFrame:
+    """Unit vectors with their position, and a one-row manifest that is bound to them by digests; no other kind of index is known."""
     if kind != "flat_inner_product":
         raise ValueError(f"unknown index: {kind}")
     unit = chunks.select("chunk_id", "pos", normalized("embedding").alias("embedding"))
     unit.write.mode("overwrite").parquet(f"{path}/vectors")
-    spark = chunks.sparkSession
-    stored = spark.read.parquet(f"{path}/vectors")
-    manifest = stored.agg(F.count(F.lit(1)).alias("n_vectors"), F.max(F.size("embedding")).alias("dimension"), F.min(norm("embedding")).alias("min_norm"), F.max(norm("embedding")).alias("max_norm"), F.lit(kind).alias("kind"))
+    stored = chunks.sparkSession.read.parquet(f"{path}/vectors")
+    size = stored.agg(F.max(F.size("embedding")).alias("dimension"), F.min(norm("embedding")).alias("min_norm"), F.max(norm("embedding")).alias("max_norm"), F.lit(kind).alias("kind"))
+    manifest = index_facts(stored).join(size, F.lit(True))
+    for name, value in (metadata or {}).items():
+        manifest = manifest.withColumn(name, F.lit(value))
     manifest.write.mode("overwrite").json(f"{path}/manifest")
     return stored
+
+
+def write_json_report(df: DataFrame, path: str) -> None:
+    """Replace a report by these rows, which fit one file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_configs(chunks: DataFrame, path: str, *, key: str = "config_id") -> None:
+    """All configurations in one write, a folder each; folders of configurations that are not written stay."""
+    overwrite_partitions(chunks, path, key)
