@@ -17,6 +17,7 @@ each.
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
@@ -25,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import slices
+from .common import publish, published, slices
 
 K1, B = 1.2, 0.75
 #: ASCII characters other than letters and digits separate terms.
@@ -231,48 +233,64 @@ class BlockMaxIndex:
             for p in np.flatnonzero(passed[start : start + count]).tolist():
                 span = ids[p * half : (p + 2) * half]
                 for item, score in self.retrieve(np.unique(span[span >= 0]).tolist()):
+                    # Sums of the same weights in another order are equal.
+                    score = round(score, 9)
                     whole, question, answer = self.verify(item, words[p * half : (p + 2) * half])
                     good = whole >= self.settings.overlap and min(question, answer) >= self.settings.part_overlap
-                    if good and (item not in best or (score, -p) > (best[item][1], -best[item][4])):
+                    if good and (item not in best or score > best[item][1]):
                         best[item] = (item, score, question, answer, p * half)
             out[n] = [best[i] for i in sorted(best)]
 
 
-def item_blocks(items: DataFrame, settings: Settings, *, id_col: str, text_col: str, block_items: int) -> list[list[Item]]:
-    """The items in blocks of about ``block_items``, dealt by a hash; each block is an index of its own and a pass over the texts."""
+def item_blocks(items: DataFrame, *, id_col: str, text_col: str, block_items: int):
+    """The items in blocks of about ``block_items``, dealt by a hash; each block is an index of its own and a pass over the texts.
+
+    A block is written to the shared folder and forgotten, so the driver holds one
+    at a time; what is given on is the name under which tasks find it.
+    """
     slim = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
     blocks = -(-slim.count() // block_items)
-    out = []
     for b in range(blocks):
         rows = slim.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        made = [x for r in rows if (x := make_item(r.i, r.t, settings))]
-        if made:
-            out.append(made)
-    return out
+        yield publish(items.sparkSession, pickle.dumps([(r.i, r.t) for r in rows]), "items")
+
+
+_OPEN: dict[tuple, BlockMaxIndex] = {}
+
+
+def open_index(name: str, settings: Settings) -> BlockMaxIndex | None:
+    """The index of a block in this worker process, made once; None if no item has terms."""
+    if (name, settings) not in _OPEN:
+        _OPEN.clear()
+        with open(published(name), "rb") as f:
+            made = [x for i, t in pickle.load(f) if (x := make_item(i, t, settings))]  # noqa: S301  written by item_blocks
+        _OPEN[name, settings] = BlockMaxIndex(made, settings) if made else None
+    return _OPEN[name, settings]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, settings: Settings = Settings(), block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:  # noqa: B008  frozen
     """One row per document and test item it holds: ``id_col, item_id, score, question_overlap, answer_overlap, first_word``.
 
-    Whole texts are searched. Null and empty texts and items give nothing; an empty
-    benchmark or corpus gives no rows. Repeated rows are reported each; of several
-    passages with one item the best counts, and the first among equals. Other
-    columns are not read.
+    Whole texts are searched, however long. Null and empty texts and items give
+    nothing; an empty benchmark or corpus gives no rows. Rows, also of one id or of a
+    null id, are reported each; equal items count as one. Of several passages with one
+    item the best counts, and the first among equals. Other columns are not read.
     """
     slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     kind, item_kind = dict(slim.dtypes)["k"], dict(items.dtypes)[item_id_col]
     schema = f"k {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double, first_word long"
+    arrow_kind = to_arrow_type(items.schema[item_id_col].dataType)
     found = None
-    for block in item_blocks(items, settings, id_col=item_id_col, text_col=item_text_col, block_items=block_items):
+    for block in item_blocks(items, id_col=item_id_col, text_col=item_text_col, block_items=block_items):
 
         def run(batches, block=block):
-            index = BlockMaxIndex(block, settings)
-            for batch in batches:
+            index = open_index(block, settings)
+            for batch in batches if index else ():
                 for part in slices(batch):
-                    rows = [(i, block[h[0]].item_id, *h[1:]) for i, hits in enumerate(index.hits(part.column(1).to_pylist())) for h in hits]
+                    rows = [(i, index.items[h[0]].item_id, *h[1:]) for i, hits in enumerate(index.hits(part.column(1).to_pylist())) for h in hits]
                     keys = part.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                     cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(cols[1]) if rows else pa.array([], pa.int64()), *(pa.array(cols[i], pa.float64()) for i in (2, 3, 4)), pa.array(cols[5], pa.int64())], names=["k", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(cols[1], arrow_kind), *(pa.array(cols[i], pa.float64()) for i in (2, 3, 4)), pa.array(cols[5], pa.int64())], names=["k", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
         hits = slim.mapInArrow(run, schema)
         found = hits if found is None else found.unionByName(hits)
@@ -282,15 +300,20 @@ def contaminated(docs: DataFrame, items: DataFrame, *, settings: Settings = Sett
 
 
 def keep(docs: DataFrame, items: DataFrame, *, settings: Settings = Settings(), block_items: int = 20_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:  # noqa: B008  frozen
-    """The rows of ``docs``, with all their columns, that hold no test item; judged row by row, without a join."""
+    """The rows of ``docs``, with all their columns, that hold no test item; judged row by row, without a join.
+
+    Whole texts are searched. Null and empty texts hold nothing and stay; rows of one
+    id are judged each by its text; an empty benchmark keeps all. An empty table
+    gives no rows.
+    """
     at = docs.columns.index(text_col)
-    for block in item_blocks(items, settings, id_col=item_id_col, text_col=item_text_col, block_items=block_items):
+    for block in item_blocks(items, id_col=item_id_col, text_col=item_text_col, block_items=block_items):
 
         def run(batches, block=block):
-            index = BlockMaxIndex(block, settings)
+            index = open_index(block, settings)
             for batch in batches:
                 for part in slices(batch):
-                    yield part.filter(pa.array([not h for h in index.hits(part.column(at).to_pylist())], pa.bool_()))
+                    yield part.filter(pa.array([not h for h in index.hits(part.column(at).to_pylist())], pa.bool_())) if index else part
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

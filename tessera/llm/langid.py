@@ -129,13 +129,14 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Fit on at most ``per_lang`` labelled rows of each language, taken by a hash of the id.
 
     The bound is on the rows that a classifier is fitted on; k-means runs in one
-    task per language, over at most that many rows. Rows without a language or
-    text teach nothing. None if no row teaches anything.
+    task per language, over at most that many rows. Rows without a language, a
+    text or an id teach nothing; rows of one id teach once, by the least text.
+    Long texts are read whole. None if no row teaches anything.
     """
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where("lang is not null and t is not null and k is not null")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = sizes.select("lang", F.least(F.lit(1.0), F.lit(1.5 * per_lang) / F.col("n")).alias("share"))
-    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("k", F.lit("langid")), F.lit(1 << 30)) <= F.col("share") * F.lit(1 << 30))
+    picked = rows.join(share, "lang").where(F.pmod(F.xxhash64("k", F.lit("langid")), F.lit(1 << 30)) <= F.col("share") * F.lit(1 << 30))
     once = picked.groupBy("lang", "k").agg(F.min("t").alias("t"))
     nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("k"), "k"))
     sample = stash(once.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "t"), "langid-sample")
@@ -186,7 +187,12 @@ def predict(docs: DataFrame, model: CentroidModel | None, *, id_col: str = "doc_
 
 
 def keep(docs: DataFrame, model: CentroidModel | None, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not rejected; judged row by row, without a join."""
+    """The rows of ``docs``, with all their columns, that are not rejected; judged row by row, without a join.
+
+    Null texts and texts without a letter are rejected; very long texts are read
+    whole; repeated rows are judged each, whatever their ids. Without a model, and of
+    an empty table, nothing stays.
+    """
     if model is None:
         return docs.where(F.lit(False))
     at = docs.columns.index(text_col)

@@ -60,7 +60,12 @@ def features(text: str | None) -> tuple[float, ...]:
 
 
 def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and one double column per statistic, a row per input row."""
+    """``id_col`` and one double column per statistic, a row per input row.
+
+    Null and empty texts, and texts without words, measure 0 throughout; very long
+    texts are measured whole. Repeated rows are measured each. An empty table gives
+    no rows. Other columns are not read.
+    """
     slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
 
     def run(batches):
@@ -125,7 +130,11 @@ def fit(rows: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col
 
 
 def score(rows: DataFrame, model: Discriminant | None, *, id_col: str = "doc_id") -> DataFrame:
-    """``id_col, score`` for every row of :func:`measured`; 0.5 throughout if no model could be fitted."""
+    """``id_col, score`` for every row of :func:`measured`; 0.5 throughout if no model could be fitted.
+
+    Every row is scored, also rows of one id, of a null id and of texts without words.
+    An empty table gives no rows.
+    """
     if model is None:
         return rows.select(id_col, F.lit(0.5).alias("score"))
     slim = rows.select(F.col(id_col).alias("k"), *FEATURES)

@@ -108,7 +108,8 @@ def match_rules(urls: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
     Null urls and urls without ``://`` have an empty host and path, match no rule
     and get ``default``. Repeated rows give repeated results; of two equal rules
     the later one holds; of two fitting rules of one length the one with the
-    longer host holds. Other input columns are not read.
+    longer host holds. Very long urls are read whole. An empty table gives no rows,
+    and no rules give every row ``default``. Other input columns are not read.
     """
     host, path = split_url("__url")
     rows = urls.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"))

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe_lexicon, common, components, decontam, langid, license_scan, near_dedup, pseudo_lm, quality_qda, quality_rules, queries, sharding, url_rules
 
@@ -114,9 +115,112 @@ def test_decontamination_finds_planted_items(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_brute_force(spark, odd, empty):
+    rng = random.Random(61)
+    settings = decontam.Settings()
+    items = [(i, prose(rng, rng.randint(6, 50))) for i in range(30)] + [(30, "two words"), (31, None), (32, "...")]
+    rows = []
+    for d in range(90):
+        words, planted = prose(rng, rng.randint(0, 250)).split(), items[d % 31][1].split()
+        if d % 2:
+            planted = [w if rng.random() > 0.03 * (d % 5) else "other" for w in planted][: len(planted) - d % 4]
+            at = rng.randint(0, len(words))
+            words[at:at] = planted
+        rows.append((d, " ".join(words), "clash", 7))
+    made = [x for i, t in items if (x := decontam.make_item(i, t, settings))]
+    weights = decontam.BlockMaxIndex(made, settings).weights
+    half = max(32, max(len(m.question) + len(m.answer) for m in made))
+
+    def naive(text):
+        words, best = decontam.terms(text), {}
+        for p in range(-(-len(words) // half)):
+            passage = words[p * half : (p + 2) * half]
+            for item, w in zip(made, weights, strict=True):
+                score = sum(x for t, x in w.items() if t in set(passage))
+                q = min(5, len(item.question) + len(item.answer))
+                have = decontam.shingles(passage, q)
+                shares = [len(x & have) / len(x) if x else 1.0 for x in (item.whole, *item.parts)]
+                if score >= settings.threshold - 1e-9 and shares[0] >= settings.overlap and min(shares[1:]) >= settings.part_overlap and score > best.get(item.item_id, (0,))[0] + 1e-12:
+                    best[item.item_id] = (score, p * half)
+        return best
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, score int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.score, 6), r.first_word) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(d, i): (round(s, 6), at) for d, t, _, _ in rows for i, (s, at) in naive(t).items()} and len(got) > 10
+    kept = decontam.keep(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, *_ in rows} - {d for d, _ in got}
+    assert decontam.keep(odd, bench).count() >= odd.count() - 1 and decontam.contaminated(empty, bench).count() == 0 and decontam.keep(odd, bench.limit(0)).count() == odd.count()
+
+
 # op3 and op9
 
 
+def test_quality_features_and_scores_against_a_naive_version(spark, odd):
+    rng = random.Random(17)
+    texts = [" ".join(rng.choices(["Ab", "c!", "d9", "e,", "#f", "g\n", "h"], k=rng.randint(1, 90))) for _ in range(80)] + [r.text for r in odd.collect()]
+
+    def naive(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        n = len(words)
+        if not n:
+            return [0.0] * 12
+        raw = (text or "").encode()
+        chars, lines = sum(len(w.encode()) for w in words), [x for x in raw.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+        stutters = sum(a == b for a, b in zip(words, words[1:]))
+
+        def count(pattern):
+            return len(re.findall(pattern, text))
+
+        return [
+            math.log1p(n), math.log(chars / n), math.log1p(100 * count(r"[#*$%&|<>]") / n), math.log1p(100 * count("!") / n), math.log1p(100 * count("[A-Z]") / chars), math.log1p(100 * count("[0-9]") / chars),
+            (brute_measures(text)[5] / n) ** 0.5, (stutters / n) ** 0.5, math.log1p(len(set(words))) - math.log1p(n), (1 - len(set(lines)) / len(lines)) ** 0.5, math.log1p(n / len(lines)), math.log1p(100 * count(r"[.,;:?\"'()-]") / n),
+        ]
+
+    for t in texts:
+        assert quality_qda.features(t) == pytest.approx(naive(t))
+    x = np.array([naive(t) for t in texts])
+    y = [int(row[3] > np.median(x[:, 3])) for row in x]
+    docs = spark.createDataFrame([(f"d{i}", t, 0) for i, t in enumerate(texts)], "doc_id string, text string, length int").repartition(3)
+    labels = spark.createDataFrame([(f"d{i}", v) for i, v in enumerate(y)] + [("d1", 1 - y[1]), ("d2", None), (None, 1)], "doc_id string, quality int")
+    rows = quality_qda.measured(docs)
+    got = {r.doc_id: r.score for r in quality_qda.score(rows, quality_qda.fit(rows, labels)).collect()}
+    used = [i for i in range(len(texts)) if i != 1]
+    classes = [np.array([x[i] for i in used if y[i] == v]) for v in (0, 1)]
+    pooled = sum(len(c) * c.var(axis=0) for c in classes) / len(used)
+    logs = []
+    for c in classes:
+        cov = 0.9 * np.cov(c.T, bias=True) + np.diag(0.1 * pooled + 1e-3)
+        d = x - c.mean(axis=0)
+        logs.append(-0.5 * (np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d) + np.linalg.slogdet(cov)[1]) + math.log(len(c)))
+    want = 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -60, 60)))
+    assert [got[f"d{i}"] for i in range(len(texts))] == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_language_is_that_of_the_nearest_centroid(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
+    model = langid.fit(docs, per_lang=60)
+
+    def bucket(trigram):
+        code = int.from_bytes(trigram, "big")
+        return (code * 2654435761 & 0xFFFFFFFF) >> 32 - langid.DIM_BITS
+
+    def naive(text):
+        raw = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()) + b" "
+        counts = Counter(bucket(raw[i : i + 3]) for i in range(len(raw) - 2) if b"  " not in raw[i : i + 3])
+        vector = {j: math.log1p(n) * model.idf[j] for j, n in counts.items()}
+        length = math.sqrt(sum(v * v for v in vector.values()))
+        cosines = [sum(v * float(c[j]) for j, v in vector.items()) / length for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda i: (cosines[i], -i))
+        return model.langs[best], cosines[best]
+
+    texts = [r.text for r in docs.where("doc_id % 8 = 0").collect() if langid.has_letter(r.text)][:40]
+    langs, scores, _ = model.predict(texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        want = naive(text)
+        assert lang == want[0] and score == pytest.approx(min(1.0, max(0.0, want[1])), abs=1e-4)
+
+
 def test_quality_held_out(spark):
     rows = {r.doc_id: r for r in queries.op3_quality_qda(spark, "/root/testdata/sf0.01").collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
@@ -579,6 +683,29 @@ def test_shards(spark, odd, empty, monkeypatch):
 # pipeline
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(3)
+    a, b = prose(rng, 90), prose(rng, 90)
+    kinds = {f.name: f.dataType for f in given.schema.fields}
+    rows = [(None, a), (None, b), (5, prose(rng, 80)), (5, prose(rng, 80)), (7, None), (8, ""), (9, prose(rng, 30_000))]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = odd.select(*(F.col(c).cast(kinds[c]).alias(c) if c in ("doc_id", "text") else F.lit(None).cast(kinds[c]).alias(c) for c in given.columns))
+    for (name, stage), docs in itertools.product(pipeline.STAGES, (odd, given.limit(0))):
+        out = stage(spark, docs, SF)
+        n = out.count()
+        assert n <= docs.count()
+        if name == "MinHash near-dedup" and docs is odd:
+            assert n == len(rows)
+        if name not in ("BPE encoding and decoding",):
+            assert out.columns == given.columns
+    model = langid.fit(given)
+    assert langid.keep(odd, model).where("text is null or text = ''").count() == 0
+    assert {r.text for r in quality_rules.keep(odd).collect()} == {t for _, t in rows if t and not any(eval(rule, dict(zip(quality_rules.MEASURES, quality_rules.measure_text(t)))) for _, rule in quality_rules.RULES.values())}
+
+
 def test_pipeline_stages_match_their_operators(spark):
     import corpus_pipeline as pipeline
 
