@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import slices, stash, unstash
 
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
@@ -37,6 +37,8 @@ _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _WINDOWS = (3, 5, 10, 20, 50, 100, 200, 500, 1000)
 #: Steps of the number of different trigrams: half powers of two. A step needs so many windows for a floor of its own.
 _STEPS, _LEAST = 2 * DIM_BITS + 1, 20
+#: Languages that are few enough to be sent to every task.
+_LANGUAGES = 10_000
 #: No cosine below this is accepted: collisions alone bring short texts of any script this far.
 _NEVER = 0.05
 
@@ -135,8 +137,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where("lang is not null and t is not null and k is not null")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(1.5 * per_lang) / F.col("n")).alias("share"))
-    picked = rows.join(share, "lang").where(F.pmod(F.xxhash64("k", F.lit("langid")), F.lit(1 << 30)) <= F.col("share") * F.lit(1 << 30))
+    share = stash(sizes.select("lang", F.least(F.lit(1.0), F.lit(1.5 * per_lang) / F.col("n")).alias("share")), "langid-shares")
+    # Few languages are the rule; a column of very many values is joined by a shuffle.
+    picked = rows.join(F.broadcast(share) if share.count() <= _LANGUAGES else share, "lang").where(F.pmod(F.xxhash64("k", F.lit("langid")), F.lit(1 << 30)) <= F.col("share") * F.lit(1 << 30))
     once = picked.groupBy("lang", "k").agg(F.min("t").alias("t"))
     nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("k"), "k"))
     sample = stash(once.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "t"), "langid-sample")
@@ -149,6 +152,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()], pa.list_(pa.int64()))], names=["n", "df"])
 
+    unstash(share)
     parts = sample.coalesce(8).mapInArrow(document_frequency, "n long, df array<long>").collect()
     n = sum(r.n for r in parts)
     if not n:
