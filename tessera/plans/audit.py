@@ -130,7 +130,7 @@ def anchor_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", "lang")
     m = d.groupBy("source").agg(F.median("n_chars").alias("mid"))
     rank = F.struct(F.when(F.col("lang") == "en", 0).otherwise(1), F.abs(F.col("n_chars") - F.col("mid")), "doc_id")
-    best = d.join(F.broadcast(m), "source").groupBy("source").agg(F.min_by(F.struct("doc_id", "n_chars"), rank).alias("b"))
+    best = d.join(m, "source").groupBy("source").agg(F.min_by(F.struct("doc_id", "n_chars"), rank).alias("b"))
     return best.select("source", "b.doc_id", "b.n_chars")
 
 

@@ -101,8 +101,12 @@ def embedding_cache_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_global_row(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """A column ``row`` numbered from 1 in order of ``key``, by bucket counts instead of one window over everything."""
-    cuts = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000).alias("cuts")).first().cuts or []
+    """A column ``row`` numbered from 1 in order of ``key``, of any type, by bucket counts instead of one window over everything.
+
+    Buckets are cut at a bounded number of keys, those of the least hashes.
+    """
+    some = sorted({r.k for r in df.select(F.col(key).alias("k")).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), "k").limit(32 * buckets).collect()})
+    cuts = sorted({some[i * len(some) // buckets] for i in range(1, buckets)}) if some else []
     placed = df.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0))
     before = F.coalesce(F.sum("m").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).select("bucket", before.alias("start"))

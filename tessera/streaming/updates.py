@@ -21,10 +21,17 @@ def windowed_totals(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     )
 
 
-def upsert_stream(rows: DataFrame, path: str, checkpoint: str, *key: str) -> StreamingQuery:
-    """Every micro-batch replaces rows of its keys; a batch that runs again after a failure gives the same table."""
+def upsert_stream(rows: DataFrame, path: str, checkpoint: str, *key: str, latest: str | None = None) -> StreamingQuery:
+    """Every micro-batch replaces rows of its keys; a batch that runs again after a failure gives the same table.
+
+    Of several rows of a key in one batch the one with the greatest ``latest`` wins,
+    and among equals, or without such a column, the one whose other columns are greatest.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
-        upsert(batch.sparkSession, path, batch.dropDuplicates(list(key)), *key)
+        rest = [c for c in batch.columns if c not in key]
+        order = F.struct(*([latest] if latest else []), *rest)
+        best = batch.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*key, "r.*")
+        upsert(batch.sparkSession, path, best.select(*batch.columns), *key)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
