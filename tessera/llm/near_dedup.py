@@ -137,7 +137,7 @@ def keys(sig: np.ndarray, plan: Plan) -> np.ndarray:
     for i in range(plan.chunks):
         for j in range(plan.width):
             at = i * plan.width + j
-            out[:, at] = _mix((sig[:, i] & ~np.uint64(0xFF << 8 * j)) + np.uint64(at + 1) * _STEP)
+            out[:, at] = _mix((sig[:, i] & ~np.uint64(0xFF << 8 * j)) + np.uint64((at + 1) * int(_STEP) % (1 << 64)))
     return out
 
 
