@@ -127,7 +127,8 @@ m AS (SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coa
       FROM d LEFT JOIN wc USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN stut USING (doc_id)),
 b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 10 * n_words)::INT
         + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (10 * word_chars < 20 * n_words)::INT + 32 * (10 * word_chars > 150 * n_words)::INT
-        + 64 * (100 * n_upper > 40 * word_chars)::INT + 128 * (100 * n_bangs > 30 * n_words)::INT + 256 * (100 * n_stutters > 30 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
+        + 64 * (100 * n_upper > 40 * word_chars)::INT + 128 * (100 * n_bangs > 30 * n_words)::INT + 256 * (100 * n_stutters > 30 * n_words)::INT
+        + 512 * (n_words < 1)::INT AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b""",
     "op7_license_scan": license_scan.oracle_sql(),
     "op8_near_dedup": r"""

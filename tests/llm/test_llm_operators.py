@@ -348,11 +348,12 @@ def test_quality_rules_against_brute_force(spark, odd, empty):
     clash = odd.withColumnRenamed("n", "n_words").withColumnRenamed("size", "fail_bits")
     assert quality_rules.keep(clash).columns == clash.columns and quality_rules.keep(clash).count() == kept
     assert quality_rules.keep(empty).count() == 0 and sorted(r.text for r in quality_rules.keep(odd, "base").collect()) == sorted(t for t in [r.text for r in odd.collect()] if not any(eval(quality_rules.RULES[b][1], dict(zip(quality_rules.MEASURES, quality_rules.measure_text(t)))) for b in (0, 1)))
-    bits = [r.fail_bits for r in entries.collect()]
-    for r in quality_rules.ablations(entries).collect():
-        flag = 1 << r.bit
-        assert (r.n_failed, r.n_only) == (sum(b & flag > 0 for b in bits), sum(b == flag for b in bits))
-        assert r.n_kept_without == sum(b & ~flag == 0 for b in bits)
+    for policy in ("v1", "v2"):
+        bits = [r.fail_bits & quality_rules.mask_of(policy) for r in entries.collect()]
+        for r in quality_rules.ablations(entries, policy).collect():
+            flag = 1 << r.bit
+            assert (r.n_failed, r.n_only) == (sum(b & flag > 0 for b in bits), sum(b == flag for b in bits))
+            assert r.n_kept_without == sum(b & ~flag == 0 for b in bits)
 
 
 # op6
@@ -703,7 +704,7 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
             assert out.columns == given.columns
     model = langid.fit(given)
     assert langid.keep(odd, model).where("text is null or text = ''").count() == 0
-    assert {r.text for r in quality_rules.keep(odd).collect()} == {t for _, t in rows if t and not any(eval(rule, dict(zip(quality_rules.MEASURES, quality_rules.measure_text(t)))) for _, rule in quality_rules.RULES.values())}
+    assert {r.text for r in quality_rules.keep(odd).collect()} == {t for _, t in rows if t and not any(eval(rule, dict(zip(quality_rules.MEASURES, quality_rules.measure_text(t)))) for rule in (quality_rules.RULES[b][1] for b in quality_rules.POLICIES["v2"]))}
 
 
 def test_pipeline_stages_match_their_operators(spark):
@@ -717,7 +718,7 @@ def test_pipeline_stages_match_their_operators(spark):
     kept = [{r.doc_id for r in f.select("doc_id").collect()} for f in frames]
     assert all(f.columns == columns for f in frames[1:-1])
     assert all(b <= a for a, b in zip(kept, kept[1:]))
-    assert kept[2] == {d for d in kept[1] if not any(eval(rule, dict(zip(quality_rules.MEASURES, quality_rules.measure_text(before[d])))) for _, rule in quality_rules.RULES.values())}
+    assert kept[2] == {d for d in kept[1] if not any(eval(rule, dict(zip(quality_rules.MEASURES, quality_rules.measure_text(before[d])))) for rule in (quality_rules.RULES[b][1] for b in quality_rules.POLICIES["v2"]))}
     groups = brute_components([(d, before[d]) for d in kept[2]], 5, 80)
     assert kept[3] == {d for d, (_, c) in groups.items() if d == c}
     items = [decontam.shingles(decontam.terms(r.text), 5) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
