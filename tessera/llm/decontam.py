@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -33,10 +34,29 @@ from .common import publish, published, slices
 K1, B = 1.2, 0.75
 #: ASCII characters other than letters and digits separate terms.
 _TERMS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+_UNSPACED = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Thai}\p{Script=Lao}\p{Script=Khmer}\p{Script=Myanmar}]")
+_IN_TERM = regex.compile(r"[\p{L}\p{M}\p{N}]")
+
+
+class _Parts(dict):
+    """What a character becomes before a text is split: itself, a space, or a term of its own in scripts that set no spaces."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = f" {c} " if _UNSPACED.match(c) else c if _IN_TERM.match(c) else " "
+        return self[code]
+
+
+_PARTS = _Parts()
 
 
 def terms(text: str | None) -> list[bytes]:
-    return text.lower().encode().translate(_TERMS).split() if text else []
+    """Lower-cased runs of letters, marks and digits of any script; a character of a script without spaces is a term."""
+    if not text:
+        return []
+    if text.isascii():
+        return text.lower().encode().translate(_TERMS).split()
+    return text.lower().translate(_PARTS).encode().split()
 
 
 def shingles(words: list[bytes], q: int) -> set[tuple[bytes, ...]]:

@@ -115,6 +115,21 @@ def test_decontamination_finds_planted_items(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_terms_of_any_script(spark):
+    assert decontam.terms("“What’s A_B” — café, naïve…") == [w.encode() for w in ("what", "s", "a", "b", "café", "naïve")]
+    assert decontam.terms("水は abc度。") == [w.encode() for w in ("水", "は", "abc", "度")]
+    assert decontam.terms("हिन्दी") == ["हिन्दी".encode()]
+    ascii_text = "".join(map(chr, range(128))) + " Ab c"
+    assert decontam.terms(ascii_text + " é") == [*decontam.terms(ascii_text), "é".encode()]
+    short, han = "which gas do green plants take in when they make sugar", "中国最长的河流是哪一条长江"
+    bench = spark.createDataFrame([(1, short), (2, han)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, f"He read “{short}”—and left"), (2, f"我们问你{han}吗请回答"), (3, "“green plants” 长江是河流")], "doc_id long, text string"
+    )
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(1, 1), (2, 2)}
+    assert [r.doc_id for r in decontam.keep(docs, bench).collect()] == [3]
+
+
 def test_decontamination_against_brute_force(spark, odd, empty):
     rng = random.Random(61)
     settings = decontam.Settings()
