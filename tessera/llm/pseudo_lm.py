@@ -184,9 +184,9 @@ def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hidden(p: dict[str, np.ndarray], line: np.ndarray, at: np.ndarray) -> np.ndarray:
-    h = p["embed"][0][line[at + OFFSETS[0]]]
+    h = p["embed"][0].take(line[at + OFFSETS[0]], axis=0)
     for j in range(1, len(OFFSETS)):
-        h += p["embed"][j][line[at + OFFSETS[j]]]
+        h += p["embed"][j].take(line[at + OFFSETS[j]], axis=0)
     h += p["bias"]
     return np.tanh(h, out=h)
 
@@ -202,9 +202,24 @@ def _by_class(group: np.ndarray, classes: int) -> tuple[np.ndarray, list[int]]:
     return order, np.searchsorted(group[order], np.arange(classes + 1)).tolist()
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Of each column, in place; a row is a class, so that sums and maxima run over whole rows at once."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
+
+
+def _log_chance(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each column at one row of it."""
+    x -= x.max(axis=0)
+    own = x[target, np.arange(len(target))]
+    return own - np.log(np.exp(x, out=x).sum(axis=0))
+
+
+def _logits(h: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    x = weight.T @ h.T
+    x += bias[:, None]
     return x
 
 
@@ -217,11 +232,11 @@ def log_probabilities(p: dict[str, np.ndarray], shape: Shape, line: np.ndarray,
         order, bounds = _by_class(line[where] // c, c)
         where = where[order]
         h, target = hidden(p, line, where), line[where]
-        logs = _log_softmax(h @ p["to_class"] + p["class_bias"])[np.arange(len(where)), target // c]
+        logs = _log_chance(_logits(h, p["to_class"], p["class_bias"]), target // c)
         for k in range(c):
             rows = slice(bounds[k], bounds[k + 1])
             if bounds[k] < bounds[k + 1]:
-                logs[rows] += _log_softmax(h[rows] @ p["to_word"][k] + p["word_bias"][k])[np.arange(bounds[k + 1] - bounds[k]), target[rows] % c]
+                logs[rows] += _log_chance(_logits(h[rows], p["to_word"][k], p["word_bias"][k]), target[rows] % c)
         out[start + order] = logs
     return out
 
@@ -232,23 +247,23 @@ def gradient(p: dict[str, np.ndarray], shape: Shape, line: np.ndarray, at: np.nd
     order, bounds = _by_class(line[at] // c, c)
     at = at[order]
     h, target = hidden(p, line, at), line[at]
-    g = np.exp(_log_softmax(h @ p["to_class"] + p["class_bias"]))
-    g[np.arange(n), target // c] -= 1
+    g = _softmax(_logits(h, p["to_class"], p["class_bias"]))
+    g[target // c, np.arange(n)] -= 1
     g /= n
-    out["to_class"][:] = h.T @ g
-    out["class_bias"][:] = g.sum(axis=0)
-    dh = g @ p["to_class"].T
+    out["to_class"][:] = (g @ h).T
+    out["class_bias"][:] = g.sum(axis=1)
+    dh = g.T @ p["to_class"].T
     out["to_word"][:] = 0
     out["word_bias"][:] = 0
     for k in range(c):
         if bounds[k] < bounds[k + 1]:
             rows = slice(bounds[k], bounds[k + 1])
-            g = np.exp(_log_softmax(h[rows] @ p["to_word"][k] + p["word_bias"][k]))
-            g[np.arange(len(g)), target[rows] % c] -= 1
+            g = _softmax(_logits(h[rows], p["to_word"][k], p["word_bias"][k]))
+            g[target[rows] % c, np.arange(g.shape[1])] -= 1
             g /= n
-            out["to_word"][k] = h[rows].T @ g
-            out["word_bias"][k] = g.sum(axis=0)
-            dh[rows] += g @ p["to_word"][k].T
+            out["to_word"][k] = (g @ h[rows]).T
+            out["word_bias"][k] = g.sum(axis=1)
+            dh[rows] += g.T @ p["to_word"][k].T
     dh *= 1 - h * h
     out["bias"][:] = dh.sum(axis=0)
     out["embed"][:] = 0
@@ -256,7 +271,7 @@ def gradient(p: dict[str, np.ndarray], shape: Shape, line: np.ndarray, at: np.nd
         near = line[at + offset]
         order = _order(near, shape.vocabulary)
         starts = np.flatnonzero(np.diff(near[order], prepend=-1))
-        out["embed"][j][near[order][starts]] = np.add.reduceat(dh[order], starts, axis=0)
+        out["embed"][j][near[order][starts]] = np.add.reduceat(dh.take(order, axis=0), starts, axis=0)
 
 
 class Trainer:
