@@ -135,6 +135,33 @@ def slices(batch, rows: int = 256):
         yield batch.slice(start, rows)
 
 
+#: Rows of sorted batches that are taken together; rows that belong together are never parted.
+_RUN_ROWS = 1 << 16
+
+
+def whole_runs(batches, names: list[str]):
+    """Sorted batches as tables that never part rows alike in ``names``."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= _RUN_ROWS:
+            table = pa.Table.from_batches(held)
+            changes = np.flatnonzero(np.any([np.diff(table.column(n).to_numpy()) != 0 for n in names], axis=0))
+            if len(changes):
+                cut = int(changes[-1]) + 1
+                yield table.slice(0, cut)
+                held = table.slice(cut).combine_chunks().to_batches()
+                rows = table.num_rows - cut
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def run_numbers(table: pa.Table, names: list[str]) -> np.ndarray:
+    """A number for each row that changes where one of ``names`` does."""
+    return np.concatenate(([0], np.cumsum(np.any([np.diff(table.column(n).to_numpy()) != 0 for n in names], axis=0)))).astype(np.int64)
+
+
 def most_frequent(counts: DataFrame, most: int, *, word_col: str = "word", count_col: str = "n") -> DataFrame:
     """The rows of the highest counts, at most ``most`` of them.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_lexicon, decontam, divergence, langid, license_scan, near_dedup, pseudo_lm, quality_qda, quality_rules, sharding, url_rules
+from . import bpe_lexicon, decontam, divergence, langid, license_scan, near_dedup, prefix_trie, pseudo_lm, quality_qda, quality_rules, sharding, simhash, url_rules
 from .common import crc_mod, stash, table
 
 #: The url rules the contract states.
@@ -79,15 +79,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.Plan(words=4, bits=4))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_rules, op2_decontamination, op3_quality_qda, op4_bpe_lexicon, op5_quality_rules,
-        op6_pseudo_likelihood, op7_license_scan, op8_near_dedup, op9_language_id, op10_sharding, op12_source_divergence,
+        op6_pseudo_likelihood, op7_license_scan, op8_near_dedup, op9_language_id, op10_sharding, op11_simhash, op12_source_divergence,
+        op13_prefix_trie,
     )
 }
 
@@ -136,6 +145,7 @@ b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_wo
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b""",
     "op7_license_scan": license_scan.oracle_sql(),
     "op12_source_divergence": divergence.oracle_sql(),
+    "op13_prefix_trie": prefix_trie.oracle_sql(),
     "op8_near_dedup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 2), ' ') AS g FROM (SELECT * FROM w WHERE len(ws) > 0) q, unnest(generate_series(1, greatest(1, len(ws) - 2))) u(i)),
