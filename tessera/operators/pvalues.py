@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-import random
 from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import stats
+
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
@@ -36,65 +37,36 @@ def sign_flip_p(ranks: list[float], w_plus: float) -> float:
     return min(1.0, 2 * min(low, high) / every)
 
 
-def average_ranks(values: list[float]) -> list[float]:
-    order, out, at = sorted(range(len(values)), key=values.__getitem__), [0.0] * len(values), 0
-    while at < len(order):
-        end = at
-        while end < len(order) and values[order[end]] == values[order[at]]:
-            end += 1
-        for i in order[at:end]:
-            out[i] = (at + 1 + end) / 2
-        at = end
-    return out
+#: Up to so many differences p is exact over all signs: with ties among their sizes, and without.
+EXACT_TIED, EXACT = 20, 50
 
 
-def signed_rank(differences: list[float]) -> dict:
-    """Wilcoxon's test of paired differences.
+def signed_rank_tests(pairs: DataFrame, difference: str, *by: str) -> DataFrame:
+    """Wilcoxon's test of paired differences: ``*by, n, w_plus, w_minus, rank_biserial, p, method``, a row for every group.
 
-    Zeros after rounding to twelve digits are dropped. With ties and at most 20
-    differences p is exact over signs; with ties and more it is normal with tie
-    correction; without ties it is exact up to 50 and normal beyond.
+    Zeros after rounding to twelve digits are dropped; a group of zeros has p 1.
+    With ties and at most 20 differences p is exact over signs; with ties and more it
+    is normal with tie correction; without ties it is exact up to 50 and normal beyond.
+    Ranks of a group are gathered only where p is exact, so there are 50 of them at most.
     """
-    d = [x for x in (round(v, 12) for v in differences) if x != 0]
-    n = len(d)
-    if not n:
-        return {"n": 0, "w_plus": 0.0, "w_minus": 0.0, "rank_biserial": 0.0, "p": 1.0, "method": "none"}
-    sizes = [abs(x) for x in d]
-    ranks, ties = average_ranks(sizes), [t for t in Counter(sizes).values() if t > 1]
-    plus, minus = (sum(r for r, x in zip(ranks, d, strict=True) if s * x > 0) for s in (1, -1))
-    if (ties and n <= 20) or (not ties and n <= 50):
-        method, p = "exact", sign_flip_p(ranks, plus)
-    else:
-        spread = n * (n + 1) * (2 * n + 1) / 24 - sum(t**3 - t for t in ties) / 48
-        method, p = "normal", normal_two_sided((min(plus, minus) - n * (n + 1) / 4) / math.sqrt(spread))
-    return {"n": n, "w_plus": plus, "w_minus": minus, "rank_biserial": (plus - minus) / (n * (n + 1) / 2), "p": p, "method": method}
-
-
-def signed_rank_tests(pairs: DataFrame, by: str, key: str, difference: str) -> DataFrame:
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        values = frame.sort_values(key)[difference].tolist()
-        return pd.DataFrame([{by: frame[by].iloc[0], **signed_rank(values)}])
-
-    schema = f"{by} string, n long, w_plus double, w_minus double, rank_biserial double, p double, method string"
-    return pairs.select(by, key, difference).groupBy(by).applyInPandas(run, schema)
-
-
-def seeded_interval(values: list[float], draws: int, seed: int, level: float = 0.95) -> tuple[float, float]:
-    """Percentile interval of the mean from Python's own seeded generator; every contrast starts from the same seed."""
-    n, rng = len(values), random.Random(seed)
-    if not n:
-        return 0.0, 0.0
-    means = sorted(sum([values[rng.randrange(n)] for _ in range(n)]) / n for _ in range(draws))
-    tail = (1 - level) / 2
-    return means[int(tail * (draws - 1))], means[int((1 - tail) * (draws - 1))]
-
-
-def seeded_intervals(pairs: DataFrame, by: str, key: str, value: str, *, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = seeded_interval(frame.sort_values(key)[value].tolist(), draws, seed)
-        return pd.DataFrame({by: [frame[by].iloc[0]], "ci_low": [low], "ci_high": [high]})
-
-    return pairs.select(by, key, value).groupBy(by).applyInPandas(run, f"{by} string, ci_low double, ci_high double")
+    tied = F.max("t") > 1
+    n = F.sum("t")
+    exact = F.when(tied, n <= EXACT_TIED).otherwise(n <= EXACT)
+    few = stats.signed_sizes(pairs, difference, *by).where(F.col("n") <= EXACT).groupBy(*by).agg(exact.alias("exact"), F.flatten(F.collect_list(F.array_repeat("r", F.col("t").cast("int")))).alias("ranks"))
+    sums = stats.wilcoxon(pairs, difference, *by)
+
+    @F.pandas_udf("double")
+    def p_value(exact: pd.Series, ranks: pd.Series, w_plus: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series([sign_flip_p(list(r), w) if e else normal_two_sided(x) for e, r, w, x in zip(exact, ranks, w_plus, z, strict=True)])
+
+    groups = pairs.select(*by).distinct()
+    found = groups.join(sums, list(by), "left").join(few, list(by), "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    none, zero = F.col("n").isNull(), F.lit(0.0)
+    p = p_value("exact", F.coalesce("ranks", F.array().cast("array<double>")), F.coalesce("w_plus", zero), F.coalesce("z", zero))
+    return found.select(
+        *by, F.coalesce("n", F.lit(0)).alias("n"), *(F.coalesce(c, zero).alias(c) for c in ("w_plus", "w_minus", "rank_biserial")),
+        F.when(none, F.lit(1.0)).otherwise(p).alias("p"), F.when(none, "none").when(F.col("exact"), "exact").otherwise("normal").alias("method"),
+    )
 
 
 def friedman_p(found: DataFrame) -> DataFrame:

@@ -6,31 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ordering
+
 
 def average_rank(order: Column, *by: str) -> Column:
-    """Ranks in which equal values share the mean of their places."""
+    """Ranks in which equal values share the mean of their places, for groups of few rows: a window takes a group whole."""
     part = W.partitionBy(*by)
     return F.rank().over(part.orderBy(order)) + (F.count(F.lit(1)).over(W.partitionBy(*by, order)) - 1) / 2
 
 
+def signed_sizes(pairs: DataFrame, difference: str, *by: str) -> DataFrame:
+    """The distinct sizes of the non-zero differences (rounded to 12 digits) with their rank ``r``, rows ``t`` and ``plus``, the rows with a positive sign."""
+    d = pairs.select(*by, F.round(difference, 12).alias("d")).where("d <> 0").select(*by, F.abs("d").alias("size"), "d")
+    return ordering.ranked(ordering.counted(d, "size", *by, plus=(F.col("d") > 0).cast("long")), *by)
+
+
 def wilcoxon(pairs: DataFrame, difference: str, *by: str) -> DataFrame:
-    """Signed-rank sums of the non-zero differences (rounded to 12 digits), rank-biserial effect and normal z with tie correction."""
-    d = pairs.select(*by, F.round(difference, 12).alias("d")).where("d <> 0").withColumn("size", F.abs("d"))
-    ranked = d.select(*by, "d", average_rank(F.col("size"), *by).alias("r"), F.count(F.lit(1)).over(W.partitionBy(*by, "size")).alias("t"))
-    sums = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"),
-        # A tie of t values adds t cubed less t once; each of its rows carries a t-th of that.
-        F.sum(F.col("t") * F.col("t") - 1).alias("ties"),
-    )
-    n = F.col("n")
+    """Signed-rank sums of the non-zero differences, rank-biserial effect and normal z with tie correction.
+
+    Equal sizes are counted, not ranked row by row, so a group is never in one task.
+    """
+    t, plus = F.col("t"), F.col("plus")
+    sums = signed_sizes(pairs, difference, *by).groupBy(*by).agg(
+        F.sum("t").alias("n"), F.sum(plus * F.col("r")).alias("w_plus"), F.sum((t - plus) * F.col("r")).alias("w_minus"), F.sum(t.cast("double") * t * t - t).alias("ties")
+    )
+    n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return sums.select(
+    found = sums.select(
         *by, "n", "w_plus", "w_minus",
         ((F.col("w_plus") - F.col("w_minus")) / (n * (n + 1) / 2)).alias("rank_biserial"),
         ((F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.nullif(spread, F.lit(0.0))).alias("z"),
     )
+    return found.where("n > 0")
 
 
 def friedman(scores: DataFrame, block: str, condition: str, value: str) -> DataFrame:
@@ -57,29 +64,17 @@ def holm(tests: DataFrame, p: str, *by: str) -> DataFrame:
 
 
 def spearman(pairs: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    ranked = pairs.select(*by, average_rank(F.col(x), *by).alias("rx"), average_rank(F.col(y), *by).alias("ry"))
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
-
-
-def hash_int(*parts: Column) -> Column:
-    """A number from 0 below 2 to the 32 from an md5, the same in any engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
-
-
-def bootstrap_interval(values: DataFrame, key: str, value: str, *by: str, draws: int = 200, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean: draw i of place j takes the row that a hash of (i, j) points to.
-
-    The same draws serve every group, and the interval's ends are floored indices
-    of the sorted means.
-    """
-    order = W.partitionBy(*by).orderBy(key)
-    placed = values.select(*by, F.col(value).alias("v"), (F.row_number().over(order) - 1).alias("place"), F.count(F.lit(1)).over(W.partitionBy(*by)).alias("n"))
-    drawn = placed.select(*by, "place", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    pick = drawn.select(*by, "draw", (hash_int(F.col("draw").cast("string"), F.col("place").cast("string")) % F.col("n")).alias("place"))
-    means = pick.join(placed.select(*by, "v", "place"), [*by, "place"]).groupBy(*by, "draw").agg(F.avg("v").alias("mean"))
-    low, high = int((1 - level) / 2 * (draws - 1)), int((1 + level) / 2 * (draws - 1))
-    listed = means.groupBy(*by).agg(F.array_sort(F.collect_list(F.round("mean", 9))).alias("means"))
-    return listed.select(*by, F.col("means")[low].alias("ci_low"), F.col("means")[high].alias("ci_high"))
+    """Rank correlation. Rows alike in both values are one, with a weight; ranks of either value come from counts."""
+    both = pairs.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    alike = both.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("m"))
+    ranks = {c: ordering.ranked(ordering.counted(both, c, *by), *by).select(*by, F.col("v").alias(c), F.col("r").alias(f"r{c}")) for c in ("x", "y")}
+    met = alike.join(ranks["x"], [*by, "x"]).join(ranks["y"], [*by, "y"])
+    m, rx, ry, n = F.col("m"), F.col("rx"), F.col("ry"), F.col("n").cast("double")
+    # The mean of either's ranks is (n + 1) / 2.
+    sums = met.groupBy(*by).agg(F.sum("m").alias("n"), F.sum(m * rx * ry).alias("xy"), F.sum(m * rx * rx).alias("xx"), F.sum(m * ry * ry).alias("yy"))
+    middle = n * (n + 1) * (n + 1) / 4
+    rho = (F.col("xy") - middle) / F.nullif(F.sqrt((F.col("xx") - middle) * (F.col("yy") - middle)), F.lit(0.0))
+    return sums.select(*by, "n", rho.alias("rho"))
 
 
 def largest_remainder(strata: DataFrame, size: str, total: int) -> DataFrame:

@@ -8,6 +8,7 @@ units that share their label.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import ranking, vectors
@@ -28,8 +29,9 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = chunks(spark, sf_dir).select("label", F.expr("chunk_id div 2").alias("unit")).groupBy("label").agg(F.expr("array_sort(collect_set(unit))").alias("units"))
-    return queries(spark, sf_dir).join(units, "label").select("query_id", F.explode(F.slice("units", 1, 10)).alias("unit"))
+    units = chunks(spark, sf_dir).select("label", F.expr("chunk_id div 2").alias("unit")).distinct()
+    least = units.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("unit"))).where("n <= 10")
+    return queries(spark, sf_dir).join(least, "label").select("query_id", "unit")
 
 
 def search(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
@@ -81,6 +83,13 @@ def topk_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@R.add(f"WITH {ranked_sql()} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked")
+def topk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search with queries and chunks both dealt into blocks, as for many queries."""
+    found = vectors.top_k(chunks(spark, sf_dir), queries(spark, sf_dir), K, held=0, strip=16)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 def scoped(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """Queries by scope; a fixed scope admits only queries whose document it holds. One search serves all scopes: a query in a scope is a query of its own."""
     q = queries(spark, sf_dir)

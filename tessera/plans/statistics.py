@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import pvalues, stats
+from ..operators import bootstrap, ordering, pvalues, stats
 from .registry import Registry, read
 
 R = Registry()
@@ -70,19 +70,26 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.spearman(j.withColumn("q", F.col("quality") + F.col("toxic") * 0.5), "n_chars", "q", "lang").select("lang", "n", F.round("rho", 6).alias("rho"))
 
 
-@R.add(
-    f"""WITH {PAIRS_SQL}, m AS (SELECT condition, count(*) AS n, avg(d) AS mean_d, median(d) AS median_d, avg(base) AS mean_base FROM pairs GROUP BY 1),
-pl AS (SELECT condition, d, row_number() OVER (PARTITION BY condition ORDER BY user_id) - 1 AS place, count(*) OVER (PARTITION BY condition) AS n FROM pairs),
-dr AS (SELECT condition, draw, ('0x' || substr(md5(concat(draw, '|', place)), 1, 8))::BIGINT % n AS place FROM pl, range(200) g(draw)),
+DRAWS = 10_000
+#: Draw i of place j takes the row that a hash of both points to; a condition has less than one block of rows here.
+DRAWN_SQL = f"""pl AS (SELECT condition, d, row_number() OVER (PARTITION BY condition ORDER BY user_id) - 1 AS place, count(*) OVER (PARTITION BY condition) AS n FROM pairs),
+hd AS (SELECT draw, h FROM {bootstrap.mix_sql(f"(SELECT i AS draw, i AS h FROM range(1, {DRAWS} + 1) g(i))", "h")} q),
+hp AS (SELECT condition, n, h FROM {bootstrap.mix_sql("(SELECT condition, n, place AS h FROM pl)", "h")} q),
+dr AS (SELECT condition, draw, h % n AS place FROM {bootstrap.mix_sql("(SELECT hp.condition, hp.n, hd.draw, xor(hd.h, hp.h) AS h FROM hp, hd)", "h")} q),
 me AS (SELECT condition, draw, round(avg(d), 9) AS mean FROM dr JOIN pl USING (condition, place) GROUP BY ALL),
-ci AS (SELECT condition, list_sort(list(mean)) AS l FROM me GROUP BY 1)
-SELECT condition, n, round(mean_d, 6) AS mean_difference, round(median_d, 6) AS median_difference, round(mean_d / nullif(mean_base, 0), 6) AS relative_difference, round(l[5], 6) AS ci_low, round(l[195], 6) AS ci_high FROM m JOIN ci USING (condition)"""
+ci AS (SELECT condition, list_sort(list(mean)) AS l FROM me GROUP BY 1)"""
+
+
+@R.add(
+    f"""WITH {PAIRS_SQL}, m AS (SELECT condition, count(*) AS n, avg(d) AS mean_d, median(d) AS median_d, avg(base) AS mean_base FROM pairs GROUP BY 1), {DRAWN_SQL}
+SELECT condition, n, round(mean_d, 6) AS mean_difference, round(median_d, 6) AS median_difference, round(mean_d / nullif(mean_base, 0), 6) AS relative_difference, round(l[250], 6) AS ci_low, round(l[9750], 6) AS ci_high FROM m JOIN ci USING (condition)"""
 )
 def paired_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir)
-    means = p.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("m"), F.median("d").alias("md"), F.avg("base").alias("b"))
-    ci = stats.bootstrap_interval(p, "user_id", "d", "condition")
-    return means.join(ci, "condition").select(
+    means = p.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("m"), F.avg("base").alias("b"))
+    middle = ordering.quantiles(p, "d", {"md": 0.5}, "condition")
+    ci = bootstrap.interval(p, "user_id", "d", "condition", draws=DRAWS)
+    return means.join(middle, "condition").join(ci, "condition").select(
         "condition", "n", F.round("m", 6).alias("mean_difference"), F.round("md", 6).alias("median_difference"), F.round(F.col("m") / F.nullif(F.col("b"), F.lit(0.0)), 6).alias("relative_difference"),
         F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"),
     )
@@ -109,13 +116,16 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT event_type, min(value) AS lowest, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS highest FROM events GROUP BY 1")
 def boxplot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = read(spark, sf_dir, "events").groupBy("event_type").agg(F.min("value").alias("lowest"), F.expr("percentile(value, array(0.25, 0.5, 0.75))").alias("q"), F.max("value").alias("highest"))
-    return q.select("event_type", "lowest", *(F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))), "highest")
+    events = read(spark, sf_dir, "events")
+    ends = events.groupBy("event_type").agg(F.min("value").alias("lowest"), F.max("value").alias("highest"))
+    return ends.join(ordering.quantiles(events, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "event_type"), "event_type").select("event_type", "lowest", "q1", "median", "q3", "highest")
 
 
 @R.add(f"WITH {PAIRS_SQL} SELECT condition, count(CASE WHEN d > 0 THEN 1 END) AS better, count(CASE WHEN d < 0 THEN 1 END) AS worse, count(CASE WHEN d = 0 THEN 1 END) AS tied, round(median(d), 6) AS median_difference FROM pairs GROUP BY 1")
 def paired_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).groupBy("condition").agg(F.count_if(F.col("d") > 0).alias("better"), F.count_if(F.col("d") < 0).alias("worse"), F.count_if(F.col("d") == 0).alias("tied"), F.round(F.median("d"), 6).alias("median_difference"))
+    p = pairs(spark, sf_dir)
+    counts = p.groupBy("condition").agg(F.count_if(F.col("d") > 0).alias("better"), F.count_if(F.col("d") < 0).alias("worse"), F.count_if(F.col("d") == 0).alias("tied"))
+    return counts.join(ordering.quantiles(p, "d", {"m": 0.5}, "condition"), "condition").select("condition", "better", "worse", "tied", F.round("m", 6).alias("median_difference"))
 
 
 @R.add("SELECT event_type, bin, n, round(n / sum(n) OVER (PARTITION BY event_type), 6) AS share FROM (SELECT event_type, CAST(floor(ln(greatest(value, 0.01)) * 2) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY ALL) q")
@@ -128,11 +138,10 @@ def log_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def contrast_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed-rank tests with p-values, Holm within the family, and seeded bootstrap intervals of the mean difference."""
+    """Signed-rank tests with p-values, Holm within the family, and bootstrap intervals of the mean difference."""
     p = pairs(spark, sf_dir)
-    tests = stats.holm(pvalues.signed_rank_tests(p, "condition", "user_id", "d").withColumnRenamed("condition", "test"), "p")
-    ci = pvalues.seeded_intervals(p, "condition", "user_id", "d", draws=10_000).withColumnRenamed("condition", "test")
-    return tests.join(ci, "test")
+    tests = stats.holm(pvalues.signed_rank_tests(p, "d", "condition").withColumnRenamed("condition", "test"), "p")
+    return tests.join(bootstrap.interval(p, "user_id", "d", "condition", draws=DRAWS).withColumnRenamed("condition", "test"), "test")
 
 
 @R.add()
