@@ -31,6 +31,15 @@ def _cell(v: Column, step: Column) -> Column:
     return F.when(v < 0, _CELLS - 1 - inside).otherwise(inside)
 
 
+def beside(left: DataFrame, right: DataFrame, *by: str, how: str = "inner") -> DataFrame:
+    """The rows of ``left`` with the other columns of ``right`` where ``by`` is equal; nulls equal each other."""
+    other = right.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in right.columns if c not in by))
+    met = F.lit(True)
+    for c in by:
+        met = met & left[c].eqNullSafe(other[f"__{c}"])
+    return left.join(other, met, how).drop(*(f"__{c}" for c in by))
+
+
 def counted(rows: DataFrame, value: str, *by: str, **sums: Column) -> DataFrame:
     """``*by, v, t`` and ``sums``: each distinct value of a group, as a double, and how many rows have it. Null and NaN are left out."""
     return rows.select(*by, F.col(value).cast("double").alias("v"), *(c.alias(n) for n, c in sums.items())).where("v is not null and not isnan(v)").withColumn("v", F.col("v") + 0.0).groupBy(*by, "v").agg(F.count(F.lit(1)).alias("t"), *(F.sum(n).alias(n) for n in sums))
@@ -47,13 +56,13 @@ def _cells(values: DataFrame, by: tuple[str, ...]) -> DataFrame:
     steps = cells.groupBy(*by, "step").agg(F.sum("m").alias("m"))
     steps = steps.select(*by, "step", F.coalesce(F.sum("m").over(below("step")), F.lit(0)).alias("lower"), F.sum("m").over(W.partitionBy(*by)).alias("n"))
     inner = cells.withColumn("inner", F.coalesce(F.sum("m").over(below("step", "cell")), F.lit(0)))
-    return inner.join(steps, [*by, "step"]).select(*by, "step", "cell", "m", (F.col("lower") + F.col("inner")).alias("before"), "n")
+    return beside(inner, steps, *by, "step").select(*by, "step", "cell", "m", (F.col("lower") + F.col("inner")).alias("before"), "n")
 
 
 def _placed(values: DataFrame, cells: DataFrame, by: tuple[str, ...]) -> DataFrame:
     inside = W.partitionBy(*by, "step", "cell").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
     own = values.withColumn("inner", F.coalesce(F.sum("t").over(inside), F.lit(0)))
-    return own.join(cells.select(*by, "step", "cell", "before", "n"), [*by, "step", "cell"]).withColumn("before", F.col("before") + F.col("inner")).drop("inner", "step", "cell")
+    return beside(own, cells.select(*by, "step", "cell", "before", "n"), *by, "step", "cell").withColumn("before", F.col("before") + F.col("inner")).drop("inner", "step", "cell")
 
 
 def ranked(values: DataFrame, *by: str) -> DataFrame:
@@ -82,7 +91,7 @@ def quantiles(rows: DataFrame, value: str, wanted: dict[str, float], *by: str) -
     ends = [F.floor(p) for p in position(F.col("n")).values()] + [F.ceil(p) for p in position(F.col("n")).values()]
     holds = lambda first, many: F.exists(F.array(*ends), lambda x: (x >= F.col(first)) & (x < F.col(first) + F.col(many)))
     chosen = cells.where(holds("before", "m"))
-    placed = _placed(values.join(chosen.select(*by, "step", "cell"), [*by, "step", "cell"]), chosen, by)
+    placed = _placed(beside(values, chosen.select(*by, "step", "cell"), *by, "step", "cell"), chosen, by)
 
     def at(place: Column) -> Column:
         return F.max(F.when((place >= F.col("before")) & (place < F.col("before") + F.col("t")), F.col("v")))
@@ -95,3 +104,12 @@ def quantiles(rows: DataFrame, value: str, wanted: dict[str, float], *by: str) -
         return F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high).alias(name)
 
     return found.select(*by, *(between(name, p) for name, p in position(F.col("n")).items()))
+
+
+def numbered(rows: DataFrame, key: str, name: str = "row") -> DataFrame:
+    """The rows with their number from 1 in the order of ``key``, a number; keys are meant to be distinct, and rows without one are left out."""
+    order = W.partitionBy("v").orderBy(key)
+    keyed = rows.where(F.col(key).isNotNull()).withColumn("v", F.col(key).cast("double") + 0.0)
+    places = ranked(counted(rows, key)).select("v", "before")
+    # Whole numbers too long for a double share a value.
+    return beside(keyed, places, "v").withColumn(name, F.col("before") + F.row_number().over(order)).drop("v", "before")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import stats
+from . import ordering, stats
 
 
 def normal_two_sided(z: float) -> float:
@@ -60,7 +60,7 @@ def signed_rank_tests(pairs: DataFrame, difference: str, *by: str) -> DataFrame:
         return pd.Series([sign_flip_p(list(r), w) if e else normal_two_sided(x) for e, r, w, x in zip(exact, ranks, w_plus, z, strict=True)])
 
     groups = pairs.select(*by).distinct()
-    found = groups.join(sums, list(by), "left").join(few, list(by), "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    found = ordering.beside(ordering.beside(groups, sums, *by, how="left"), few, *by, how="left").withColumn("exact", F.coalesce("exact", F.lit(False)))
     none, zero = F.col("n").isNull(), F.lit(0.0)
     p = p_value("exact", F.coalesce("ranks", F.array().cast("array<double>")), F.coalesce("w_plus", zero), F.coalesce("z", zero))
     return found.select(

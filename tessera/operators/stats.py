@@ -68,7 +68,7 @@ def spearman(pairs: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     both = pairs.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
     alike = both.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("m"))
     ranks = {c: ordering.ranked(ordering.counted(both, c, *by), *by).select(*by, F.col("v").alias(c), F.col("r").alias(f"r{c}")) for c in ("x", "y")}
-    met = alike.join(ranks["x"], [*by, "x"]).join(ranks["y"], [*by, "y"])
+    met = ordering.beside(ordering.beside(alike, ranks["x"], *by, "x"), ranks["y"], *by, "y")
     m, rx, ry, n = F.col("m"), F.col("rx"), F.col("ry"), F.col("n").cast("double")
     # The mean of either's ranks is (n + 1) / 2.
     sums = met.groupBy(*by).agg(F.sum("m").alias("n"), F.sum(m * rx * ry).alias("xy"), F.sum(m * rx * rx).alias("xx"), F.sum(m * ry * ry).alias("yy"))

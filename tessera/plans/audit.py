@@ -7,9 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import intervals, segments, stats, vectors
+from ..operators import intervals, ordering, segments, stats, vectors
 from . import chunking, retrieval
-from .evaluation import with_global_row
 from .registry import Registry, read
 
 R = Registry()
@@ -59,7 +58,7 @@ def citation_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("SELECT conv_id, concat('q_', lpad(row_number() OVER (ORDER BY conv_id)::VARCHAR, 6, '0')) AS query_id, count(*) AS n_turns, count(*) > 4 AS is_long FROM conversations GROUP BY conv_id")
 def built_query_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
-    return with_global_row(c, "conv_id").select("conv_id", F.concat(F.lit("q_"), F.lpad(F.col("row").cast("string"), 6, "0")).alias("query_id"), "n_turns", (F.col("n_turns") > 4).alias("is_long"))
+    return ordering.numbered(c, "conv_id").select("conv_id", F.concat(F.lit("q_"), F.lpad(F.col("row").cast("string"), 6, "0")).alias("query_id"), "n_turns", (F.col("n_turns") > 4).alias("is_long"))
 
 
 @R.add("SELECT user_id, count(DISTINCT event_type) AS n_conditions, count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events) AS complete, count(*) AS n FROM events GROUP BY 1")
@@ -152,8 +151,9 @@ SELECT strategy, measure, count(*) AS n, round(sum(v), 2) AS total, round(avg(v)
 def strategy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("strategy"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"))
     long = r.unpivot("strategy", ["quantity", "price", "discount"], "measure", "v")
-    q = long.groupBy("strategy", "measure").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"), F.round(F.avg("v"), 6).alias("mean"), F.expr("percentile(v, array(0.5, 0.95))").alias("q"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
-    return q.select("strategy", "measure", "n", "total", "mean", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p95"), "lowest", "highest")
+    q = long.groupBy("strategy", "measure").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
+    q = ordering.beside(q, ordering.quantiles(long, "v", {"median": 0.5, "p95": 0.95}, "strategy", "measure"), "strategy", "measure", how="left")
+    return q.select("strategy", "measure", "n", "total", "mean", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), "lowest", "highest")
 
 
 @R.add(
@@ -188,7 +188,9 @@ def boundary_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = e.select((F.col("vec_id") + 1).alias("place"), F.col("label").alias("before"))
     starts = e.join(before, F.col("vec_id") == F.col("place")).select("place", (F.col("label") != F.col("before")).alias("at_unit"))
     scores = segments.boundary_scores(chunking.placed_vectors(spark, sf_dir), 3)
-    return scores.join(starts, "place").groupBy("at_unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.percentile("score", 0.3), 6).alias("threshold"))
+    met = scores.join(starts, "place")
+    means = met.groupBy("at_unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"))
+    return ordering.beside(means, ordering.quantiles(met, "score", {"t": 0.3}, "at_unit"), "at_unit", how="left").select("at_unit", "n", "mean", F.round("t", 6).alias("threshold"))
 
 
 @R.add(
@@ -210,11 +212,11 @@ FROM documents GROUP BY GROUPING SETS ((), (lang), (source))"""
 )
 def context_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("lang", "source", "n_chars")
-    level = F.when(F.grouping("lang") + F.grouping("source") == 2, "macro").when(F.grouping("source") == 1, "lang").otherwise("source")
-    q = d.groupingSets([[], ["lang"], ["source"]], "lang", "source").agg(
-        level.alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.min("n_chars").alias("lowest"), F.expr("percentile(n_chars, array(0.5, 0.95))").alias("q"), F.max("n_chars").alias("highest")
-    )
-    return q.select("lang", "source", "level", "n", "mean", "lowest", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), "highest")
+    none = F.lit(None).cast("string")
+    levels = [F.struct(F.lit(n).alias("level"), a.alias("lang"), b.alias("source")) for n, a, b in (("macro", none, none), ("lang", F.col("lang"), none), ("source", none, F.col("source")))]
+    each, keys = d.select(F.explode(F.array(*levels)).alias("g"), "n_chars").select("g.*", "n_chars"), ("level", "lang", "source")
+    q = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.min("n_chars").alias("lowest"), F.max("n_chars").alias("highest"))
+    return ordering.beside(q, ordering.quantiles(each, "n_chars", {"median": 0.5, "p95": 0.95}, *keys), *keys, how="left").select("lang", "source", "level", "n", "mean", "lowest", "median", "p95", "highest")
 
 
 @R.add(

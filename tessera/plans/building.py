@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import intervals, segments
+from ..operators import intervals, models, packing, segments, semantic, tokens
 from .registry import Registry, read
 
 R = Registry()
@@ -110,4 +111,57 @@ def hierarchical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select(T.chunk_id(F.lit("hier_paragraph"), F.col("unit")).alias("chunk_id"), "level", F.col("unit").alias("source_unit"), "answer_unit", parent.alias("parent_chunk_id"), "text", F.concat("path", F.lit("\n\n"), "text").alias("embedding_text"))
 
 
+def byte_bpe() -> tokens.Maker:
+    import public_tokenizers
+
+    return tokens.FromFile(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@R.add()
+def bpe_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 256 byte-pair tokens, 206 apart, with the characters they cover."""
+    return tokens.windows(read(spark, sf_dir, "documents"), byte_bpe(), 256, 206, "doc_id")
+
+
+@R.add()
+def semantic_chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of whole documents cut where the vectors of sentences turn; units are lines, tokens are words."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    units = lines(spark, sf_dir).withColumnRenamed("doc_id", "doc")
+    return semantic.chunks(docs, units, models.hash_embedder(), tokens.Words(), percentile=0.3, least=60, most=200, pattern=SENTENCE)
+
+
+#: Conditions of the packed contexts: name -> budget, target and least number of passages.
+PACKED: dict[str, tuple[int | None, int | None, int]] = {"capped": (1500, None, 0), "matched": (None, 1000, 2)}
+POOL, TOLERANCE = 50, 0.1
+
+
+@R.add(
+    f"""WITH RECURSIVE b AS (SELECT source, doc_id, concat('Reference: ', doc_id, chr(10), 'Document: ', lang, chr(10), 'Answer unit: ', doc_id // 2, chr(10), text) AS body FROM documents WHERE text IS NOT NULL),
+c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, 1 + len(regexp_extract_all(body, '[^ \t\n\r]+')) AS w FROM b QUALIFY n <= {POOL}),
+conds(condition, budget, target, least) AS (VALUES {", ".join(f"('{n}', {b or 'NULL::INT'}, {t or 'NULL::INT'}, {m})" for n, (b, t, m) in PACKED.items())}),
+p AS (SELECT condition, source, budget, target, least, 0 AS n, 0::BIGINT AS size, 0 AS k, '' AS taken, '' AS left_out, false AS done FROM conds, (SELECT DISTINCT source FROM c) s
+ UNION ALL
+ SELECT condition, source, budget, target, least, n + 1, CASE WHEN act = 'take' THEN size + w ELSE size END, k + (act = 'take')::INT, CASE WHEN act = 'take' THEN concat(taken, CASE WHEN taken = '' THEN '' ELSE ';' END, doc_id) ELSE taken END,
+  CASE WHEN act = 'take' THEN left_out ELSE concat(left_out, CASE WHEN left_out = '' THEN '' ELSE ';' END, doc_id, ':', act) END, act = '{packing.CLOSER}' OR (act = 'take' AND target IS NOT NULL AND k + 1 >= least AND size + w >= target)
+ FROM (SELECT p.*, c.w, c.doc_id, CASE WHEN budget IS NOT NULL AND size + w > budget THEN '{packing.OVER}' WHEN target IS NOT NULL AND k >= least AND size + w >= target AND abs(size - target) < abs(size + w - target) THEN '{packing.CLOSER}' ELSE 'take' END AS act
+   FROM p JOIN c ON c.source = p.source AND c.n = p.n + 1 WHERE NOT done) q),
+e AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY condition, source ORDER BY n DESC) = 1)
+SELECT condition, source, size AS n_tokens, taken AS included, left_out AS excluded, size - target AS volume_delta, round(abs(size - target) / target, 6) AS volume_error, abs(size - target) / target <= {TOLERANCE} AS volume_met FROM e"""
+)
+def assembled_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of a source's first documents: under a budget of tokens, and matched to a volume."""
+    d = read(spark, sf_dir, "documents").where("text is not null").withColumn("place", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).where(F.col("place") <= POOL)
+    body = packing.body(F.array(F.col("doc_id").cast("string")), F.col("lang"), F.array(F.expr("doc_id div 2").cast("string")), F.col("text"))
+    rows = d.select("source", "place", F.col("doc_id").alias("chunk_id"), body.alias("body"))
+    out = None
+    for name, (budget, target, least) in PACKED.items():
+        targets = None if target is None else rows.select("source", F.lit(target).alias("target")).distinct()
+        found = packing.assemble(rows, tokens.Words(), key="source", budget=budget, targets=targets, least=least, tolerance=TOLERANCE)
+        excluded = F.array_join(F.transform("excluded", lambda x: F.concat_ws(":", x["chunk_id"], x["reason"])), ";")
+        found = found.select(F.lit(name).alias("condition"), "source", "n_tokens", F.array_join("included", ";").alias("included"), excluded.alias("excluded"), "volume_delta", F.round("volume_error", 6).alias("volume_error"), "volume_met")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

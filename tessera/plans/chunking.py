@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intervals, segments, vectors
+from ..operators import intervals, ordering, segments, vectors
 from .registry import Registry, read
 
 R = Registry()
@@ -58,9 +58,10 @@ SELECT source, count(*) AS n_chunks, round(count(*) / count(DISTINCT doc_id), 6)
 def chunk_characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = windowed(spark, sf_dir).select("source", "doc_id", (F.col("token_end") - F.col("token_start")).alias("n"))
     q = s.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("doc_id").alias("docs"), F.min("n").alias("lowest"), F.expr("percentile(n, array(0.5, 0.95))").alias("q"), F.max("n").alias("highest"), F.avg("n").alias("m")
+        F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("doc_id").alias("docs"), F.min("n").alias("lowest"), F.max("n").alias("highest"), F.avg("n").alias("m")
     )
-    return q.select("source", "n_chunks", F.round(F.col("n_chunks") / F.col("docs"), 6).alias("per_document"), "lowest", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), "highest", F.round("m", 6).alias("mean"))
+    q = ordering.beside(q, ordering.quantiles(s, "n", {"median": 0.5, "p95": 0.95}, "source"), "source", how="left")
+    return q.select("source", "n_chunks", F.round(F.col("n_chunks") / F.col("docs"), 6).alias("per_document"), "lowest", "median", "p95", "highest", F.round("m", 6).alias("mean"))
 
 
 @R.add(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import ordering
 from .registry import Registry, read
 
 R = Registry()
@@ -36,11 +37,10 @@ def audit_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM events GROUP BY ROLLUP (event_type)"""
 )
 def condition_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        read(spark, sf_dir, "events").rollup("event_type")
-        .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.median("value"), 6).alias("median_value"), F.round(F.expr("percentile(value, 0.95)"), 6).alias("p95_value"), F.round(F.sum("value"), 6).alias("total_value"))
-        .select(F.coalesce("event_type", F.lit("overall")).alias("condition"), "n", "mean_value", "median_value", "p95_value", "total_value")
-    )
+    each = read(spark, sf_dir, "events").select(F.explode(F.array("event_type", F.lit("overall"))).alias("condition"), "value")
+    sums = each.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.sum("value"), 6).alias("total_value"))
+    ends = ordering.quantiles(each, "value", {"median_value": 0.5, "p95_value": 0.95}, "condition")
+    return ordering.beside(sums, ends, "condition", how="left").select("condition", "n", "mean_value", F.round("median_value", 6).alias("median_value"), F.round("p95_value", 6).alias("p95_value"), "total_value")
 
 
 @R.add(
@@ -84,8 +84,9 @@ def pipeline_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def answer_quality_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = read(spark, sf_dir, "events").join(read(spark, sf_dir, "labels"), F.col("user_id") == F.col("doc_id"))
-    q = j.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("m"), F.expr("percentile(value, array(0.25, 0.75))").alias("q"), F.count_if(F.col("toxic") == 1).alias("n_toxic"))
-    return q.select(F.col("event_type").alias("condition"), "n", F.round("m", 6).alias("mean_quality"), F.round(F.col("q")[0], 6).alias("q1"), F.round(F.col("q")[1], 6).alias("q3"), F.round(F.col("q")[1] - F.col("q")[0], 6).alias("iqr"), "n_toxic")
+    means = j.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("m"), F.count_if(F.col("toxic") == 1).alias("n_toxic"))
+    q = ordering.beside(means, ordering.quantiles(j, "value", {"a": 0.25, "b": 0.75}, "event_type"), "event_type", how="left")
+    return q.select(F.col("event_type").alias("condition"), "n", F.round("m", 6).alias("mean_quality"), F.round("a", 6).alias("q1"), F.round("b", 6).alias("q3"), F.round(F.col("b") - F.col("a"), 6).alias("iqr"), "n_toxic")
 
 
 @R.add(
@@ -97,21 +98,7 @@ def embedding_cache_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
     cached = rows.join(read(spark, sf_dir, "labels"), "doc_id", "left_semi").select("text_sha256").distinct()
     missing = rows.groupBy("text_sha256").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).join(cached, "text_sha256", "left_anti")
-    return with_global_row(missing, "first_doc").select("text_sha256", "first_doc", "n", F.expr("(row - 1) div 100").alias("batch"))
-
-
-def with_global_row(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """A column ``row`` numbered from 1 in order of ``key``, of any type, by bucket counts instead of one window over everything.
-
-    Buckets are cut at a bounded number of keys, those of the least hashes.
-    """
-    some = sorted({r.k for r in df.select(F.col(key).alias("k")).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), "k").limit(32 * buckets).collect()})
-    cuts = sorted({some[i * len(some) // buckets] for i in range(1, buckets)}) if some else []
-    placed = df.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0))
-    before = F.coalesce(F.sum("m").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).select("bucket", before.alias("start"))
-    inside = F.row_number().over(W.partitionBy("bucket").orderBy(key))
-    return placed.withColumn("inside", inside).join(F.broadcast(starts), "bucket").withColumn("row", F.col("start") + F.col("inside")).drop("bucket", "inside", "start")
+    return ordering.numbered(missing, "first_doc").select("text_sha256", "first_doc", "n", F.expr("(row - 1) div 100").alias("batch"))
 
 
 @R.add(

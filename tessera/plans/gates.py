@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import checks
+from ..operators import checks, ordering
 from .registry import Registry, read
 
 R = Registry()
@@ -65,7 +65,8 @@ SELECT event_type, n, round(p95, 6) AS p95, CAST((CASE WHEN abs(steps - floor(st
 )
 def budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The budget that the data call for, in steps and halves to even, against the configured one."""
-    q = read(spark, sf_dir, "events").groupBy("event_type").agg(F.expr("percentile(value, 0.95)").alias("p95"), F.count(F.lit(1)).alias("n"))
+    events = read(spark, sf_dir, "events")
+    q = ordering.beside(events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), ordering.quantiles(events, "value", {"p95": 0.95}, "event_type"), "event_type", how="left")
     derived = F.bround(F.col("p95") / 10, 0) * 10
     return q.select("event_type", "n", F.round("p95", 6).alias("p95"), derived.cast("long").alias("derived"), (derived == 100).alias("matches"))
 
@@ -215,11 +216,13 @@ def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     def rate(flag):
         return F.round(F.avg(flag.cast("int")), 6)
 
-    efficiency = {"total": F.sum("n_chars"), "mean": F.round(F.avg("n_chars"), 6), "median": F.median("n_chars"), "p95": F.expr("percentile(n_chars, 0.95)")}
-    return j.groupBy(F.col("source").alias("condition_id")).agg(
+    efficiency = {"total": F.sum("n_chars"), "mean": F.round(F.avg("n_chars"), 6)}
+    j = j.withColumnRenamed("source", "condition_id")
+    rows = j.groupBy("condition_id").agg(
         rate(F.col("quality") == 0).alias("faithfulness_abstention_rate"), rate((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("faithfulness_unjustified_rate"), rate(F.col("toxic") == 1).alias("correctness_abstention_rate"),
         *(c.alias(f"generation_{n}") for n, c in efficiency.items()),
     )
+    return ordering.beside(rows, ordering.quantiles(j, "n_chars", {"generation_median": 0.5, "generation_p95": 0.95}, "condition_id"), "condition_id", how="left")
 
 
 @R.add(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import ordering
 from .registry import Registry, read
 
 R = Registry()
@@ -136,7 +137,7 @@ def volume_matched_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT source, quantile_cont(n_chars, 0.95) AS p95, CAST(round_even(quantile_cont(n_chars, 0.95) / 500, 0) * 500 AS BIGINT) AS budget FROM documents GROUP BY 1")
 def budget_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "documents").groupBy("source").agg(F.expr("percentile(n_chars, 0.95)").alias("p95"))
+    p = ordering.quantiles(read(spark, sf_dir, "documents"), "n_chars", {"p95": 0.95}, "source")
     return p.select("source", "p95", (F.bround(F.col("p95") / 500) * 500).cast("long").alias("budget"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import ranking, vectors
+from ..operators import ordering, ranking, vectors
 from .registry import Registry, read
 
 R = Registry()
@@ -216,12 +216,16 @@ def retrieval_summary_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     timings = read(spark, sf_dir, "events").where("event_id % 200 <> 0").select(F.col("event_id").alias("query_id"), (F.col("value") / 1000).alias("seconds"))
     rows = scored.join(facts, "query_id").join(timings, "query_id", "left")
     scope, k, kind, document = (F.col(c) for c in ("scope", "k", "specificity", "document_code"))
-    level = F.when(F.grouping("specificity") == 0, "specificity").when(F.grouping("document_code") == 0, "document").otherwise("macro")
-    return rows.groupingSets([[scope, k], [scope, k, kind], [scope, k, document]], scope, k, kind, document).agg(
-        level.alias("level"), F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(m), 6).alias(m) for m in ranking.METRICS),
-        F.count("seconds").alias("n_timed"), F.round(F.avg("seconds"), 9).alias("mean_seconds"), F.round(F.median("seconds"), 9).alias("median_seconds"),
-        F.round(F.expr("percentile(seconds, 0.95)"), 9).alias("p95_seconds"), F.round(F.sum("seconds"), 9).alias("total_seconds"),
+    none = F.lit(None).cast("long")
+    levels = [F.struct(F.lit(n).alias("level"), a.alias("specificity"), b.alias("document_code")) for n, a, b in (("macro", none, none), ("specificity", kind, none), ("document", none, document))]
+    keys = ("scope", "k", "level", "specificity", "document_code")
+    each = rows.select(scope, k, F.explode(F.array(*levels)).alias("g"), "seconds", *ranking.METRICS).select("scope", "k", "g.*", "seconds", *ranking.METRICS)
+    sums = each.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(m), 6).alias(m) for m in ranking.METRICS),
+        F.count("seconds").alias("n_timed"), F.round(F.avg("seconds"), 9).alias("mean_seconds"), F.round(F.sum("seconds"), 9).alias("total_seconds"),
     )
+    ends = ordering.quantiles(each, "seconds", {"median_seconds": 0.5, "p95_seconds": 0.95}, *keys)
+    return ordering.beside(sums, ends, *keys, how="left").withColumns({c: F.round(c, 9) for c in ("median_seconds", "p95_seconds")})
 
 
 def cut_metrics(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
