@@ -56,6 +56,14 @@ def ir_metrics(units: DataFrame, gold: DataFrame, *by: str, asked: DataFrame | N
     )
 
 
+def rescored(stored: DataFrame, gold: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
+    """``k, query_id`` and the six metrics of stored rankings (``query_id, rank, units``) at each cut-off, for queries with gold; no search is made."""
+    hits = stored.select("query_id", "rank", F.explode("units").alias("unit"))
+    cut = hits.select("*", F.explode(F.array(*map(F.lit, cuts))).alias("k")).where("rank <= k")
+    asked = stored.select("query_id").distinct().select("query_id", F.explode(F.array(*map(F.lit, cuts))).alias("k"))
+    return ir_metrics(ranked_units(cut, "k", "query_id"), gold, "k", "query_id", asked=asked)
+
+
 def modified_metrics(hits: DataFrame, gold: DataFrame, k: int, *by: str, asked: DataFrame | None = None) -> DataFrame:
     """The published convention: units are not deduplicated but cut to ``k``.
 

@@ -63,6 +63,13 @@ def holm(tests: DataFrame, p: str, *by: str) -> DataFrame:
     return stepped.withColumn("p_holm", F.least(F.lit(1.0), running)).drop("__step")
 
 
+def families(tests: DataFrame, allowed: Column, p: str) -> DataFrame:
+    """``tests`` with ``family`` and ``p_holm``: confirmatory where ``allowed`` holds and adjusted among those, else exploratory and not adjusted. A null gate does not open."""
+    named = tests.withColumn("family", F.when(F.coalesce(allowed, F.lit(False)), "confirmatory").otherwise("exploratory"))
+    adjusted = holm(named, p, "family")
+    return adjusted.withColumn("p_holm", F.when(F.col("family") == "confirmatory", F.col("p_holm")))
+
+
 def spearman(pairs: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """Rank correlation. Rows alike in both values are one, with a weight; ranks of either value come from counts."""
     both = pairs.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import checks, ordering
+from ..operators import checks, ordering, spots
 from .registry import Registry, read
 
 R = Registry()
@@ -269,6 +269,56 @@ def spot_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc", "chunk_id", F.round(100.0 * (left - F.col("low")) / size, 6).alias("left_percent"), F.round(100.0 * (F.least("stop", "high") - left) / size, 6).alias("width_percent"), F.coalesce(F.col("chunk_id") == anchor, F.lit(False)).alias("is_anchor"))
 
 
+#: Characters on either side of the anchor's center.
+RADIUS = 60
+SPOT_SQL = f"""d AS (SELECT o_orderkey AS doc, 240 AS length FROM orders),
+ln AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1),
+b AS (SELECT l_orderkey AS doc, l_linenumber AS chunk_id, l_partkey % 200 AS start, l_partkey % 200 + l_quantity::INT AS stop, CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey % 5 END AS parent FROM ln),
+e AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS chunk_id, unnest([(l_linenumber * 3 + l_partkey) % 7 + 1, (l_linenumber + l_suppkey) % 9 + 1]) AS target FROM ln WHERE l_partkey % 4 = 0),
+w AS (SELECT b.*, (start + stop) // 2 AS center, parent IS NOT NULL AS p, EXISTS (SELECT 1 FROM e WHERE e.doc = b.doc AND e.chunk_id = b.chunk_id) AS x FROM b),
+an AS (SELECT doc, chunk_id AS anchor, center, CASE WHEN p AND x THEN 'parent_and_edges' WHEN x THEN 'edges' WHEN p THEN 'parent' ELSE 'any' END AS pool, greatest(center - {RADIUS}, 0) AS low, least(center + {RADIUS}, length) AS high
+  FROM w JOIN d USING (doc) QUALIFY row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN p AND x THEN 0 WHEN x THEN 1 WHEN p THEN 2 ELSE 3 END, abs(center - length // 2), chunk_id) = 1),
+c AS (SELECT 'base' AS config, doc, chunk_id, start, stop FROM b UNION ALL SELECT 'article', doc, min(chunk_id), min(start), max(stop) FROM b GROUP BY doc, (chunk_id - 1) // 2),
+v AS (SELECT c.*, anchor, pool, center, low, high FROM c JOIN an USING (doc) WHERE start < high AND low < stop),
+h AS (SELECT config, doc, chunk_id AS holder FROM v WHERE start <= center AND center <= stop QUALIFY row_number() OVER (PARTITION BY config, doc ORDER BY stop - start, chunk_id) = 1)"""
+
+
+@R.add(
+    f"""WITH {SPOT_SQL} SELECT doc, anchor, pool, config, chunk_id, coalesce(chunk_id = holder, false) AS holds_center, round(100.0 * (greatest(start, low) - low) / (high - low), 3) AS left_percent, round(100.0 * (least(stop, high) - greatest(start, low)) / (high - low), 3) AS width_percent
+FROM v LEFT JOIN h USING (config, doc)"""
+)
+def spot_check_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each document's anchor to its window, and the chunks of every configuration that are seen there."""
+    docs, base, edges = _spot_tables(spark, sf_dir)
+    seen = spots.tracks(_spot_chunks(base), spots.anchors(docs, base, edges, RADIUS))
+    return seen.select("doc", "anchor", "pool", "config", "chunk_id", "holds_center", F.round("left_percent", 3).alias("left_percent"), F.round("width_percent", 3).alias("width_percent"))
+
+
+@R.add(
+    f"""WITH {SPOT_SQL} SELECT an.doc, an.anchor, b.parent, e.target, t.start < high AND low < t.stop AS in_window FROM an JOIN b ON b.doc = an.doc AND b.chunk_id = an.anchor JOIN e ON e.doc = an.doc AND e.chunk_id = an.anchor
+JOIN c t ON t.config = 'base' AND t.doc = an.doc AND t.chunk_id = e.target"""
+)
+def spot_check_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchor's parent and what it cites, as far as it is a chunk, and whether that lies in the window."""
+    docs, base, edges = _spot_tables(spark, sf_dir)
+    return spots.cited(spots.anchors(docs, base, edges, RADIUS), base, edges, base)
+
+
+def _spot_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    lines = read(spark, sf_dir, "lineitem")
+    first = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("f")
+    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(first).select("l_orderkey", "l_linenumber", "f.*")
+    docs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(240).alias("length"))
+    base = lines.selectExpr("l_orderkey AS doc", "l_linenumber AS chunk_id", "l_partkey % 200 AS start", "l_partkey % 200 + cast(l_quantity AS int) AS stop", "CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey % 5 END AS parent")
+    edges = lines.where("l_partkey % 4 = 0").selectExpr("l_orderkey AS doc", "l_linenumber AS chunk_id", "explode(array((l_linenumber * 3 + l_partkey) % 7 + 1, (l_linenumber + l_suppkey) % 9 + 1)) AS target")
+    return docs, base, edges
+
+
+def _spot_chunks(base: DataFrame) -> DataFrame:
+    article = base.groupBy("doc", F.expr("(chunk_id - 1) div 2")).agg(F.min("chunk_id").alias("chunk_id"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return base.select(F.lit("base").alias("config"), "doc", "chunk_id", "start", "stop").unionByName(article.select(F.lit("article").alias("config"), "doc", "chunk_id", "start", "stop"))
+
+
 @R.add(
     """WITH e AS (SELECT DISTINCT o_custkey AS source, l_partkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
 SELECT source, target, n_name AS parent, target BETWEEN source AND source + 200 AS in_window FROM e JOIN customer ON c_custkey = source JOIN nation ON n_nationkey = c_nationkey"""

@@ -228,6 +228,39 @@ def retrieval_summary_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.beside(sums, ends, *keys, how="left").withColumns({c: F.round(c, 9) for c in ("median_seconds", "p95_seconds")})
 
 
+@R.add(
+    f"""WITH {ranked_sql()}, {GOLD_SQL}, {UNITS_SQL}, {metrics_sql("units")},
+a AS (SELECT m.*, list_distinct([label % 6, (label * 5 + 1) % 6]) AS acts FROM metrics m JOIN embeddings ON vec_id = query_id)
+SELECT document_code::BIGINT AS document_code, count(*) AS n_queries, {", ".join(f"round(avg({m}), 6) AS {m}" for m in ranking.METRICS)} FROM (SELECT *, unnest(acts) AS document_code FROM a) e GROUP BY 1"""
+)
+def retrieval_summary_by_target_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics by target document; a query with several targets counts in each, one named twice once."""
+    acts = queries(spark, sf_dir).select("query_id", F.array_distinct(F.array((F.col("label") % 6).cast("long"), ((F.col("label") * 5 + 1) % 6).cast("long"))).alias("acts"))
+    each = query_metrics(spark, sf_dir).join(acts, "query_id").withColumn("document_code", F.explode("acts"))
+    return each.groupBy("document_code").agg(F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(m), 6).alias(m) for m in ranking.METRICS))
+
+
+#: Stored rankings: an order is a query, its lines are ranks whose chunks answer one or two parts; gold are parts the order's customer stands for.
+STORED_SQL = """ln AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rank FROM lineitem),
+stored AS (SELECT l_orderkey AS query_id, rank, unnest(list_distinct([l_partkey % 50, l_suppkey % 50])) AS unit FROM ln),
+gold AS (SELECT DISTINCT o_orderkey AS query_id, unnest([o_custkey % 50, (o_custkey + 7) % 50]) AS unit FROM orders)"""
+
+
+@R.add(
+    f"""WITH {STORED_SQL}, cut AS (SELECT k, s.* FROM stored s, (VALUES (1), (3), (5)) t(k) WHERE rank <= k),
+fu AS (SELECT k, query_id, unit, row_number() OVER (PARTITION BY k, query_id ORDER BY first, unit) AS unit_rank FROM (SELECT k, query_id, unit, min(rank) AS first FROM cut GROUP BY ALL) m),
+{metrics_sql("fu", "k, query_id")}
+SELECT k, count(*) AS n_queries, {", ".join(f"round(avg({m}), 6) AS {m}" for m in ranking.METRICS)} FROM metrics GROUP BY 1"""
+)
+def rescored_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rankings as they were stored, scored anew at each cut-off without a search."""
+    lines = read(spark, sf_dir, "lineitem").withColumn("rank", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    stored = lines.select(F.col("l_orderkey").alias("query_id"), "rank", F.array_distinct(F.array(F.col("l_partkey") % 50, F.col("l_suppkey") % 50)).alias("units"))
+    wanted = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.explode(F.array(F.col("o_custkey") % 50, (F.col("o_custkey") + 7) % 50)).alias("unit")).distinct()
+    scored = ranking.rescored(stored, wanted, (1, 3, 5))
+    return scored.groupBy("k").agg(F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(m), 6).alias(m) for m in ranking.METRICS))
+
+
 def cut_metrics(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
     """Metrics under a configuration that keeps the first ``dims`` dimensions."""
     cut = F.slice("embedding", 1, dims).alias("embedding")

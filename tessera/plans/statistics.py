@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, ordering, pvalues, stats
+from ..operators import bootstrap, ordering, pvalues, sampling, stats
 from .registry import Registry, read
 
 R = Registry()
@@ -114,6 +114,47 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(shares, "stratum").withColumn("place", place).where("place <= share").select("stratum", "user_id")
 
 
+AUDIT_SIZE = 47
+
+
+@R.add(
+    f"""WITH {SCORES_SQL}, b AS (SELECT event_type AS condition, user_id, {BAND_SQL} AS band FROM scores), z AS (SELECT condition, band, count(*) AS n FROM b GROUP BY ALL),
+c AS (SELECT condition, sum(n) AS n, sum(CASE WHEN band <> 'high' THEN n ELSE 0 END) AS rare FROM z GROUP BY 1),
+r AS (SELECT *, {AUDIT_SIZE} * n / sum(n) OVER () AS raw FROM c), f AS (SELECT *, floor(raw) AS fl FROM r),
+t AS (SELECT condition, fl + (row_number() OVER (ORDER BY raw - fl DESC, rare DESC, n DESC, condition DESC) <= {AUDIT_SIZE} - sum(fl) OVER ())::INT AS target FROM f),
+g AS (SELECT z.*, target, count(*) OVER o AS bands, n - 1 AS free, sum(n - 1) OVER o AS all_free, row_number() OVER (PARTITION BY condition ORDER BY n, band) AS smallest FROM z JOIN t USING (condition) WINDOW o AS (PARTITION BY condition)),
+h AS (SELECT *, CASE WHEN all_free > 0 THEN greatest(target - bands, 0) ELSE 0 END AS rest, CASE WHEN all_free > 0 THEN greatest(target - bands, 0) * free / all_free ELSE 0 END AS raw FROM g),
+a AS (SELECT *, least(free, floor(raw)) AS added FROM h),
+w AS (SELECT *, row_number() OVER (PARTITION BY condition, added < free ORDER BY raw - added DESC, free DESC, band DESC) AS place, rest - sum(added) OVER (PARTITION BY condition) AS remaining FROM a),
+s AS (SELECT condition, band, CASE WHEN bands > target THEN (smallest <= target)::INT ELSE 1 + added + (added < free AND place <= remaining)::INT END AS share FROM w)
+SELECT condition, band, user_id FROM b JOIN s USING (condition, band) QUALIFY row_number() OVER (PARTITION BY condition, band ORDER BY md5(concat('42|', condition, '|', user_id))) <= share"""
+)
+def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to look at by hand: so many by condition, and of each band at least one."""
+    b = scores(spark, sf_dir).select(F.col("event_type").alias("condition"), "user_id", F.expr(BAND_SQL).alias("band"))
+    shares = sampling.allocation(b.groupBy("condition", "band").agg(F.count(F.lit(1)).alias("n")), AUDIT_SIZE)
+    return sampling.picked(b, shares, F.concat_ws("|", F.lit("42"), "condition", F.col("user_id").cast("string")), "condition", "band").select("condition", "band", "user_id")
+
+
+#: Contrasts that cite are confirmatory only where at least so many queries are eligible.
+LEAST_ELIGIBLE = 20
+
+
+@R.add(
+    f"""WITH {WILCOXON_SQL}, e AS (SELECT event_type AS condition, count(DISTINCT user_id) AS n_eligible FROM events WHERE value > 90 GROUP BY 1),
+f AS (SELECT wz.condition AS test, coalesce(n_eligible, 0) AS n_eligible, coalesce(n_eligible, 0) >= {LEAST_ELIGIBLE} AS allowed, exp(-abs(z)) AS p FROM wz LEFT JOIN e USING (condition)),
+s AS (SELECT *, (count(*) OVER (PARTITION BY allowed) - row_number() OVER (PARTITION BY allowed ORDER BY p, test) + 1) * p AS step FROM f)
+SELECT test, n_eligible, CASE WHEN allowed THEN 'confirmatory' ELSE 'exploratory' END AS family, round(p, 9) AS p,
+ CASE WHEN allowed THEN round(least(1.0, max(step) OVER (PARTITION BY allowed ORDER BY p, test ROWS UNBOUNDED PRECEDING)), 9) END AS p_holm FROM s"""
+)
+def contrast_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contrasts move from the confirmatory family to the exploratory one where too few queries are eligible; only the former are adjusted, among themselves."""
+    found = stats.wilcoxon(pairs(spark, sf_dir), "d", "condition").select(F.col("condition").alias("test"), F.exp(-F.abs("z")).alias("p"))
+    eligible = read(spark, sf_dir, "events").where("value > 90").groupBy(F.col("event_type").alias("test")).agg(F.count_distinct("user_id").alias("n_eligible"))
+    tests = found.join(eligible, "test", "left").fillna(0, "n_eligible")
+    return stats.families(tests, F.col("n_eligible") >= LEAST_ELIGIBLE, "p").select("test", "n_eligible", "family", F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"))
+
+
 @R.add("SELECT event_type, min(value) AS lowest, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS highest FROM events GROUP BY 1")
 def boxplot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
