@@ -23,7 +23,7 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers and set a checkpoint folder where none is configured."""
+    """Make this package importable in Python workers."""
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -87,16 +87,22 @@ GROUP_BYTES = 4 << 20
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string or binary column and where each value begins and ends among them; nulls are empty."""
-    column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
+    """The bytes of a string or binary column and where each value begins and ends among them; nulls are empty. Offsets may have 32 or 64 bits."""
+    kind = column.type
+    wide = pa.types.is_large_string(kind) or pa.types.is_large_binary(kind)
+    if not (wide or pa.types.is_string(kind) or pa.types.is_binary(kind)):
+        raise TypeError(f"not a column of texts or bytes: {kind}")
+    column = pc.fill_null(column, pa.scalar(b"" if pa.types.is_binary(kind) or pa.types.is_large_binary(kind) else "", kind))
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     blob = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
     return blob, at - at[0]
 
 
 def values(blob: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """The column whose values lie end to end in ``blob`` and begin and end at ``at``."""
+    """The column whose values lie end to end in ``blob`` and begin and end at ``at``. More than offsets of 32 bits can tell is an error."""
+    if at[-1] > np.iinfo(np.int32).max:
+        raise OverflowError(f"{at[-1]} bytes do not fit in one column")
     return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(blob))])
 
 

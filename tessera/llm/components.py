@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import stash, unstash
 
-#: A group's rows are dealt into so many parts, so that one key with most of the rows is no task of its own.
-PARTS = 32
+
+def parts_of(df: DataFrame) -> int:
+    """Into so many parts a group's rows are dealt, so that one key with most of the rows is no task of its own: as many as the cluster shuffles into."""
+    return max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -18,7 +20,7 @@ def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
     found first, and the key's least goes back to the parts that exist. So neither
     the aggregate nor the join has all rows of a key in one task.
     """
-    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(value), F.lit(PARTS)).cast("int"))
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(value), F.lit(parts_of(rows))).cast("int"))
     parts = dealt.groupBy(key, "__part").agg(F.min(value).alias("__least"))
     least = parts.groupBy(key).agg(F.min("__least").alias(name), F.collect_set("__part").alias("__parts"))
     return dealt.join(least.select(key, name, F.explode("__parts").alias("__part")), [key, "__part"]).drop("__part")

@@ -13,10 +13,15 @@ reach the threshold. The others go through block-max WAND over postings in block
 which returns every item above the threshold. Hits are then verified: the passage
 must hold the item's five-word shingles, and of its question and of its answer
 each.
+
+Weights come from all items of a block. Items are then parted by length, in powers of
+two, each part with an index of its own and passages as long as its items ask for; so
+a long item does not lengthen the passages of short ones.
 """
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from bisect import bisect_left
 from collections import Counter
@@ -34,6 +39,8 @@ from .common import publish, published, slices
 K1, B = 1.2, 0.75
 #: ASCII characters other than letters and digits separate terms.
 _TERMS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: Postings whose bounds are added up at a time, and bytes of items of one index.
+_POSTINGS, _BLOCK_BYTES = 4_000_000, 64 << 20
 _UNSPACED = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Thai}\p{Script=Lao}\p{Script=Khmer}\p{Script=Myanmar}]")
 _IN_TERM = regex.compile(r"[\p{L}\p{M}\p{N}]")
 
@@ -99,21 +106,26 @@ def make_item(item_id, text: str | None, settings: Settings) -> Item | None:
     return item
 
 
+def bm25_weights(items: list[Item]) -> list[dict[bytes, float]]:
+    """For each item the share of its BM25 weight that each of its terms has."""
+    counts = [Counter(i.question + i.answer) for i in items]
+    lengths = [sum(c.values()) for c in counts]
+    mean = sum(lengths) / max(1, len(lengths))
+    df = Counter(t for c in counts for t in c)
+    idf = {t: float(np.log(1 + (len(items) - n + 0.5) / (n + 0.5))) for t, n in df.items()}
+    weights = [{t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean)) for t, n in c.items()} for c, size in zip(counts, lengths, strict=True)]
+    return [{t: x / total for t, x in w.items()} for w in weights for total in (sum(w.values()),)]
+
+
 class BlockMaxIndex:
     """An inverted index whose postings keep, per term and per block of postings, the greatest weight."""
 
-    def __init__(self, items: list[Item], settings: Settings):
+    def __init__(self, items: list[Item], settings: Settings, weights: list[dict[bytes, float]] | None = None):
         self.items, self.settings = items, settings
-        counts = [Counter(i.question + i.answer) for i in items]
-        lengths = [sum(c.values()) for c in counts]
-        mean = sum(lengths) / max(1, len(lengths))
-        df = Counter(t for c in counts for t in c)
-        idf = {t: float(np.log(1 + (len(items) - n + 0.5) / (n + 0.5))) for t, n in df.items()}
-        weights = [{t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean)) for t, n in c.items()} for c, size in zip(counts, lengths, strict=True)]
-        self.weights = [{t: x / sum(w.values()) for t, x in w.items()} for w in weights]
-        self.number = {t: i for i, t in enumerate(sorted(df))}
-        self.ids: list[list[int]] = [[] for _ in df]
-        self.gains: list[list[float]] = [[] for _ in df]
+        self.weights = bm25_weights(items) if weights is None else weights
+        self.number = {t: i for i, t in enumerate(sorted({t for w in self.weights for t in w}))}
+        self.ids: list[list[int]] = [[] for _ in self.number]
+        self.gains: list[list[float]] = [[] for _ in self.number]
         for n, w in enumerate(self.weights):
             for t, x in w.items():
                 self.ids[self.number[t]].append(n)
@@ -145,23 +157,22 @@ class BlockMaxIndex:
     def retrieve(self, query: list[int]) -> list[tuple[int, float]]:
         """Every item whose score for the distinct terms of ``query`` reaches the threshold: block-max WAND."""
         limit, size, end = self.settings.threshold - 1e-9, self.settings.posting_block, len(self.items)
-        cursors = [[self.ids[t][0], 0, t] for t in query]
+        # By the next item of each term; only the terms up to the pivot are taken off and put back.
+        cursors = [(self.ids[t][0], t, 0) for t in query]
+        heapq.heapify(cursors)
         found = []
         while cursors:
-            cursors.sort()
-            bound, pivot = 0.0, -1
-            for n, (_, _, t) in enumerate(cursors):
-                bound += self.most[t]
-                if bound >= limit:
-                    pivot = n
-                    break
-            if pivot < 0:
+            bound, ahead = 0.0, []
+            while cursors and bound < limit:
+                ahead.append(heapq.heappop(cursors))
+                bound += self.most[ahead[-1][1]]
+            if bound < limit:
                 break
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            upper, until = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end
-            for _, at, t in cursors[: pivot + 1]:
+            item = ahead[-1][0]
+            while cursors and cursors[0][0] == item:
+                ahead.append(heapq.heappop(cursors))
+            upper, until = 0.0, cursors[0][0] if cursors else end
+            for _, t, at in ahead:
                 at = bisect_left(self.ids[t], item, at)
                 if at < len(self.ids[t]):
                     block = at // size
@@ -170,38 +181,40 @@ class BlockMaxIndex:
                     until = min(until, last + 1)
             if upper >= limit:
                 score = 0.0
-                for c in cursors[: pivot + 1]:
-                    at = bisect_left(self.ids[c[2]], item, c[1])
-                    if at < len(self.ids[c[2]]) and self.ids[c[2]][at] == item:
-                        score += self.gains[c[2]][at]
+                for _, t, at in ahead:
+                    at = bisect_left(self.ids[t], item, at)
+                    if at < len(self.ids[t]) and self.ids[t][at] == item:
+                        score += self.gains[t][at]
                 if score >= limit:
                     found.append((item, score))
                 until = item + 1
             until = max(until, item + 1)
-            for c in cursors[: pivot + 1]:
-                at = bisect_left(self.ids[c[2]], until, c[1])
-                c[1] = at
-                c[0] = self.ids[c[2]][at] if at < len(self.ids[c[2]]) else end
-            cursors = [c for c in cursors if c[0] < end]
+            for _, t, at in ahead:
+                at = bisect_left(self.ids[t], until, at)
+                if at < len(self.ids[t]):
+                    heapq.heappush(cursors, (self.ids[t][at], t, at))
         return found
 
-    def verify(self, n: int, passage: list[bytes]) -> tuple[float, float, float]:
-        """Shares of the item's, its question's and its answer's shingles that stand in the passage; an empty question counts as held."""
-        item, have = self.items[n], shingles(passage, self.settings.shingle)
-        short = min(self.settings.shingle, len(item.question) + len(item.answer))
-        if short < self.settings.shingle:
-            have = shingles(passage, short)
+    def verify(self, n: int, passage: list[bytes], held: dict[int, set] | None = None) -> tuple[float, float, float]:
+        """Shares of the item's, its question's and its answer's shingles that stand in the passage; an empty question counts as held.
+
+        ``held`` keeps the passage's shingles by their length, for its next item.
+        """
+        item, held = self.items[n], {} if held is None else held
+        q = min(self.settings.shingle, len(item.question) + len(item.answer))
+        if q not in held:
+            held[q] = shingles(passage, q)
+        have = held[q]
         share = [len(s & have) / len(s) if s else 1.0 for s in (item.whole, *item.parts)]
         return share[0], share[1], share[2]
 
-    def hits(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float, int]]]:
-        """For each text its verified items: (item, best score, question overlap, answer overlap, first word of the passage)."""
+    def hits(self, texts: list[list[bytes]]) -> list[list[tuple[int, float, float, float, int]]]:
+        """For each text, as terms, its verified items: (item, best score, question overlap, answer overlap, first word of the passage)."""
         out: list[list] = [[] for _ in texts]
         half = max(32, max((len(i.question) + len(i.answer) for i in self.items), default=0))
         held: list[tuple[int, list[bytes], np.ndarray]] = []
         waiting = 0
-        for n, text in enumerate(texts):
-            words = terms(text)
+        for n, words in enumerate(texts):
             if words:
                 get = self.number.get
                 held.append((n, words, np.fromiter((get(w, -1) for w in words), np.int64, len(words))))
@@ -212,7 +225,24 @@ class BlockMaxIndex:
         return out
 
     def _passages(self, half: np.ndarray, term: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Marks each half passage with which a passage begins that some item's bound lets through."""
+        """Marks each half passage with which a passage begins that some item's bound lets through.
+
+        Halves are taken in order, with about ``_POSTINGS`` postings at a time; the half
+        after them is looked at with them, and begins the next turn.
+        """
+        out = np.zeros(len(last), bool)
+        ends = np.cumsum(self.starts[term + 1] - self.starts[term])
+        a = 0
+        while a < len(half):
+            before = int(ends[a - 1]) if a else 0
+            b = max(int(np.searchsorted(ends, before + _POSTINGS, "right")), int(np.searchsorted(half, half[a], "right")))
+            b = len(half) if b >= len(half) else int(np.searchsorted(half, half[b - 1], "right"))
+            with_next = len(half) if b >= len(half) else int(np.searchsorted(half, half[b], "right"))
+            out |= self._bounded(half[a:with_next], term[a:with_next], last)
+            a = b
+        return out
+
+    def _bounded(self, half: np.ndarray, term: np.ndarray, last: np.ndarray) -> np.ndarray:
         counts = self.starts[term + 1] - self.starts[term]
         ends = np.cumsum(counts)
         posting = np.repeat(self.starts[term] - (ends - counts), counts) + np.arange(int(counts.sum()))
@@ -252,39 +282,66 @@ class BlockMaxIndex:
             best: dict[int, tuple] = {}
             for p in np.flatnonzero(passed[start : start + count]).tolist():
                 span = ids[p * half : (p + 2) * half]
+                shingled: dict[int, set] = {}
                 for item, score in self.retrieve(np.unique(span[span >= 0]).tolist()):
                     # Sums of the same weights in another order are equal.
                     score = round(score, 9)
-                    whole, question, answer = self.verify(item, words[p * half : (p + 2) * half])
+                    whole, question, answer = self.verify(item, words[p * half : (p + 2) * half], shingled)
                     good = whole >= self.settings.overlap and min(question, answer) >= self.settings.part_overlap
                     if good and (item not in best or score > best[item][1]):
                         best[item] = (item, score, question, answer, p * half)
             out[n] = [best[i] for i in sorted(best)]
 
 
+#: Items of up to so many terms share an index; beyond, an index for each doubling.
+_SHORT = 64
+
+
+class ItemIndex:
+    """All items of a block: weights in common, an index for each class of lengths."""
+
+    def __init__(self, items: list[Item], settings: Settings):
+        weights = bm25_weights(items)
+        classes: dict[int, list[int]] = {}
+        for i, item in enumerate(items):
+            size = len(item.question) + len(item.answer)
+            classes.setdefault(max(0, (-(-size // _SHORT) - 1).bit_length()), []).append(i)
+        self.parts = [BlockMaxIndex([items[i] for i in own], settings, [weights[i] for i in own]) for _, own in sorted(classes.items())]
+
+    def hits(self, texts: list[str | None]) -> list[list[tuple[object, float, float, float, int]]]:
+        """For each text its verified items, by their ids, as :meth:`BlockMaxIndex.hits` gives them; a text is cut into terms once."""
+        cut = [terms(t) for t in texts]
+        out: list[list] = [[] for _ in texts]
+        for part in self.parts:
+            for found, hits in zip(out, part.hits(cut), strict=True):
+                found += [(part.items[h[0]].item_id, *h[1:]) for h in hits]
+        return out
+
+
 def item_blocks(items: DataFrame, *, id_col: str, text_col: str, block_items: int):
-    """The items in blocks of about ``block_items``, dealt by a hash; each block is an index of its own and a pass over the texts.
+    """The items in blocks of about ``block_items`` and at most about ``_BLOCK_BYTES`` of text, dealt by a hash; each block is an index of its own and a pass over the texts.
 
     A block is written to the shared folder and forgotten, so the driver holds one
     at a time; what is given on is the name under which tasks find it.
     """
     slim = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
-    blocks = -(-slim.count() // block_items)
+    sizes = slim.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("bytes")).first()
+    blocks = max(-(-sizes.n // block_items), -(-(sizes.bytes or 0) // _BLOCK_BYTES)) if sizes.n else 0
     for b in range(blocks):
         rows = slim.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
         yield publish(items.sparkSession, pickle.dumps([(r.i, r.t) for r in rows]), "items")
 
 
-_OPEN: dict[tuple, BlockMaxIndex] = {}
+_OPEN: dict[tuple, ItemIndex | None] = {}
 
 
-def open_index(name: str, settings: Settings) -> BlockMaxIndex | None:
+def open_index(name: str, settings: Settings) -> ItemIndex | None:
     """The index of a block in this worker process, made once; None if no item has terms."""
     if (name, settings) not in _OPEN:
         _OPEN.clear()
         with open(published(name), "rb") as f:
             made = [x for i, t in pickle.load(f) if (x := make_item(i, t, settings))]  # noqa: S301  written by item_blocks
-        _OPEN[name, settings] = BlockMaxIndex(made, settings) if made else None
+        _OPEN[name, settings] = ItemIndex(made, settings) if made else None
     return _OPEN[name, settings]
 
 
@@ -307,7 +364,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, settings: Settings = Sett
             index = open_index(block, settings)
             for batch in batches if index else ():
                 for part in slices(batch):
-                    rows = [(i, index.items[h[0]].item_id, *h[1:]) for i, hits in enumerate(index.hits(part.column(1).to_pylist())) for h in hits]
+                    rows = [(i, *h) for i, hits in enumerate(index.hits(part.column(1).to_pylist())) for h in hits]
                     keys = part.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                     cols = list(zip(*rows, strict=True)) if rows else [()] * 6
                     yield pa.RecordBatch.from_arrays([keys, pa.array(cols[1], arrow_kind), *(pa.array(cols[i], pa.float64()) for i in (2, 3, 4)), pa.array(cols[5], pa.int64())], names=["k", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])

@@ -9,7 +9,7 @@ out, and all such pairs share a key. For the default similarity of 0.85, 9 chunk
 pairs above it less often still. Shared keys only propose: links are confirmed on
 the full sets.
 
-Equal sets are one class from the start. Documents that share keys form families,
+Equal sets are one class from the start, known by 128 bits of a digest. Documents that share keys form families,
 found as components of stars, so a key with many members costs one edge each.
 Classes that meet in one Arrow batch are tied there, and only one of them takes
 each key further, so a key that most documents share crosses the shuffle once a
@@ -29,10 +29,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, stash, unstash
-from .components import PARTS, connected, with_least
+from .common import publish, published, slices, stash, unstash
+from .components import connected, parts_of, with_least
 
 _MIX1, _MIX2, _STEP = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _LOW_BITS, _TOP_BITS = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
@@ -41,13 +42,14 @@ _CACHE = 500_000
 
 @dataclass(frozen=True)
 class Plan:
-    """Shingle length, threshold in percent, and the signature's shape."""
+    """Shingle length, threshold in percent, the signature's shape, and how many bits of a set's first number are kept (fewer only in tests)."""
 
     words: int = 3
     percent: int = 85
     chunks: int = 9
     width: int = 8
     block_bytes: int = 8 << 20
+    id_bits: int = 64
 
     @staticmethod
     def near(words: int, percent: int, miss: float = 1e-4) -> Plan:
@@ -86,8 +88,10 @@ def shingle_set(text: str | None, q: int, hashes: dict) -> np.ndarray:
     return np.unique(out)
 
 
-def set_id(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def set_id(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """128 bits of a digest of the set, as two signed numbers; the first may be cut short to try collisions."""
+    high, low = divmod(xxhash.xxh3_128_intdigest(shingles.tobytes()), 1 << 64)
+    return (high >> 64 - bits) - (1 << 63), low - (1 << 63)
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +113,7 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) ->
 
 
 def signatures(docs: DataFrame, plan: Plan, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``k, h, n, cid, c0, c1, ...``: id, hash of the text, set size, set id and the signature's chunks, a row per input row."""
+    """``k, h, n, i1, i2, c0, c1, ...``: id, hash of the text, set size, set id and the signature's chunks, a row per input row."""
     slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
     names = [f"c{i}" for i in range(plan.chunks)]
 
@@ -118,17 +122,17 @@ def signatures(docs: DataFrame, plan: Plan, *, id_col: str = "doc_id", text_col:
         a, b = permutations(plan.chunks * plan.width)
         for batch in batches:
             for part in slices(batch):
-                n, cid, sig = [], [], []
+                n, ids, sig = [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text, plan.words, hashes)
                     n.append(len(s))
-                    cid.append(set_id(s))
+                    ids.append(set_id(s, plan.id_bits))
                     sig.append(signature(s, a, b, plan.width))
                 chunks = np.array(sig, np.uint64).reshape(-1, plan.chunks).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), *(pa.array(chunks[:, i].copy()) for i in range(plan.chunks))], names=["k", "h", "n", "cid", *names])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), *(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), *(pa.array(chunks[:, i].copy()) for i in range(plan.chunks))], names=["k", "h", "n", "i1", "i2", *names])
 
     kind = dict(slim.dtypes)["k"]
-    return slim.mapInArrow(run, f"k {kind}, h long, n long, cid long, " + ", ".join(f"{c} long" for c in names))
+    return slim.mapInArrow(run, f"k {kind}, h long, n long, i1 long, i2 long, " + ", ".join(f"{c} long" for c in names))
 
 
 def keys(sig: np.ndarray, plan: Plan) -> np.ndarray:
@@ -287,21 +291,56 @@ def _block_linker(plan: Plan):
     return run
 
 
+#: Bits of the filter of family texts: at least so many a text, and no more in all (64 MB).
+_BITS_EACH, _MOST_BITS = 16, 1 << 29
+_BLOCK_BITS = 1 << 16
+
+
+def text_filter(hashes: DataFrame, label: str) -> tuple[str, int]:
+    """A bitmap in which the texts with these hashes (``h``) have their bit, published under a name; and its number of bits.
+
+    Tasks make it block by block; its size is bounded whatever the number of texts,
+    and a bit that another text shares only lets that text through.
+    """
+    wanted = min(_MOST_BITS, max(_BLOCK_BITS, _BITS_EACH * hashes.count()))
+    bits = 1 << (wanted - 1).bit_length()
+
+    def block(table: pa.Table) -> pa.Table:
+        flags = np.zeros(_BLOCK_BITS, np.uint8)
+        flags[table.column("slot").to_numpy() % _BLOCK_BITS] = 1
+        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    slots = hashes.select(F.pmod("h", F.lit(bits)).alias("slot")).distinct().withColumn("block", F.floor(F.col("slot") / _BLOCK_BITS))
+    out = bytearray(bits // 8)
+    for r in slots.groupBy("block").applyInArrow(block, "block long, bits binary").toLocalIterator():
+        out[r.block * _BLOCK_BITS // 8 : (r.block + 1) * _BLOCK_BITS // 8] = r.bits
+    return publish(hashes.sparkSession, bytes(out), label), bits
+
+
+def passes_filter(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    slot = np.mod(hashes, bits)
+    return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
+
+
 def _member_sets(docs: DataFrame, classes: DataFrame, family: DataFrame, plan: Plan, text_col: str) -> DataFrame:
     """The members of families with their full sets, made again from one text of each class.
 
     Texts are found by their hashes, not by ids, which may be null or repeated; a
-    task sends a text once, however many copies of it there are.
+    task sends a text once, however many copies of it there are, and only if a
+    bitmap of the wanted hashes lets it through, so other texts stay where they are.
     """
     names = [f"c{i}" for i in range(plan.chunks)]
-    chosen = classes.join(family, classes.cid == family.v).select(F.col("best.h").alias("h"), "cid", "root", *names)
+    chosen = stash(classes.join(family, classes.cid == family.v).select(F.col("best.h").alias("h"), "cid", "i1", "i2", "root", *names), "chosen")
+    name, bits = text_filter(chosen.select("h"), "family-texts")
     slim = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
 
     def once(batches):
         seen: set[int] = set()
+        bitmap = np.fromfile(published(name), np.uint8)
         for batch in batches:
-            hashes = batch.column(0).to_pylist()
-            new = [i for i, h in enumerate(hashes) if h not in seen and not seen.add(h)]
+            at = np.flatnonzero(passes_filter(bitmap, bits, batch.column(0).to_numpy())).tolist()
+            hashes = batch.column(0).take(pa.array(at, pa.int64())).to_pylist()
+            new = [i for i, h in zip(at, hashes, strict=True) if h not in seen and not seen.add(h)]
             if len(seen) > _CACHE:
                 seen.clear()
             yield batch.take(pa.array(new, pa.int64()))
@@ -311,7 +350,7 @@ def _member_sets(docs: DataFrame, classes: DataFrame, family: DataFrame, plan: P
         for batch in batches:
             for part in slices(batch):
                 sets = [shingle_set(t, plan.words, hashes) for t in part.column("t").to_pylist()]
-                same = [set_id(s) == c for s, c in zip(sets, part.column("cid").to_pylist(), strict=True)]
+                same = [set_id(s, plan.id_bits) == c for s, c in zip(sets, zip(*(part.column(c).to_pylist() for c in ("i1", "i2")), strict=True), strict=True)]
                 out = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("root", "cid", *names)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "cid", *names, "shingles"])
                 yield out.filter(pa.array(same, pa.bool_()))
 
@@ -321,8 +360,9 @@ def _member_sets(docs: DataFrame, classes: DataFrame, family: DataFrame, plan: P
 
 def _with_plan(members: DataFrame, plans: DataFrame, how: str) -> DataFrame:
     """The members with the row of their family; the members of one family are dealt into parts for this."""
-    part = F.pmod(F.xxhash64("cid"), F.lit(PARTS)).cast("int")
-    copies = plans.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    parts = parts_of(members)
+    part = F.pmod(F.xxhash64("cid"), F.lit(parts)).cast("int")
+    copies = plans.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return members.withColumn("part", part).join(copies, ["root", "part"], how).drop("part")
 
 
@@ -380,13 +420,16 @@ def _judged(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFram
     each = stash(signatures(docs, plan, id_col=id_col, text_col=text_col), "signatures")
     row = F.struct(F.col("k").isNull().alias("no_id"), "k", "h")
     chunks = [F.first(f"c{i}").alias(f"c{i}") for i in range(plan.chunks)]
-    classes = stash(each.where("n > 0").groupBy("cid").agg(F.min(row).alias("best"), *chunks), "classes")
+    # A class is a set of 128 bits. Its number in links is the first half, or, where another set has that too, a hash of both.
+    sets = each.where("n > 0").groupBy("i1", "i2").agg(F.min(row).alias("best"), *chunks)
+    first = F.row_number().over(W.partitionBy("i1").orderBy("i2")) == 1
+    classes = stash(sets.withColumn("cid", F.when(first, F.col("i1")).otherwise(F.xxhash64("i1", "i2"))), "classes")
     links = class_links(docs, classes, plan, text_col=text_col)
     comps = connected(links).select(F.col("v").alias("cid"), "root")
-    rooted = classes.select("cid", F.col("best").alias("rep")).join(comps, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    named = stash(with_least(rooted, "root", "rep", "best").select("cid", "rep", "best"), "named")
+    rooted = classes.select("cid", "i1", "i2", F.col("best").alias("rep")).join(comps, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = stash(with_least(rooted, "root", "rep", "best").select("i1", "i2", "rep", "best"), "named")
     unstash(classes, links, comps)
-    some = each.where("n > 0").select("k", "h", "n", "cid").join(named, "cid").select("k", "h", "n", "rep", "best")
+    some = each.where("n > 0").select("k", "h", "n", "i1", "i2").join(named, ["i1", "i2"]).select("k", "h", "n", "rep", "best")
     none = F.lit(None).cast(named.schema["best"].dataType)
     return some.unionByName(each.where("n = 0").select("k", "h", "n", none.alias("rep"), none.alias("best")))
 
