@@ -46,15 +46,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What this process has written to the shared folder and not deleted, in order.
+_WRITTEN: dict[str, None] = {}
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation,
-    and later passes read only the columns they use. The folder belongs to the
-    cluster, which clears it.
+    and later passes read only the columns they use. What a result still reads stays
+    until :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = None
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
@@ -64,12 +69,30 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 def unstash(*tables: DataFrame) -> None:
     """Delete stashed tables that nothing reads any more."""
     for df in tables:
-        path = getattr(df, "_tessera_path", None)
-        if not path:
-            continue
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        if path := getattr(df, "_tessera_path", None):
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    _WRITTEN.pop(path, None)
+
+
+def written() -> list[str]:
+    """What this process has in the shared folder."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, *, since: list[str] = (), kept: DataFrame | None = None) -> None:
+    """Delete what this process has written to the shared folder, once the results that read it are written themselves.
+
+    With ``since``, an earlier :func:`written`, only what came after; ``kept`` stays.
+    """
+    stays = {*since, getattr(kept, "_tessera_path", None)}
+    for path in written():
+        if path not in stays:
+            _delete(spark, path)
 
 
 def crc_mod(column: str, modulus: int) -> Column:
@@ -126,6 +149,7 @@ def publish(spark: SparkSession, data: bytes, label: str) -> str:
         out = fs.create(jpath, True)
         out.write(bytearray(data))
         out.close()
+    _WRITTEN[jpath.toString()] = None
     spark.sparkContext.addFile(fs.makeQualified(jpath).toString())
     return name
 

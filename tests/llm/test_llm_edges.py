@@ -126,3 +126,32 @@ def test_url_rules_on_odd_rows(spark):
     got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_rules.match_rules(df, queries.URL_RULES).collect())
     assert got == Counter((i, *brute_rule(u, queries.URL_RULES)) for i, u, *_ in rows)
     assert url_rules.match_rules(df.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_the_pipeline_leaves_nothing_behind(spark, tmp_path):
+    import corpus_pipeline
+
+    shared = common.Path(common.shared_dir(spark))
+    before = {p.name for p in shared.glob("*")} if shared.exists() else set()
+    mark = common.written()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    kept = {p.name for p in shared.glob("tessera-*") if p.name not in before}
+    assert len([n for n in kept if "near-dedup" in n or "language-ID" in n or "quality" in n]) == 0
+    out.write.parquet(str(tmp_path / "out"))
+    common.release(spark, since=mark)
+    assert {p.name for p in shared.glob("*") if not p.name.startswith(".")} <= before
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_stages_on_repeated_rows_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    rng = random.Random(51)
+    text = prose(rng, 120)
+    rows = [(i, prose(rng, 120), "en", "s", 9, "x", 1, 2) for i in range(30)] + [(7, text, "en", "s", 1, "a", 3, 4)] * 3 + [(None, text, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, h string, k long, n_words long").repartition(3)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stash(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "h", "k", "n_words"]
+    assert sum(r.text == text for r in docs.collect()) <= 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() == docs.count()
