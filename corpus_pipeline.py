@@ -10,35 +10,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe_lexicon, decontam, langid, near_dedup, quality_rules
-from tessera.llm.common import prepare, stash, table
+from tessera.llm.common import prepare, release, stash, table, written
 from tessera.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those far from every language of the input."""
+    """Rejects documents without a letter and those far from every language of the input.
+
+    Null, empty and blank texts go; documents without a language or id teach nothing
+    and are judged like others, as are repeated rows. Without any label all go.
+    """
     prepare(spark)
     return langid.keep(docs, langid.fit(docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that fail a rule of the current policy."""
+    """Rejects documents that fail a rule of the current policy.
+
+    Null, empty and blank texts fail the rule of no words. Repeated rows are judged each.
+    """
     prepare(spark)
     return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group linked by five-word shingles at 0.8."""
+    """Keeps the document with the least id of each group linked by five-word shingles at 0.8.
+
+    A null id comes last; of rows alike in id and text one stays; texts without words all stay.
+    """
     prepare(spark)
     return near_dedup.keep(docs, near_dedup.Plan.near(words=5, percent=80))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold an item of ``benchmark``."""
+    """Rejects documents that hold an item of ``benchmark``.
+
+    Null and empty texts hold none and stay; an empty benchmark keeps all.
+    """
+    prepare(spark)
     return decontam.keep(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes every text, decodes it again and returns counts and digests."""
+    """Encodes every text, decodes it again and returns counts and digests, a row a document; a null text counts as empty."""
     prepare(spark)
     lexicon = bpe_lexicon.build_lexicon(bpe_lexicon.count_words(docs), tokenizer_path())
     return bpe_lexicon.digests(bpe_lexicon.encode_decode(docs, lexicon))
@@ -57,7 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Once a stage's documents are written, what it and the stage before have written goes; what the result reads goes with ``common.release``."""
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, since=before, kept=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
