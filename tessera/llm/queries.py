@@ -25,14 +25,17 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages``: host, path, the longest rule that fits and its verdict. Null urls have an empty host and path; repeated rows are judged each."""
     return url_rules.match_rules(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they hold. Null and empty texts hold none; an empty benchmark gives no rows."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score and a prediction for every document, learnt from labels of documents that are not held out. Null and empty texts are scored like others."""
     rows = stash(quality_qda.measured(table(spark, sf_dir, "documents")), "statistics")
     held_out = crc_mod("doc_id", 4) == 2
     model = quality_qda.fit(rows.where(~held_out), table(spark, sf_dir, "labels"))
@@ -41,12 +44,14 @@ def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document's ids and of what they decode to. A null text counts as empty."""
     docs = table(spark, sf_dir, "documents")
     lexicon = bpe_lexicon.build_lexicon(bpe_lexicon.count_words(docs), tokenizer_path())
     return bpe_lexicon.digests(bpe_lexicon.encode_decode(docs, lexicon))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdicts of every document. Null and empty texts measure nothing and fail."""
     entries = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -55,19 +60,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summed log-probability of every document under a network trained on all of them."""
     return pseudo_lm.train_and_score(table(spark, sf_dir, "documents"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the license templates they hold. Null and empty texts hold none."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of texts alike at 0.85 of three-word shingles. Texts without words are linked with nothing."""
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Plan.near(words=3, percent=85))
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for every document, learnt from those that are not held out. Texts that are null or without a letter are ``und``."""
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 5) == 0
     model = langid.fit(docs.where(~held_out))
@@ -76,27 +85,46 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard of eight of near equal bytes, and its slot there. Null texts have no bytes and still a slot."""
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component. Texts without words share the fingerprint zero."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.Plan(words=4, bits=4))
 
 
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of a language stray from each other and from the language. Null values count as empty strings."""
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of rebuilt conversations. Rows without a conversation id belong to none."""
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each rule of the contract's policy: documents it fails, documents it alone rejects, and documents kept without it."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")), "v1")
+
+
+def url_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pages each rule decides."""
+    return url_rules.rule_counts(op1_url_rules(spark, sf_dir))
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and bytes of each shard."""
+    return sharding.shard_totals(op10_sharding(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_rules, op2_decontamination, op3_quality_qda, op4_bpe_lexicon, op5_quality_rules,
         op6_pseudo_likelihood, op7_license_scan, op8_near_dedup, op9_language_id, op10_sharding, op11_simhash, op12_source_divergence,
-        op13_prefix_trie,
+        op13_prefix_trie, quality_ablations, url_rule_counts, shard_sizes,
     )
 }
 
@@ -160,3 +188,13 @@ m AS (SELECT x AS class_id, min(y) AS component_id FROM t GROUP BY 1)
 SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(m.component_id, d.doc_id) AS kept, coalesce(c.class_id, d.doc_id) AS class_id
 FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (class_id)""",
 }
+
+_RULE_ROWS = ", ".join(f"({b}, '{quality_rules.RULES[b][0]}')" for b in quality_rules.POLICIES["v1"])
+ORACLE_SQL |= {
+    "quality_ablations": f"""WITH e AS ({ORACLE_SQL["op5_quality_rules"]}), b AS (SELECT fail_bits & {quality_rules.mask_of("v1")} AS bits FROM e), r(bit, rule) AS (VALUES {_RULE_ROWS})
+SELECT bit, rule, count(CASE WHEN bits & (1::BIGINT << bit) <> 0 THEN 1 END) AS n_failed, count(CASE WHEN bits = 1::BIGINT << bit THEN 1 END) AS n_only, count(CASE WHEN bits & ~(1::BIGINT << bit) = 0 THEN 1 END) AS n_kept_without FROM b, r GROUP BY ALL""",
+    "url_rule_counts": f"SELECT rule, verdict, count(*) AS n_urls FROM ({ORACLE_SQL['op1_url_rules']}) q GROUP BY ALL",
+    "shard_sizes": """WITH s AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+c AS (SELECT size, (2 * coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size) * 8 // (2 * sum(size) OVER ()) AS shard FROM s)
+SELECT CAST(least(shard, 7) AS INT) AS shard, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS n_bytes FROM c GROUP BY 1""",
+}
