@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,3 +65,25 @@ def numbered_list(rows: DataFrame, place: str, text: Column, *by: str, name: str
     """``by..., name``: the texts of a key in order, a blank line between them."""
     listed = F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), text.alias("t"))))
     return rows.groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias(name))
+
+
+def merged_usage(records: DataFrame, key: str, place: str, usage: str) -> DataFrame:
+    """``key, name, total, carried``: numbers of a JSON object added up over a key's records, other values taken from the last record.
+
+    A name is a number's if any record has a number under it; true and false are no
+    numbers, but count as 1 and 0 under such a name. Null, unreadable and empty objects
+    are passed over. ``carried`` is the value as JSON writes it, without quotes.
+    """
+    objects = records.select(F.col(key), F.col(place).alias("__at"), F.expr(f"try_parse_json({usage})").alias("__u")).where("__u is not null")
+    objects.createOrReplaceTempView(view := f"usage_{uuid.uuid4().hex}")
+    try:
+        each = objects.sparkSession.sql(f"SELECT u.`{key}`, u.__at, e.key AS name, e.value AS v, schema_of_variant(e.value) AS kind FROM {view} u, LATERAL variant_explode(u.__u) e WHERE e.key IS NOT NULL")
+    finally:
+        objects.sparkSession.catalog.dropTempView(view)
+    number = F.col("kind").isin("BIGINT", "DOUBLE", "FLOAT") | F.col("kind").startswith("DECIMAL")
+    amount = F.when(number, F.expr("try_variant_get(v, '$', 'double')")).when(F.col("kind") == "BOOLEAN", F.expr("cast(try_variant_get(v, '$', 'boolean') as int)")).otherwise(0.0)
+    last = each.groupBy(key).agg(F.max("__at").alias("__last"))
+    text = F.when(F.col("kind") != "VOID", F.expr("try_variant_get(v, '$', 'string')"))
+    sums = each.join(last, key).groupBy(key, "name").agg(F.max(number).alias("numeric"), F.sum(amount).alias("total"), F.max(F.when(F.col("__at") == F.col("__last"), 1).otherwise(0)).alias("in_last"), F.max(F.when(F.col("__at") == F.col("__last"), text)).alias("carried"))
+    kept = sums.where("numeric or in_last = 1")
+    return kept.select(key, "name", F.when(F.col("numeric"), F.col("total")).alias("total"), F.when(~F.col("numeric"), F.col("carried")).alias("carried"))

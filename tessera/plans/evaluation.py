@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import ordering
+from ..operators import checks, ordering
 from .registry import Registry, read
 
 R = Registry()
@@ -129,6 +129,23 @@ def usage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("total"), F.max_by("role", "turn").alias("last_role"), F.count(F.lit(1)).alias("n"))
 
 
+#: Usage records of a user: a number always, a truth value, a text and a number of its own in some.
+USAGE_SQL = """concat('{"total": ', event_id % 90, CASE WHEN event_id % 3 = 0 THEN concat(', "cached": ', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END) ELSE '' END,
+ CASE WHEN event_id % 4 = 0 THEN concat(', "model": "m', event_id % 7, '"') ELSE '' END, CASE WHEN event_id % 5 = 0 THEN concat(', "cost": ', event_id % 8, '.5') ELSE '' END, CASE WHEN event_id % 11 = 0 THEN ', "note": null' ELSE '' END, '}')"""
+
+
+@R.add(
+    f"""WITH u AS (SELECT user_id, event_id, {USAGE_SQL}::JSON AS j FROM events WHERE event_id % 13 <> 0), l AS (SELECT user_id, max(event_id) AS last FROM u GROUP BY 1),
+e AS (SELECT user_id, event_id, unnest(json_keys(j)) AS name, j FROM u), v AS (SELECT user_id, event_id, name, json_type(j, '$.' || name) AS kind, j ->> ('$.' || name) AS x FROM e),
+g AS (SELECT user_id, name, bool_or(kind IN ('BIGINT', 'UBIGINT', 'DOUBLE')) AS numeric, sum(CASE WHEN kind IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN x::DOUBLE WHEN x = 'true' THEN 1 ELSE 0 END) AS total, bool_or(event_id = last) AS in_last, max(CASE WHEN event_id = last THEN x END) AS carried FROM v JOIN l USING (user_id) GROUP BY ALL)
+SELECT user_id, name, CASE WHEN numeric THEN round(total, 6) END AS total, CASE WHEN NOT numeric THEN carried END AS carried FROM g WHERE numeric OR in_last"""
+)
+def usage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of usage objects are added over a user's records; truth values, texts and nulls come from the last."""
+    e = read(spark, sf_dir, "events").where("event_id % 13 <> 0").select("user_id", "event_id", F.expr(USAGE_SQL).alias("usage"))
+    return checks.merged_usage(e, "user_id", "event_id", "usage").withColumn("total", F.round("total", 6))
+
+
 @R.add(
     """SELECT doc_id, source, 'duplicate' AS problem FROM documents QUALIFY count(*) OVER (PARTITION BY md5(text), source) > 1
 UNION ALL SELECT doc_id, source, 'too_short' FROM documents WHERE length(text) < 40 UNION ALL SELECT doc_id, source, 'length_mismatch' FROM documents WHERE length(text) <> n_chars"""

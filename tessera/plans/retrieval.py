@@ -311,6 +311,29 @@ def external_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(spark.createDataFrame([("published", 0.688, 0.38)], "system string, precision double, f1 double"))
 
 
+#: What others published, by scope and cut-off; a measure that was not given is null.
+ANCHORS = (("all", 10, 0.688, None, 0.38, 0.459, 0.713), ("target", 10, 0.726, None, 0.413, 0.506, 0.755), ("fixed", 5, 0.4517, 0.3758, 0.3805, None, None))
+_MEASURES = ("precision", "recall", "f1", "ndcg", "mrr")
+
+
+@R.add(
+    f"""WITH {SCOPED_SQL}, {GOLD_SQL}, kranked AS (SELECT * FROM sranked WHERE rank <= CASE scope WHEN 'fixed' THEN 5 ELSE 10 END),
+kunits AS (SELECT scope, query_id, unit, row_number() OVER (PARTITION BY scope, query_id ORDER BY first, unit) AS unit_rank FROM (SELECT scope, query_id, unit, min(rank) AS first FROM kranked GROUP BY ALL) f),
+{metrics_sql('kunits', 'scope, query_id')}
+SELECT 'own' AS system, scope, CASE scope WHEN 'fixed' THEN 5 ELSE 10 END AS k, count(*) AS n_queries, {", ".join(f"round(avg({m}), 6) AS {m}" for m in _MEASURES)} FROM metrics GROUP BY scope
+UNION ALL SELECT 'published', * FROM (VALUES {", ".join(f"('{s}', {k}, NULL::BIGINT, " + ", ".join("NULL::DOUBLE" if x is None else f"{x}::DOUBLE" for x in rest) + ")" for s, k, *rest in ANCHORS)}) v(scope, k, n_queries, {", ".join(_MEASURES)})"""
+)
+def external_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own means of each scope at its cut-off beside all published anchors."""
+    cut = F.when(F.col("scope") == "fixed", 5).otherwise(10)
+    hits = with_unit(scoped(spark, sf_dir)).where(F.col("rank") <= cut)
+    scored = ranking.ir_metrics(ranking.ranked_units(hits, "scope", "query_id"), gold(spark, sf_dir), "scope", "query_id")
+    own = scored.groupBy("scope").agg(F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(m), 6).alias(m) for m in _MEASURES))
+    own = own.select(F.lit("own").alias("system"), "scope", cut.alias("k"), "n_queries", *_MEASURES)
+    rows = [("published", s, k, None, *rest) for s, k, *rest in ANCHORS]
+    return own.unionByName(spark.createDataFrame(rows, "system string, scope string, k int, n_queries long, " + ", ".join(f"{m} double" for m in _MEASURES)))
+
+
 @R.add("SELECT count(*) AS n_vectors, max(len(embedding)) AS dimension, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm FROM (SELECT embedding, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) q")
 def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select(F.size("embedding").cast("long").alias("d"), vectors.norm("embedding").alias("n"))

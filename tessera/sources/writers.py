@@ -154,6 +154,14 @@ def write_json_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_json_document(df: DataFrame, path: str) -> None:
+    """Replace a report by one JSON document, an indented array of its rows; a report fits one value."""
+    numbered = df.select(F.monotonically_increasing_id().alias("n"), F.struct(*df.columns).alias("r"))
+    rows = F.sort_array(F.collect_list(F.struct("n", "r")))
+    text = F.to_json(F.transform(rows, lambda x: x["r"]), {"pretty": "true", "ignoreNullFields": "false"})
+    numbered.agg(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_configs(chunks: DataFrame, path: str, *, key: str = "config_id") -> None:
     """All configurations in one write, a folder each; folders of configurations that are not written stay."""
     overwrite_partitions(chunks, path, key)

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import models, ranking, sampling, spots, stats
+from tessera.operators import checks, models, ranking, sampling, spots, stats
 from tessera.sources import writers
 from tessera.streaming import updates
 
@@ -211,3 +211,16 @@ def test_times_of_single_embeddings_and_of_queries(spark):
 
     stamp = datetime.strptime(spark.range(1).select(models.utc_timestamp().alias("t")).first().t, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC)
     assert abs((datetime.now(UTC) - stamp).total_seconds()) < 120
+
+
+def test_usage_adds_numbers_and_carries_the_last_of_others(spark):
+    rows = [(1, 1, '{"total": 3, "cached": true, "model": "a", "flag": false, "odd": 2}'), (1, 2, '{"total": 4.5, "cached": false, "model": "b", "odd": true}'), (1, 3, None), (1, 4, "{"), (2, 1, '{"gone": "x", "n": 1}'), (2, 5, '{"kept": null, "n": null}')]
+    found = checks.merged_usage(spark.createDataFrame(rows, "k int, at int, usage string"), "k", "at", "usage").collect()
+    assert {(r.k, r.name): (r.total, r.carried) for r in found} == {(1, "total"): (7.5, None), (1, "cached"): (None, "false"), (1, "model"): (None, "b"), (1, "odd"): (3.0, None), (2, "n"): (1.0, None), (2, "kept"): (None, None)}
+
+
+def test_a_report_is_one_indented_document(spark, tmp_path):
+    path = tmp_path / "report"
+    writers.write_json_document(spark.createDataFrame([(2, "b"), (1, None)], "k int, v string").coalesce(1), str(path))
+    text = next(path.glob("part-*")).read_text()
+    assert json.loads(text) == [{"k": 2, "v": "b"}, {"k": 1, "v": None}] and text.count("\n") > 5 and text.endswith("\n")
