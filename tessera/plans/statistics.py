@@ -38,13 +38,13 @@ def wilcoxon_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("condition", "n", *(F.round(c, 6).alias(c) for c in ("w_plus", "w_minus", "rank_biserial", "z")))
 
 
-@R.add(
-    f"""WITH {SCORES_SQL}, full_blocks AS (SELECT user_id FROM scores GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT event_type) FROM scores)),
+FRIEDMAN_SQL = f"""{SCORES_SQL}, full_blocks AS (SELECT user_id FROM scores GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT event_type) FROM scores)),
 r AS (SELECT event_type, rank() OVER (PARTITION BY user_id ORDER BY score) + (count(*) OVER (PARTITION BY user_id, score) - 1) / 2 AS r, count(*) OVER (PARTITION BY user_id, score) AS t FROM scores SEMI JOIN full_blocks USING (user_id)),
 c AS (SELECT event_type, sum(r) AS rj, count(*) AS n, sum(t * t - 1) AS ties FROM r GROUP BY 1), s AS (SELECT n, count(*) AS k, sum(rj * rj) AS sq, sum(ties) AS ties FROM c GROUP BY 1),
-x AS (SELECT n, k, (12 / (n * k * (k + 1)) * sq - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS chi FROM s)
-SELECT n, k, round(chi, 6) AS chi_squared, round(chi / (n * (k - 1)), 6) AS kendall_w FROM x"""
-)
+x AS (SELECT n, k, (12 / (n * k * (k + 1)) * sq - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS chi FROM s)"""
+
+
+@R.add(f"WITH {FRIEDMAN_SQL} SELECT n, k, round(chi, 6) AS chi_squared, round(chi / (n * (k - 1)), 6) AS kendall_w FROM x")
 def friedman(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stats.friedman(scores(spark, sf_dir), "user_id", "event_type", "score")
     return found.select("n", "k", F.round("chi_squared", 6).alias("chi_squared"), F.round("kendall_w", 6).alias("kendall_w"))
@@ -185,9 +185,11 @@ def contrast_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tests.join(bootstrap.interval(p, "user_id", "d", "condition", draws=DRAWS).withColumnRenamed("condition", "test"), "test")
 
 
-@R.add()
+#: With five conditions the tail has four degrees of freedom, which is a finite sum.
+@R.add(f"WITH {FRIEDMAN_SQL} SELECT n, k, round(chi, 6) AS chi_squared, round(chi / (n * (k - 1)), 6) AS kendall_w, round(exp(-chi / 2) * (1 + chi / 2), 9) AS p FROM x WHERE k = 5")
 def omnibus_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pvalues.friedman_p(stats.friedman(scores(spark, sf_dir), "user_id", "event_type", "score"))
+    found = pvalues.friedman_p(stats.friedman(scores(spark, sf_dir), "user_id", "event_type", "score"))
+    return found.select("n", "k", F.round("chi_squared", 6).alias("chi_squared"), F.round("kendall_w", 6).alias("kendall_w"), F.round("p", 9).alias("p"))
 
 
 QUERIES, ORACLE_SQL = R.queries, R.sql
