@@ -13,6 +13,7 @@ texts.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, stash, unstash
+from .common import publish, published, slices, stash, unstash
 
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
@@ -39,6 +40,8 @@ _WINDOWS = (3, 5, 10, 20, 50, 100, 200, 500, 1000)
 _STEPS, _LEAST = 2 * DIM_BITS + 1, 20
 #: Languages that are few enough to be sent to every task.
 _LANGUAGES = 10_000
+#: Centroids that the driver and a task hold at once, 16 kB each.
+_CENTROIDS = 4096
 #: No cosine below this is accepted: collisions alone bring short texts of any script this far.
 _NEVER = 0.05
 
@@ -107,8 +110,31 @@ def floors(texts: list[str], idf: np.ndarray, centroids: np.ndarray, slack: floa
     return np.maximum(out, _NEVER)
 
 
+class Model:
+    """Nearest centroids over blocks of them; ties go to the first in order of language."""
+
+    idf: np.ndarray
+
+    def blocks(self):
+        """Centroids, their languages and their floors, block by block."""
+        raise NotImplementedError
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        lettered = np.array([has_letter(t) for t in texts], bool)
+        x, step = unit_vectors(texts, self.idf)
+        best, floor, langs = np.full(len(texts), -np.inf), np.zeros(len(texts)), np.full(len(texts), UNKNOWN, object)
+        for centroids, names, floors in self.blocks():
+            cosine = x @ centroids.T
+            at = cosine.argmax(axis=1)
+            own = cosine[np.arange(len(texts)), at].astype(float)
+            better = own > best
+            best[better], floor[better], langs[better] = own[better], floors[at, step][better], np.array(names, object)[at][better]
+        score = np.clip(best, 0.0, 1.0)
+        return np.where(lettered, langs, UNKNOWN).tolist(), np.where(lettered, score, 0.0).tolist(), ((score < floor) | ~lettered).tolist()
+
+
 @dataclass
-class CentroidModel:
+class CentroidModel(Model):
     """``floor`` is, by centroid and step of different trigrams, the least cosine that is not rejected."""
 
     idf: np.ndarray
@@ -116,18 +142,25 @@ class CentroidModel:
     langs: list[str]
     floor: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        lettered = np.array([has_letter(t) for t in texts], bool)
-        x, step = unit_vectors(texts, self.idf)
-        cosine = x @ self.centroids.T
-        best = cosine.argmax(axis=1)
-        score = np.clip(cosine[np.arange(len(texts)), best].astype(float), 0.0, 1.0)
-        far = score < self.floor[best, step]
-        langs = [self.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
-        return langs, np.where(lettered, score, 0.0).tolist(), (far | ~lettered).tolist()
+    def blocks(self):
+        yield self.centroids, self.langs, self.floor
+
+
+@dataclass
+class PublishedModel(Model):
+    """Centroids of very many languages, in blocks that lie in the shared folder; a task reads one at a time."""
+
+    idf: np.ndarray
+    names: list[str]
+
+    def blocks(self):
+        for name in self.names:
+            with open(published(name), "rb") as file:
+                block = pickle.load(file)  # noqa: S301  written by fit
+            yield block.centroids, block.langs, block.floor
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, clusters: int = 4, slack: float = 0.5, outlying: float = 0.01) -> CentroidModel | None:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, clusters: int = 4, slack: float = 0.5, outlying: float = 0.01) -> Model | None:
     """Fit on at most ``per_lang`` labelled rows of each language, taken by a hash of the id.
 
     The bound is on the rows that a classifier is fitted on; k-means runs in one
@@ -165,11 +198,25 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         floor = floors(texts, idf, c, slack, outlying).tolist()
         return pd.DataFrame({"lang": frame.lang.iloc[0], "j": range(len(c)), "centroid": [row.astype("<f4").tobytes() for row in c], "floor": [floor] * len(c)})
 
-    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, j int, centroid binary, floor array<double>").orderBy("lang", "j").collect()
-    return CentroidModel(idf, np.stack([np.frombuffer(r.centroid, "<f4") for r in found]), [r.lang for r in found], np.array([r.floor for r in found]))
+    found = stash(sample.groupBy("lang").applyInPandas(cluster, "lang string, j int, centroid binary, floor array<double>").orderBy("lang", "j"), "centroids")
+    names, held = [], []
+
+    def block() -> CentroidModel:
+        return CentroidModel(idf, np.stack([np.frombuffer(r.centroid, "<f4") for r in held]), [r.lang for r in held], np.array([r.floor for r in held]))
+
+    # The driver holds one block; few languages are one, and go along with the tasks.
+    for r in found.orderBy("lang", "j").toLocalIterator():
+        if len(held) == _CENTROIDS:
+            names.append(publish(docs.sparkSession, pickle.dumps(block()), "centroids"))
+            held = []
+        held.append(r)
+    unstash(sample, found)
+    if not names:
+        return block()
+    return PublishedModel(idf, [*names, publish(docs.sparkSession, pickle.dumps(block()), "centroids")])
 
 
-def predict(docs: DataFrame, model: CentroidModel | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col, lang_pred, score, rejected``.
 
     Whole texts are read. Null texts and texts without a letter are ``und`` with
@@ -190,7 +237,7 @@ def predict(docs: DataFrame, model: CentroidModel | None, *, id_col: str = "doc_
     return slim.mapInArrow(run, f"k {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("k", id_col)
 
 
-def keep(docs: DataFrame, model: CentroidModel | None, *, text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not rejected; judged row by row, without a join.
 
     Null texts and texts without a letter are rejected; very long texts are read

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import bpe_lexicon, common, decontam, near_dedup, pseudo_lm, queries, url_rules
+from tessera.llm import bpe_lexicon, common, decontam, langid, near_dedup, pseudo_lm, queries, url_rules
 
 from test_llm_operators import SCHEMA, brute_components, brute_rule, odd_rows, prose
 
@@ -128,6 +128,20 @@ def test_url_rules_on_odd_rows(spark):
     assert url_rules.match_rules(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_languages_in_blocks_are_those_of_one_block(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = langid.fit(docs, per_lang=40)
+    texts = [r.text for r in docs.limit(60).collect()] + [None, "", "123"]
+    for most in (1, 3, 1000):
+        monkeypatch.setattr(langid, "_CENTROIDS", most)
+        model = langid.fit(docs, per_lang=40)
+        assert isinstance(model, langid.PublishedModel if most < 1000 else langid.CentroidModel)
+        got, want = model.predict(texts), whole.predict(texts)
+        assert got[0] == want[0] and got[2] == want[2] and got[1] == pytest.approx(want[1], abs=1e-6)
+        found = {(r.doc_id, r.lang_pred) for r in langid.predict(docs, model).collect()}
+        assert found == {(r.doc_id, r.lang_pred) for r in langid.predict(docs, whole).collect()}
+
+
 def test_the_pipeline_leaves_nothing_behind(spark, tmp_path):
     import corpus_pipeline
 
