@@ -13,19 +13,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def scores_between(x: np.ndarray, width: int) -> np.ndarray:
+    """For each place but the first: cosine of the mean of up to ``width`` rows before it and that of as many from it on; 0 without length."""
+    total = np.vstack([np.zeros(x.shape[1]), np.cumsum(x, axis=0)])
+    n = len(x)
+    at = np.arange(1, n)
+    left = (total[at] - total[np.maximum(0, at - width)]) / np.minimum(at, width)[:, None]
+    right = (total[np.minimum(n, at + width)] - total[at]) / np.minimum(n - at, width)[:, None]
+    lengths = np.sqrt((left**2).sum(axis=1) * (right**2).sum(axis=1))
+    return np.divide((left * right).sum(axis=1), lengths, out=np.zeros(n - 1), where=lengths > 0)
+
+
 def boundary_scores(vectors: DataFrame, width: int) -> DataFrame:
     """``doc, place, score``: cosine of the mean of up to ``width`` vectors before a place and the mean of as many from it on; 0 without length."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("place")
-        x = np.array(frame.embedding.tolist(), float)
-        total = np.vstack([np.zeros(x.shape[1]), np.cumsum(x, axis=0)])
-        n = len(x)
-        at = np.arange(1, n)
-        left = (total[at] - total[np.maximum(0, at - width)]) / np.minimum(at, width)[:, None]
-        right = (total[np.minimum(n, at + width)] - total[at]) / np.minimum(n - at, width)[:, None]
-        lengths = np.sqrt((left**2).sum(axis=1) * (right**2).sum(axis=1))
-        score = np.divide((left * right).sum(axis=1), lengths, out=np.zeros(n - 1), where=lengths > 0)
+        score = scores_between(np.array(frame.embedding.tolist(), float), width)
         return pd.DataFrame({"doc": frame.doc.iloc[0], "place": frame.place.to_numpy()[1:], "score": score})
 
     return vectors.select("doc", "place", "embedding").groupBy("doc").applyInPandas(run, "doc long, place long, score double")

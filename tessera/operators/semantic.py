@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import intervals, models, segments, tokens
@@ -52,24 +51,37 @@ def large_split(bounds: list[int], held: np.ndarray, score: np.ndarray, most: in
     return sorted(done)
 
 
-def bounded_groups(units: DataFrame, least: int, most: int) -> DataFrame:
-    """``doc, place, group_no``: the groups of ``doc, place, group_no, tokens, score`` after small ones merged, large ones split, and small ones merged where the sum stays in bounds."""
+def chunk_bounds(vectors: np.ndarray, held: np.ndarray, percentile: float, least: int, most: int, window: int) -> list[int]:
+    """Where the chunks of one document begin, and the number of its segments.
+
+    A chunk begins where the score between segments is below the document's
+    percentile; small ones merge, large ones are split, and small ones merge where the
+    sum stays in bounds. Scores are compared at nine digits.
+    """
+    score = np.concatenate(([-1.0], segments.scores_between(vectors, window)))
+    cuts = []
+    if len(vectors) > 1:
+        limit = np.round(np.percentile(score[1:], 100 * percentile), 9)
+        cuts = (1 + np.flatnonzero(np.round(score[1:], 9) < limit)).tolist()
+    bounds = small_merged([0, *cuts, len(vectors)], held, score, least)
+    return small_merged(large_split(bounds, held, score, most), held, score, least, most)
+
+
+def chunk_spans(placed: DataFrame, percentile: float, least: int, most: int, window: int) -> DataFrame:
+    """``doc, chunk_no, start, stop, n_sentences`` from segments ``doc, start, stop, tokens, embedding``; a document's segments go through one call."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place")
-        score, group = frame.score.fillna(-1.0).to_numpy(), frame.group_no.to_numpy()
+        frame = frame.sort_values("start")
         held = np.concatenate(([0], np.cumsum(frame.tokens.to_numpy() + 1)))
-        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(frame)]
-        bounds = large_split(small_merged(bounds, held, score, least), held, score, most)
-        bounds = small_merged(bounds, held, score, least, most)
-        number = np.searchsorted(bounds[1:], np.arange(len(frame)), side="right")
-        return pd.DataFrame({"doc": frame.doc.iloc[0], "place": frame.place.to_numpy(), "group_no": number})
+        bounds = np.array(chunk_bounds(np.array(frame.embedding.tolist(), float), held, percentile, least, most, window))
+        first, last = bounds[:-1], bounds[1:] - 1
+        return pd.DataFrame({"doc": frame.doc.iloc[0], "chunk_no": range(len(first)), "start": frame.start.to_numpy()[first], "stop": frame.stop.to_numpy()[last], "n_sentences": np.diff(bounds)})
 
-    return units.select("doc", "place", "group_no", "tokens", "score").groupBy("doc").applyInPandas(run, "doc long, place long, group_no long")
+    return placed.select("doc", "start", "stop", "tokens", "embedding").groupBy("doc").applyInPandas(run, "doc long, chunk_no long, start long, stop long, n_sentences long")
 
 
 def sentence_segments(docs: DataFrame, units: DataFrame, maker: tokens.Maker, most: int, pattern: str) -> DataFrame:
-    """``doc, place, start, stop, text, tokens``: sentences that overlap a unit, fragments joined to related neighbours, those of over ``most`` tokens in pieces."""
+    """``doc, start, stop, text, tokens``: sentences that overlap a unit, fragments joined to related neighbours, those of over ``most`` tokens in pieces."""
     spans = intervals.match_spans(docs.select("doc", "text"), "text", pattern, "doc").select("doc", "place", "start", "stop")
     pairs = intervals.overlapping(spans, units.select("doc", "unit", "start", "stop"), "doc")
     listed = pairs.groupBy("doc", "place", "start", "stop").agg(F.array_sort(F.collect_list(F.col("unit").cast("long"))).alias("units"))
@@ -77,8 +89,7 @@ def sentence_segments(docs: DataFrame, units: DataFrame, maker: tokens.Maker, mo
     merged = segments.merge_fragments(listed.select("doc", "start", "stop", "units"), texts)
     cut = merged.join(texts, "doc").select("doc", "start", F.substring("text", F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int")).alias("text"))
     parts = tokens.split_oversize(cut, maker, most, "doc")
-    place = F.row_number().over(W.partitionBy("doc").orderBy("start")) - 1
-    return parts.select("doc", place.cast("long").alias("place"), "start", "stop", "text", F.col("n_tokens").cast("long").alias("tokens"))
+    return parts.select("doc", "start", "stop", "text", F.col("n_tokens").cast("long").alias("tokens"))
 
 
 def chunks(
@@ -95,12 +106,7 @@ def chunks(
     hashed = parts.withColumn("text_sha256", F.sha2("text", 256))
     no_cache = docs.sparkSession.createDataFrame([], "text_sha256 string")
     vectors = models.embed_missing(parts, no_cache, embedder)
-    placed = hashed.join(vectors, "text_sha256").select("doc", "place", "embedding")
-    scores = segments.boundary_scores(placed, window)
-    grouped = segments.groups_from_breaks(parts.select("doc", "place"), scores, percentile).join(scores, ["doc", "place"], "left")
-    bounded = bounded_groups(grouped.join(parts.select("doc", "place", "tokens"), ["doc", "place"]), least, most)
-    spans = bounded.join(parts.select("doc", "place", "start", "stop"), ["doc", "place"]).groupBy("doc", F.col("group_no").alias("chunk_no"))
-    spans = spans.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_sentences"))
+    spans = chunk_spans(hashed.join(vectors, "text_sha256"), percentile, least, most, window)
     met = intervals.overlapping(spans, units.select("doc", "unit", "start", "stop"), "doc").groupBy("doc", "chunk_no").agg(F.array_sort(F.collect_set("unit")).alias("units"))
     text = F.substring("text", F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))
     cut = spans.join(met, ["doc", "chunk_no"]).join(docs.select("doc", "text"), "doc").withColumn("text", text)
