@@ -1,14 +1,12 @@
 """Plans of the registered queries, and p-values against closed values."""
 
 import math
-import random
 
 import pytest
 
 import __spark_entry__ as spark_entry
 from tessera import catalog
 from tessera.operators import pvalues
-from tessera.plans import statistics
 
 SF = "/root/testdata/sf0.001"
 
