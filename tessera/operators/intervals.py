@@ -65,6 +65,13 @@ def match_spans(docs: DataFrame, text: str, pattern: str, *by: str) -> DataFrame
     return rows.withColumn("start", start).where("raw IS NOT NULL").select(*by, "place", trimmed.alias("raw"), "start", (F.col("start") + F.length(trimmed)).alias("stop"))
 
 
+def match_lengths(docs: DataFrame, text: str, pattern: str, *keep: str) -> DataFrame:
+    """``keep..., found, kept, gaps``: for each text the lengths of what ``pattern`` matches, before and after trimming at its end, and of what lies before and after each."""
+    parts = docs.where(F.col(text).isNotNull()).select(*keep, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    long = lambda c: c.cast("long")
+    return parts.select(*keep, F.transform("m", lambda x: long(F.length(x))).alias("found"), F.transform("m", lambda x: long(F.length(F.regexp_replace(x, r"\s+$", "")))).alias("kept"), F.transform("g", lambda x: long(F.length(x))).alias("gaps"))
+
+
 def even_pieces(count: Column, most: int) -> Column:
     """``first, last`` of the pieces of a run of ``count`` tokens that has more than ``most``: as few as will do, as even as can be, the longer ones first."""
     n = F.greatest(F.ceil(count / most), F.lit(1))

@@ -6,12 +6,50 @@ groups go through one Python call; a document bounds what a task holds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import intervals
+
+
+def by_document(rows: DataFrame, order: str, of: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``of`` makes of whole documents (``doc``): it gets the rows of one or more, each in the order of ``order``, and where each begins and the last ends.
+
+    Rows are dealt by document and stream through their tasks in order; a task holds
+    a batch of rows, or a document where that is more.
+    """
+
+    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        doc = table.column("doc").to_numpy()
+        return of(table, np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)])))
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc = batch.column("doc").to_numpy(zero_copy_only=False)
+            if held and held[-1].column("doc")[-1].as_py() != doc[0]:
+                yield whole(held)
+                held = []
+            turns = np.flatnonzero(doc[1:] != doc[:-1])
+            cut = int(turns[-1]) + 1 if len(turns) else 0
+            if cut:
+                yield whole([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield whole(held)
+
+    return rows.where("doc is not null").repartition("doc").sortWithinPartitions("doc", order).mapInArrow(run, schema)
+
 
 def scores_between(x: np.ndarray, width: int) -> np.ndarray:
     """For each place but the first: cosine of the mean of up to ``width`` rows before it and that of as many from it on; 0 without length."""
@@ -132,25 +170,98 @@ def merge_fragments(sentences: DataFrame, texts: DataFrame) -> DataFrame:
     ``sentences`` has ``doc, start, stop, units``, ``texts`` has ``doc, text``. A joined
     sentence is the text from the first one's start to the last one's stop and has
     the units of both; it may be a fragment again, so passes go on until one joins
-    nothing. A document bounds what a task holds.
+    nothing. A document's sentences are one row beside its text, which comes once;
+    a document bounds what a task holds.
     """
+    packed = sentences.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "units"))).alias("rows"))
+    lists = packed.select("doc", *(F.col(f"rows.{n}").alias(n) for n in ("start", "stop", "units")))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        text = frame.text.iloc[0]
-        now = [(int(r.start), int(r.stop), list(r.units)) for r in frame.sort_values("start").itertuples()]
-        size = None
-        while size != len(now):
-            size, now = len(now), _joined_once(now, text)
-        return pd.DataFrame([(frame.doc.iloc[0], *row) for row in now], columns=["doc", "start", "stop", "units"])
+    def of(text: str, start: np.ndarray, stop: np.ndarray, units: list) -> list[tuple[int, int, list]]:
+        return joined(text, list(zip(start.tolist(), stop.tolist(), units, strict=True)))
+
+    def run(batches):
+        for batch in batches:
+            first, last, units = (batch.column(n) for n in ("start", "stop", "units"))
+            each = (of(text.as_py(), *(x[i].values.to_numpy() for x in (first, last)), units[i].as_py()) for i, text in enumerate(batch.column("text")))
+            yield _sentence_batch(batch.column("doc"), list(each))
+
+    return lists.join(texts, "doc").select("doc", "text", F.col("start").cast("array<long>"), F.col("stop").cast("array<long>"), "units").mapInArrow(run, "doc long, start long, stop long, units array<long>")
+
+
+def document_sentences(docs: DataFrame, units: DataFrame, pattern: str) -> DataFrame:
+    """``doc, start, stop, units, text``: what ``pattern`` matches in ``doc, text`` and overlaps a unit (``doc, unit, start, stop``), fragments joined as by :func:`merge_fragments`.
+
+    A document is one row from its text to its sentences: Spark finds the lengths of
+    what matches and of what lies between, and brings the units beside them; sums of
+    the lengths give the places.
+    """
+    lengths = intervals.match_lengths(docs.select("doc", "text"), "text", pattern, "doc", "text")
+    own = units.where("stop > start").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*(F.col(n).cast("long").alias(n) for n in ("start", "stop", "unit"))))).alias("units"))
+    beside = own.select("doc", *(F.col(f"units.{n}").alias(f"unit_{n}") for n in ("start", "stop", "unit")))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, _DOCUMENTS):
+                batch = whole.slice(at, _DOCUMENTS)
+                columns = [batch.column(n) for n in ("gaps", "found", "kept", "unit_start", "unit_stop", "unit_unit")]
+                texts, found = batch.column("text").to_pylist(), []
+                for i, text in enumerate(texts):
+                    gaps, raw, kept, *unit = (x[i].values.to_numpy() for x in columns)
+                    start = np.cumsum(gaps[: len(raw)] + raw) - raw
+                    found.append(joined(text, _overlapping(start, start + kept, *unit)))
+                yield _sentence_batch(batch.column("doc"), found, texts)
+
+    return lengths.join(beside, "doc").mapInArrow(run, "doc long, start long, stop long, units array<long>, text string")
+
+
+#: Documents whose sentences are found at a time.
+_DOCUMENTS = 256
+
+
+def _overlapping(start: np.ndarray, stop: np.ndarray, unit_start: np.ndarray, unit_stop: np.ndarray, unit: np.ndarray) -> list[tuple[int, int, list]]:
+    """The spans that overlap a unit, with the numbers of the units; units are in order of their starts."""
+    reach = np.maximum.accumulate(unit_stop)
+    apart = bool((reach == unit_stop).all())
+    low, high = np.searchsorted(reach, start, "right").tolist(), np.searchsorted(unit_start, stop, "left").tolist()
+    numbers, out = unit.tolist(), []
+    for a, b, i, j in zip(start.tolist(), stop.tolist(), low, high, strict=True):
+        if a < b and i < j:
+            met = numbers[i:j] if apart else [numbers[n] for n in range(i, j) if unit_stop[n] > a]
+            if met:
+                out.append((a, b, sorted(met) if len(met) > 1 else met))
+    return out
+
+
+def _sentence_batch(docs: pa.Array, found: list[list[tuple[int, int, list]]], texts: list[str] | None = None) -> pa.RecordBatch:
+    rows = [row for rows in found for row in rows]
+    doc = docs.take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64()))
+    columns = {"doc": doc, "start": pa.array([x[0] for x in rows], pa.int64()), "stop": pa.array([x[1] for x in rows], pa.int64()), "units": pa.array([x[2] for x in rows], pa.list_(pa.int64()))}
+    if texts is not None:
+        columns["text"] = pa.array([text[a:b] for text, rows in zip(texts, found, strict=True) for a, b, _ in rows], pa.string())
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def joined(text: str, rows: list[tuple[int, int, list]]) -> list[tuple[int, int, list]]:
+    """The sentences ``start, stop, units`` of a text, in order, after fragments joined their neighbours."""
+    known: dict[tuple[int, int], bool] = {}
+
+    def fragment(row: tuple[int, int, list]) -> bool:
+        span = row[:2]
+        if span not in known:
+            known[span] = is_fragment(text[span[0] : span[1]])
+        return known[span]
 
-    return sentences.join(texts, "doc").groupBy("doc").applyInPandas(run, "doc long, start long, stop long, units array<long>")
+    size = None
+    while size != len(rows):
+        size, rows = len(rows), _joined_once(rows, fragment)
+    return rows
 
 
-def _joined_once(rows: list[tuple[int, int, list]], text: str) -> list[tuple[int, int, list]]:
+def _joined_once(rows: list[tuple[int, int, list]], fragment: Callable[[tuple[int, int, list]], bool]) -> list[tuple[int, int, list]]:
     ahead, out = rows[::-1], []
     while ahead:
         row = ahead.pop()
-        if is_fragment(text[row[0] : row[1]]):
+        if fragment(row):
             if ahead and not set(row[2]).isdisjoint(ahead[-1][2]):
                 row = _together(row, ahead.pop())
             elif out and not set(row[2]).isdisjoint(out[-1][2]):
@@ -160,4 +271,4 @@ def _joined_once(rows: list[tuple[int, int, list]], text: str) -> list[tuple[int
 
 
 def _together(a: tuple[int, int, list], b: tuple[int, int, list]) -> tuple[int, int, list]:
-    return a[0], b[1], [*a[2], *(u for u in b[2] if u not in a[2])]
+    return a[0], b[1], a[2] if a[2] == b[2] else [*a[2], *(u for u in b[2] if u not in a[2])]

@@ -1,14 +1,15 @@
 """Chunks of texts cut where the meaning turns: sentences, vectors, boundaries, bounded groups, spans and units.
 
-Every step is a Spark job over all documents: sentences and their units come from
-expressions and a binned span join, vectors from one call an Arrow batch over distinct
-texts. Grouping is a fixpoint within a document, which bounds what a task holds.
+Every step is a Spark job over all documents: sentences come from expressions beside
+the units of their document, vectors from one call an Arrow batch over distinct
+texts. Grouping is a fixpoint within a document, which bounds what a task holds; it is
+found in one pass over the document's groups.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +24,23 @@ def small_merged(bounds: list[int], held: np.ndarray, score: np.ndarray, least:
     and groups without an allowed neighbour stay. ``held`` are running sums of tokens,
     one more for each unit, so a group's size counts one token between its units.
     """
-    bounds = list(bounds)
-    while len(bounds) > 2:
-        at = np.array(bounds)
-        small = np.diff(held[at]) - 1 < least
-        allowed = np.ones(len(at) - 2, bool) if most is None else held[at[2:]] - held[at[:-2]] - 1 <= most
-        left, right = np.concatenate(([False], allowed)), np.concatenate((allowed, [False]))
-        found = np.flatnonzero(small & (left | right))
-        if not len(found):
-            break
-        i = int(found[0])
-        goes_left = left[i] and (not right[i] or score[bounds[i]] >= score[bounds[i + 1]])
-        del bounds[i if goes_left else i + 1]
-    return bounds
+    held, score = held.tolist(), score.tolist()
+    done, a, i = [], bounds[0], 1
+    # What lies before ``a`` stays: no group there is small and has an allowed neighbour, and sums only grow.
+    while i < len(bounds):
+        b = bounds[i]
+        if held[b] - held[a] - 1 < least:
+            left = bool(done) and (most is None or held[b] - held[done[-1]] - 1 <= most)
+            right = i + 1 < len(bounds) and (most is None or held[bounds[i + 1]] - held[a] - 1 <= most)
+            if left and (not right or score[a] >= score[b]):
+                a = done.pop()
+                continue
+            if right:
+                i += 1
+                continue
+        done.append(a)
+        a, i = b, i + 1
+    return [*done, bounds[-1]]
 
 
 def large_split(bounds: list[int], held: np.ndarray, score: np.ndarray, most: int) -> list[int]:
@@ -68,27 +73,30 @@ def chunk_bounds(vectors: np.ndarray, held: np.ndarray, percentile: float, least
 
 
 def chunk_spans(placed: DataFrame, percentile: float, least: int, most: int, window: int) -> DataFrame:
-    """``doc, chunk_no, start, stop, n_sentences`` from segments ``doc, start, stop, tokens, embedding``; a document's segments go through one call."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("start")
-        held = np.concatenate(([0], np.cumsum(frame.tokens.to_numpy() + 1)))
-        bounds = np.array(chunk_bounds(np.array(frame.embedding.tolist(), float), held, percentile, least, most, window))
-        first, last = bounds[:-1], bounds[1:] - 1
-        return pd.DataFrame({"doc": frame.doc.iloc[0], "chunk_no": range(len(first)), "start": frame.start.to_numpy()[first], "stop": frame.stop.to_numpy()[last], "n_sentences": np.diff(bounds)})
-
-    return placed.select("doc", "start", "stop", "tokens", "embedding").groupBy("doc").applyInPandas(run, "doc long, chunk_no long, start long, stop long, n_sentences long")
+    """``doc, chunk_no, start, stop, n_sentences`` from segments ``doc, start, stop, tokens, embedding``; documents stream through their tasks in order."""
+
+    def of(table: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
+        start, stop, tokens = (table.column(n).to_numpy() for n in ("start", "stop", "tokens"))
+        vectors = table.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(start), -1)
+        found, number, doc = [], [], []
+        for a, b in zip(begin[:-1], begin[1:], strict=True):
+            held = np.concatenate(([0], np.cumsum(tokens[a:b] + 1)))
+            bounds = a + np.array(chunk_bounds(vectors[a:b], held, percentile, least, most, window))
+            found.append(np.stack((bounds[:-1], bounds[1:])))
+            number.append(np.arange(len(bounds) - 1))
+            doc.append(np.repeat(a, len(bounds) - 1))
+        first, last = np.concatenate(found, axis=1)
+        columns = {"doc": table.column("doc").combine_chunks().take(pa.array(np.concatenate(doc))), "chunk_no": pa.array(np.concatenate(number))}
+        return pa.RecordBatch.from_pydict(columns | {"start": pa.array(start[first]), "stop": pa.array(stop[last - 1]), "n_sentences": pa.array(last - first)})
+
+    rows = placed.select("doc", "start", "stop", "tokens", F.col("embedding").cast("array<double>").alias("embedding"))
+    return segments.by_document(rows, "start", of, "doc long, chunk_no long, start long, stop long, n_sentences long")
 
 
 def sentence_segments(docs: DataFrame, units: DataFrame, maker: tokens.Maker, most: int, pattern: str) -> DataFrame:
     """``doc, start, stop, text, tokens``: sentences that overlap a unit, fragments joined to related neighbours, those of over ``most`` tokens in pieces."""
-    spans = intervals.match_spans(docs.select("doc", "text"), "text", pattern, "doc").select("doc", "place", "start", "stop")
-    pairs = intervals.overlapping(spans, units.select("doc", "unit", "start", "stop"), "doc")
-    listed = pairs.groupBy("doc", "place", "start", "stop").agg(F.array_sort(F.collect_list(F.col("unit").cast("long"))).alias("units"))
-    texts = docs.select("doc", "text")
-    merged = segments.merge_fragments(listed.select("doc", "start", "stop", "units"), texts)
-    cut = merged.join(texts, "doc").select("doc", "start", F.substring("text", F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int")).alias("text"))
-    parts = tokens.split_oversize(cut, maker, most, "doc")
+    merged = segments.document_sentences(docs, units, pattern).select("doc", "start", "text")
+    parts = tokens.split_oversize(merged, maker, most, "doc")
     return parts.select("doc", "start", "stop", "text", F.col("n_tokens").cast("long").alias("tokens"))
 
 
