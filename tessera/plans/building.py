@@ -67,10 +67,8 @@ def oversize_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def merged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences after fragments joined a neighbour of the same unit."""
-    pairs = intervals.overlapping(sentences(spark, sf_dir).select("doc_id", "place", "start", "stop"), lines(spark, sf_dir), "doc_id")
-    units = pairs.groupBy(F.col("doc_id").alias("doc"), "place", "start", "stop").agg(F.array_sort(F.collect_list(F.col("unit").cast("long"))).alias("units"))
-    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return segments.merge_fragments(units.select("doc", "start", "stop", "units"), texts)
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return segments.document_sentences(docs, lines(spark, sf_dir).withColumnRenamed("doc_id", "doc"), SENTENCE).select("doc", "start", "stop", "units")
 
 
 @R.add()
