@@ -43,6 +43,11 @@ def ir_metrics(units: DataFrame, gold: DataFrame, *by: str, asked: DataFrame | N
         F.sum(F.col("hit") / F.log2(place + 1)).alias("dcg"),
     )
     per = scored.join(per, list(by), "left").fillna({"n_units": 0, "hits": 0.0, "early": 0.0, "dcg": 0.0})
+    return _rated(per, *by)
+
+
+def _rated(per: DataFrame, *by: str) -> DataFrame:
+    """The six metrics from ``n_gold, n_units, hits, early, first, dcg``."""
     ideal = F.expr("aggregate(sequence(1, cast(least(n_gold, n_units) AS int)), 0D, (s, i) -> s + 1 / log2(i + 1))")
     found = F.col("n_units") > 0
     p, r = F.col("precision"), F.col("recall")
@@ -57,11 +62,36 @@ def ir_metrics(units: DataFrame, gold: DataFrame, *by: str, asked: DataFrame | N
 
 
 def rescored(stored: DataFrame, gold: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
-    """``k, query_id`` and the six metrics of stored rankings (``query_id, rank, units``) at each cut-off, for queries with gold; no search is made."""
-    hits = stored.select("query_id", "rank", F.explode("units").alias("unit"))
-    cut = hits.select("*", F.explode(F.array(*map(F.lit, cuts))).alias("k")).where("rank <= k")
-    asked = stored.select("query_id").distinct().select("query_id", F.explode(F.array(*map(F.lit, cuts))).alias("k"))
-    return ir_metrics(ranked_units(cut, "k", "query_id"), gold, "k", "query_id", asked=asked)
+    """``k, query_id`` and the six metrics of stored rankings (``query_id, rank, units``) at each cut-off, for queries with gold; no search is made.
+
+    A unit is in every cut that reaches its first rank, and the units before it are
+    too, so its place is the same in all of them: units are placed once, beside the
+    gold of their query, and a query's sums for all cut-offs are one row.
+    """
+    hits = stored.select("query_id", "rank", F.explode_outer(F.when(F.col("rank") <= max(cuts), F.col("units"))).alias("unit"))
+    ranks = hits.select("query_id", "unit", F.when(F.col("unit").isNotNull(), F.col("rank")).alias("rank"), F.lit(1).alias("asked"), F.lit(0.0).alias("hit"))
+    wanted = gold.select("query_id", "unit", F.lit(None).cast(dict(stored.dtypes)["rank"]).alias("rank"), F.lit(0).alias("asked"), F.lit(1.0).alias("hit"))
+    # A fixed number of parts, which are not put together again: several sorts and sums of one part are in memory at a time.
+    parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = ranks.unionByName(wanted).where("query_id is not null").repartition(parts, "query_id")
+    each = rows.groupBy("query_id", "unit").agg(F.min("rank").alias("first"), F.max("asked").alias("asked"), F.max("hit").alias("hit"))
+    whole = W.partitionBy("query_id")
+    placed = each.withColumns({"place": F.row_number().over(whole.orderBy(F.asc_nulls_last("first"), "unit")), "n_gold": F.sum("hit").over(whole).cast("long")})
+    place, hit = F.col("place"), F.col("hit")
+
+    def sums(k: int) -> list:
+        inside = F.col("first") <= k
+        return [
+            F.count_if(inside).alias(f"n_units_{k}"),
+            F.sum(F.when(inside, hit).otherwise(0.0)).alias(f"hits_{k}"),
+            F.sum(F.when(inside & (place <= F.col("n_gold")), hit).otherwise(0.0)).alias(f"early_{k}"),
+            F.min(F.when(inside & (hit > 0), place)).alias(f"first_{k}"),
+            F.sum(F.when(inside, hit / F.log2(place + 1)).otherwise(0.0)).alias(f"dcg_{k}"),
+        ]
+
+    per = placed.groupBy("query_id").agg(F.max("asked").alias("asked"), F.max("n_gold").alias("n_gold"), *(c for k in cuts for c in sums(k))).where("asked = 1 and n_gold > 0")
+    at = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), *(F.col(f"{n}_{k}").alias(n) for n in ("n_units", "hits", "early", "first", "dcg"))) for k in cuts))).alias("at")
+    return _rated(per.select("query_id", "n_gold", at).select("query_id", "n_gold", "at.*"), "k", "query_id")
 
 
 def modified_metrics(hits: DataFrame, gold: DataFrame, k: int, *by: str, asked: DataFrame | None = None) -> DataFrame:
