@@ -34,12 +34,21 @@ e AS (SELECT p_partkey, unnest(CASE WHEN b - a <= 50 THEN generate_series(a, b)
 SELECT p_partkey, expanded, count(DISTINCT unit) AS n_targets, min(unit) AS first_target, max(unit) AS last_target FROM e SEMI JOIN known USING (unit) GROUP BY ALL"""
 )
 def range_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cited ranges of up to fifty as their members, longer ones as their ends; only units that exist."""
+    """Cited ranges of up to fifty as their members, longer ones as their ends; only units that exist.
+
+    What ranges of one key share counts in the first of them, so each range stands for
+    a span of its own; units are looked up once for equal spans, not for every row.
+    """
     known = read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("unit")).distinct()
     r = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("a"), (F.col("p_size") + F.col("p_partkey") % 60).cast("long").alias("b"))
     short = F.col("b") - F.col("a") <= 50
-    e = r.select("p_partkey", short.alias("expanded"), F.explode(F.when(short, F.sequence("a", "b")).otherwise(F.array("a", "b"))).alias("unit"))
-    return e.join(known, "unit", "left_semi").groupBy("p_partkey", "expanded").agg(F.count_distinct("unit").alias("n_targets"), F.min("unit").alias("first_target"), F.max("unit").alias("last_target"))
+    span = lambda lo, hi: F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    spans = r.select("p_partkey", short.alias("expanded"), F.explode(F.when(short, F.array(span("a", "b"))).otherwise(F.array(span("a", "a"), span("b", "b")))).alias("s")).select("p_partkey", "expanded", "s.*")
+    reach = F.max("hi").over(W.partitionBy("p_partkey", "expanded").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1))
+    own = spans.withColumn("lo", F.greatest("lo", reach + 1)).where("lo <= hi")
+    units = own.select("lo", "hi").distinct().withColumn("unit", F.explode(F.sequence("lo", "hi"))).join(known, "unit", "left_semi")
+    met = units.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min("unit").alias("first"), F.max("unit").alias("last"))
+    return own.join(met, ["lo", "hi"]).groupBy("p_partkey", "expanded").agg(F.sum("n").alias("n_targets"), F.min("first").alias("first_target"), F.max("last").alias("last_target"))
 
 
 @R.add(
