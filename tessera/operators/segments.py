@@ -93,42 +93,92 @@ def bound_groups(units: DataFrame, least: int, most: int) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("place")
-        tokens, score = frame.tokens.to_numpy(), frame.score.fillna(-1.0).to_numpy()
-        starts = [0, *(i for i in range(1, len(frame)) if frame.group_no.iloc[i] != frame.group_no.iloc[i - 1])]
-
-        def weight(a: int, b: int) -> int:
-            return int(tokens[a:b].sum()) + b - a - 1
-
-        moved = True
-        while moved:
-            moved = False
-            ends = [*starts[1:], len(frame)]
-            for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
-                if weight(a, b) >= least:
-                    continue
-                sides = []
-                if i > 0 and weight(starts[i - 1], b) <= most:
-                    sides.append((score[a], 1, i))
-                if i + 1 < len(starts) and weight(a, ends[i + 1]) <= most:
-                    sides.append((score[b], 0, i + 1))
-                if sides:
-                    del starts[max(sides)[2]]
-                    moved = True
-                    break
-        todo, done = list(zip(starts, [*starts[1:], len(frame)], strict=True)), []
-        while todo:
-            a, b = todo.pop()
-            if weight(a, b) <= most or b - a == 1:
-                done.append(a)
-            else:
-                cut = a + 1 + int(np.argmin(score[a + 1 : b]))
-                todo += [(a, cut), (cut, b)]
-        number = np.searchsorted(sorted(done), np.arange(len(frame)), side="right") - 1
+        score, group = frame.score.fillna(-1.0).to_numpy(), frame.group_no.to_numpy()
+        held = np.concatenate(([0], np.cumsum(frame.tokens.to_numpy() + 1)))
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(frame)]
+        bounds = large_split(small_merged(bounds, held, score, least, most), held, score, most)
+        number = np.searchsorted(bounds[1:], np.arange(len(frame)), side="right")
         return pd.DataFrame({"doc": frame.doc.iloc[0], "place": frame.place.to_numpy(), "group_no": number})
 
     return units.groupBy("doc").applyInPandas(run, "doc long, place long, group_no long")
 
 
+def sized_groups(units: DataFrame, width: int, percentile: float, least: int, most: int) -> DataFrame:
+    """``doc, group_no, n_units, n_tokens, first_place``: the groups of :func:`bound_groups` over those of :func:`groups_from_breaks`, from units ``doc, place, tokens, embedding``.
+
+    Units are dealt once and their documents stream through the tasks; a group's size
+    counts one token between its units.
+    """
+
+    def of(table: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
+        place, tokens = (table.column(n).to_numpy() for n in ("place", "tokens"))
+        vectors = table.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(place), -1)
+        found = []
+        for a, b in zip(begin[:-1], begin[1:], strict=True):
+            score = np.concatenate(([-1.0], scores_between(vectors[a:b], width)))
+            held = np.concatenate(([0], np.cumsum(tokens[a:b] + 1)))
+            bounds = [0, *breaks(score[1:], percentile), int(b - a)]
+            bounds = np.array(large_split(small_merged(bounds, held, score, least, most), held, score, most))
+            found.append(np.stack((np.full(len(bounds) - 1, a), np.arange(len(bounds) - 1), np.diff(bounds), np.diff(held[bounds]) - 1, place[a + bounds[:-1]])))
+        doc, number, n, size, first = np.concatenate(found, axis=1)
+        columns = {"doc": table.column("doc").combine_chunks().take(pa.array(doc)), "group_no": pa.array(number), "n_units": pa.array(n), "n_tokens": pa.array(size), "first_place": pa.array(first)}
+        return pa.RecordBatch.from_pydict(columns)
+
+    rows = units.select("doc", "place", F.col("tokens").cast("long").alias("tokens"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return by_document(rows, "place", of, "doc long, group_no long, n_units long, n_tokens long, first_place long")
+
+
+def breaks(score: np.ndarray, percentile: float) -> list[int]:
+    """Places where a group begins, for the scores of the places but the first: those below the percentile, interpolated as Spark does; scores are compared at nine digits."""
+    if not len(score):
+        return []
+    at = (len(score) - 1) * percentile
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    ends = np.partition(score, (low, high))
+    limit = ends[low] if low == high or ends[low] == ends[high] else (high - at) * ends[low] + (at - low) * ends[high]
+    return (1 + np.flatnonzero(np.round(score, 9) < np.round(limit, 9))).tolist()
+
+
+def small_merged(bounds: list[int], held: np.ndarray, score: np.ndarray, least: int, most: int | None = None) -> list[int]:
+    """Group bounds after groups of under ``least`` tokens joined a neighbour, the first such group first.
+
+    Of the two boundaries of a group the one with the higher score goes, the left
+    one among equals. With ``most``, only sums of up to so many tokens are allowed,
+    and groups without an allowed neighbour stay. ``held`` are running sums of tokens,
+    one more for each unit, so a group's size counts one token between its units.
+    """
+    held, score = held.tolist(), score.tolist()
+    done, a, i = [], bounds[0], 1
+    # What lies before ``a`` stays: no group there is small and has an allowed neighbour, and sums only grow.
+    while i < len(bounds):
+        b = bounds[i]
+        if held[b] - held[a] - 1 < least:
+            left = bool(done) and (most is None or held[b] - held[done[-1]] - 1 <= most)
+            right = i + 1 < len(bounds) and (most is None or held[bounds[i + 1]] - held[a] - 1 <= most)
+            if left and (not right or score[a] >= score[b]):
+                a = done.pop()
+                continue
+            if right:
+                i += 1
+                continue
+        done.append(a)
+        a, i = b, i + 1
+    return [*done, bounds[-1]]
+
+
+def large_split(bounds: list[int], held: np.ndarray, score: np.ndarray, most: int) -> list[int]:
+    """Group bounds after groups of over ``most`` tokens were parted at their weakest boundary, the first among equals, until they fit or have one unit."""
+    todo, done = list(zip(bounds, bounds[1:], strict=False)), [bounds[-1]]
+    while todo:
+        a, b = todo.pop()
+        if held[b] - held[a] - 1 <= most or b - a == 1:
+            done.append(a)
+        else:
+            cut = a + 1 + int(np.argmin(score[a + 1 : b]))
+            todo += [(a, cut), (cut, b)]
+    return sorted(done)
+
+
 def merge_small(units: DataFrame, least: int) -> DataFrame:
     """``doc, place, group_no`` after every group under ``least`` tokens joined a neighbour, the first such group first.
 
@@ -142,12 +192,7 @@ def merge_small(units: DataFrame, least: int) -> DataFrame:
         score, group = frame.score.fillna(-1.0).to_numpy(), frame.group_no.to_numpy()
         held = np.concatenate(([0], np.cumsum(frame.tokens.to_numpy() + 1)))
         bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(frame)]
-        while len(bounds) > 2:
-            small = np.flatnonzero(np.diff(held[bounds]) - 1 < least)
-            if not len(small):
-                break
-            inner = [b for b in (int(small[0]), int(small[0]) + 1) if 0 < b < len(bounds) - 1]
-            del bounds[max(inner, key=lambda b: (score[bounds[b]], -b))]
+        bounds = small_merged(bounds, held, score, least)
         number = np.searchsorted(bounds[1:], np.arange(len(frame)), side="right")
         return pd.DataFrame({"doc": frame.doc.iloc[0], "place": frame.place.to_numpy(), "group_no": number})
 

@@ -14,46 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import intervals, models, segments, tokens
-
-
-def small_merged(bounds: list[int], held: np.ndarray, score: np.ndarray, least: int, most: int | None = None) -> list[int]:
-    """Group bounds after groups of under ``least`` tokens joined a neighbour, the first such group first.
-
-    Of the two boundaries of a group the one with the higher score goes, the left
-    one among equals. With ``most``, only sums of up to so many tokens are allowed,
-    and groups without an allowed neighbour stay. ``held`` are running sums of tokens,
-    one more for each unit, so a group's size counts one token between its units.
-    """
-    held, score = held.tolist(), score.tolist()
-    done, a, i = [], bounds[0], 1
-    # What lies before ``a`` stays: no group there is small and has an allowed neighbour, and sums only grow.
-    while i < len(bounds):
-        b = bounds[i]
-        if held[b] - held[a] - 1 < least:
-            left = bool(done) and (most is None or held[b] - held[done[-1]] - 1 <= most)
-            right = i + 1 < len(bounds) and (most is None or held[bounds[i + 1]] - held[a] - 1 <= most)
-            if left and (not right or score[a] >= score[b]):
-                a = done.pop()
-                continue
-            if right:
-                i += 1
-                continue
-        done.append(a)
-        a, i = b, i + 1
-    return [*done, bounds[-1]]
-
-
-def large_split(bounds: list[int], held: np.ndarray, score: np.ndarray, most: int) -> list[int]:
-    """Group bounds after groups of over ``most`` tokens were parted at their weakest boundary, the first among equals, until they fit or have one unit."""
-    todo, done = list(zip(bounds, bounds[1:], strict=False)), [bounds[-1]]
-    while todo:
-        a, b = todo.pop()
-        if held[b] - held[a] - 1 <= most or b - a == 1:
-            done.append(a)
-        else:
-            cut = a + 1 + int(np.argmin(score[a + 1 : b]))
-            todo += [(a, cut), (cut, b)]
-    return sorted(done)
+from .segments import large_split, small_merged
 
 
 def chunk_bounds(vectors: np.ndarray, held: np.ndarray, percentile: float, least: int, most: int, window: int) -> list[int]:

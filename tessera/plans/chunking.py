@@ -110,15 +110,13 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     into near-equal pieces first, which share the text's vector.
     """
     size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\r]+"), F.lit(0))).cast("long")
-    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), F.posexplode(intervals.even_pieces(size, 200)).alias("piece", "p"))
+    # Counted in a step of its own: within the pieces' expression every piece would count its text's tokens again.
+    counted = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), size.alias("n"))
+    texts = counted.select("place", F.posexplode(intervals.even_pieces(F.col("n"), 200)).alias("piece", "p"))
     pieces = texts.select("place", "piece", (F.col("p.last") - F.col("p.first")).alias("tokens"))
     places = placed_vectors(spark, sf_dir).join(pieces, "place", "left").fillna({"piece": 0, "tokens": 0})
     places = places.withColumn("place", F.col("place") * 1_000_000 + F.col("piece"))
-    scores = segments.boundary_scores(places, 3)
-    grouped = segments.groups_from_breaks(places.select("doc", "place"), scores, 0.3).join(scores, ["doc", "place"], "left")
-    units = grouped.join(places.select("doc", "place", "tokens"), ["doc", "place"])
-    bounded = segments.bound_groups(units, 60, 200)
-    return bounded.join(units.select("doc", "place", "tokens"), ["doc", "place"]).groupBy("doc", "group_no").agg(F.count(F.lit(1)).alias("n_units"), (F.sum("tokens") + F.count(F.lit(1)) - 1).alias("n_tokens"), F.min("place").alias("first_place"))
+    return segments.sized_groups(places, 3, 0.3, 60, 200)
 
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
