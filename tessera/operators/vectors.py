@@ -108,6 +108,8 @@ class _Queries:
 
 #: Chunks that are multiplied at a time.
 _CHUNKS = 4096
+#: Strips into which queries are cut at most while a strip has no more queries than the second: chunks cross the shuffle once a strip.
+_STRIPS, _STRIP = 16, 16_384
 _FOUND = "query_id long, chunk_id long, score double"
 
 
@@ -120,7 +122,8 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int, *, scope: Column | None
 
     Up to ``held`` queries travel to the tasks as they are, and chunks stay where they
     lie. Beyond that both sides are cut into blocks: queries into strips of about
-    ``strip``, chunks into ``lanes`` (as many as shuffle partitions unless given).
+    ``strip``, into no more than 16 where those hold up to 16,384, chunks into
+    ``lanes`` (as many as shuffle partitions unless given).
     Strip and lane are the shuffle key: a task holds one strip and streams one
     lane, and keeps k chunks a query. Chunks cross the shuffle once a strip, queries
     once a lane; the plan and the number of jobs are the same for any number of
@@ -160,7 +163,9 @@ def _search(asked: _Queries, batch) -> None:
 
 def _grid(slim: DataFrame, wanted: DataFrame, k: int, strip: int, lanes: int) -> DataFrame:
     """Strips of queries against lanes of chunks; the number of strips is a row of the plan."""
-    sizes = wanted.agg(F.ceil(F.count(F.lit(1)) / strip).cast("int").alias("strips"))
+    n = F.count(F.lit(1))
+    strips = F.least(F.ceil(n / strip), F.greatest(F.lit(_STRIPS), F.ceil(n / _STRIP)))
+    sizes = wanted.agg(strips.cast("int").alias("strips"))
     # One row.
     sized = F.broadcast(sizes)
     to_all = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
