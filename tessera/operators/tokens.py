@@ -5,7 +5,8 @@ to the executors and is called there, once a worker if makers of one kind are eq
 of texts and gives, for each, the first character of every token and the text that the
 tokens decode to. A text whose tokens decode to another one is an error. Tokens of
 bytes may begin inside a character; they then share its place, so a cut at a token
-never parts one.
+never parts one. A tokenizer may have a method ``begins`` besides, which gives the first
+characters for many texts in arrays (:mod:`.byte_level`).
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import intervals
+from . import byte_level, intervals
 
 Tokenizer = Callable[[list[str]], list[tuple[list[int], str]]]
 Maker = Callable[[], Tokenizer]
@@ -55,7 +57,7 @@ class FromFile:
             found = tokenizer.encode_batch(texts, add_special_tokens=False)
             return [([a for a, _ in x.offsets], tokenizer.decode(x.ids, skip_special_tokens=False)) for x in found]
 
-        return run
+        return byte_level.Pieces(tokenizer, run) if byte_level.fits(tokenizer) else run
 
 
 @dataclass(frozen=True)
@@ -98,35 +100,59 @@ def counts(tokenizer: Tokenizer, texts: list[str]) -> list[int]:
     return [len(x) for x in starts(tokenizer, texts)]
 
 
-#: Texts that are cut at a time.
-_TEXTS = 256
+def begins(tokenizer: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``starts`` gives, one text's behind the other's, and where each text's begin and end."""
+    if hasattr(tokenizer, "begins"):
+        return tokenizer.begins(texts)
+    found = starts(tokenizer, texts)
+    at = np.cumsum([0, *map(len, found)])
+    return np.fromiter((x for first in found for x in first), np.int32, int(at[-1])), at
+
+
+#: Bytes of text that are cut at a time.
+_BYTES = 2 << 20
+
+
+def _slices(batch: pa.RecordBatch, text_col: int | str):
+    """Rows of about ``_BYTES`` of text, a longer text alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + _BYTES, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
-def _per_text(rows: DataFrame, maker: Maker, text_col: str, name: str, kind: str, of) -> DataFrame:
-    place = rows.columns.index(text_col)
+def _per_text(rows: DataFrame, maker: Maker, text_col: str, name: str, kind: str, kept: list[str]) -> DataFrame:
+    place, kinds = rows.columns.index(text_col), dict(rows.dtypes)
 
     def run(batches):
         tokenizer = made(maker)
         for batch in batches:
-            for a in range(0, batch.num_rows, _TEXTS):
-                part = batch.slice(a, _TEXTS)
+            for part in _slices(batch, place):
                 texts = part.column(place).to_pylist()
-                found = iter(of(tokenizer, [t for t in texts if t is not None]))
-                values = [None if t is None else next(found) for t in texts]
-                column = pa.array(values, pa.int32() if kind == "int" else pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, name])
+                missing = np.array([t is None for t in texts])
+                first, at = begins(tokenizer, [t for t in texts if t is not None])
+                n = np.zeros(len(texts), np.int32)
+                n[~missing] = np.diff(at)
+                if kind == "int":
+                    column = pa.array(n, mask=missing)
+                else:
+                    column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(first), mask=pa.array(missing))
+                yield pa.RecordBatch.from_arrays([*part.select(kept).columns, column], names=[*kept, name])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, (name, kind)]))
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in [*((c, kinds[c]) for c in kept), (name, kind)]))
 
 
 def with_starts(rows: DataFrame, maker: Maker, *, text_col: str = "text", name: str = "starts") -> DataFrame:
     """The rows with the first characters of the tokens of each text; null for a null text."""
-    return _per_text(rows, maker, text_col, name, "array<int>", starts)
+    return _per_text(rows, maker, text_col, name, "array<int>", rows.columns)
 
 
 def with_counts(rows: DataFrame, maker: Maker, *, text_col: str = "text", name: str = "n_tokens") -> DataFrame:
     """The rows with the number of tokens of each text; null for a null text."""
-    return _per_text(rows, maker, text_col, name, "int", counts)
+    return _per_text(rows, maker, text_col, name, "int", rows.columns)
 
 
 def windows(rows: DataFrame, maker: Maker, size: int, step: int, *by: str, text_col: str = "text") -> DataFrame:
@@ -137,9 +163,9 @@ def windows(rows: DataFrame, maker: Maker, size: int, step: int, *by: str, text_
     """
     if size <= 0 or not 0 < step <= size:
         raise ValueError("a window has tokens and is not stepped over")
-    cut = with_starts(rows.select(*by, text_col), maker, text_col=text_col, name="__starts")
-    n, first = F.size("__starts"), F.col("__starts")
-    whole = F.char_length(text_col)
+    slim = rows.select(*by, F.col(text_col).alias("__text"), F.char_length(text_col).alias("__chars"))
+    cut = _per_text(slim, maker, "__text", "__starts", "array<int>", [*by, "__chars"])
+    n, first, whole = F.size("__starts"), F.col("__starts"), F.col("__chars")
 
     def span(token_start):
         token_end = F.least(token_start + size, n)
@@ -191,11 +217,10 @@ def split_oversize(rows: DataFrame, maker: Maker, most: int, *by: str) -> DataFr
     def run(batches):
         tokenizer = made(maker)
         for batch in batches:
-            for a in range(0, batch.num_rows, _TEXTS):
-                part = batch.slice(a, _TEXTS)
+            for part in _slices(batch, "text"):
                 texts, first = part.column("text").to_pylist(), part.column("start").to_pylist()
                 row, spans, found = [], [], []
-                for i, (text, n) in enumerate(zip(texts, counts(tokenizer, texts), strict=True)):
+                for i, (text, n) in enumerate(zip(texts, np.diff(begins(tokenizer, texts)[1]).tolist(), strict=True)):
                     for start, stop, m in [(0, len(text), n)] if n <= most else pieces(tokenizer, text, most):
                         row.append(i)
                         spans.append((first[i] + start, first[i] + stop, m))
